@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter
+from . import bpe, exact_dedup, token_counts, url_filter
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
