@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, token_counts, url_filter
+from . import bpe, exact_dedup, licenses, mixing, token_counts, url_filter
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_source_mix": mixing.op4_source_mix,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_url_filter": url_filter.op10_url_filter,
@@ -13,5 +15,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op4_source_mix": mixing.SQL,
     "op10_url_filter": url_filter.SQL,
 }
