@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, mixing, token_counts, url_filter
+from . import bpe, exact_dedup, jaccard_join, licenses, mixing, token_counts, url_filter
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_source_mix": mixing.op4_source_mix,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_url_filter": url_filter.op10_url_filter,
 }
