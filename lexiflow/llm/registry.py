@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, licenses, mixing, token_counts, url_filter
+from . import bpe, exact_dedup, jaccard_join, language_id, licenses, mixing, token_counts, url_filter
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_source_mix": mixing.op4_source_mix,
     "op5_license_scan": licenses.op5_license_scan,
