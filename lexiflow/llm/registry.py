@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, language_id, licenses, mixing, token_counts, url_filter
+from . import bpe, exact_dedup, jaccard_join, language_id, licenses, mixing, pii, token_counts, url_filter
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_pii": pii.op9_pii,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
