@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, language_id, licenses, mixing, pii, token_counts, url_filter
+from . import bpe, exact_dedup, jaccard_join, language_id, licenses, media, mixing, pii, token_counts, url_filter
 
 QUERIES = {
+    "op1_media_copies": media.op1_media_copies,
     "op2_language_id": language_id.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_source_mix": mixing.op4_source_mix,
