@@ -1,6 +1,6 @@
 """Derived views, registered queries and their SQL."""
 
-from . import text_queries
+from . import review_queries, text_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "text_queries"]
+__all__ = ["QUERIES", "SQL", "review_queries", "text_queries"]

@@ -110,3 +110,52 @@ REVIEW_EVENTS = """review_events AS (
 def sql(*views: str, recursive: bool = False) -> str:
     """``WITH`` and the views, to be followed by more common tables or the query."""
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(views)
+
+
+#: The moment at which plans and statistics are taken: within the time of the events.
+NOW = 1_705_600_000
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card table that follows from the review log by counts and sums: one row for each learner, deck and card."""
+    e = review_events(spark, sf_dir)
+    g = e.groupBy("learner_id", "deck", "card_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("rating", F.lit(0))).alias("r"), F.count_if(F.col("rating") == 1).alias("again"), F.max("ts").alias("last"))
+    n, due = F.col("n"), F.col("last") + F.col("n") * 3600 - 2 * 86_400
+    int_ = lambda c, name: c.cast("int").alias(name)
+    return g.select(
+        "learner_id", "deck", "card_id", int_((n + F.col("card_id")) % 5, "state"), int_(n % 2, "step"), (F.col("r") * F.lit(1.5) / n).alias("stability"), (F.lit(1.0) + n % 10).alias("difficulty"),
+        int_(n, "reps"), int_(F.col("again"), "lapses"), int_((n + F.col("r")) % 8, "flags"), due.alias("due_ts"), F.floor((due - 14_400) / 86_400).cast("long").alias("due_day"),
+        F.col("last").alias("last_review"), n.alias("total_answers"), int_(n % 4, "prev_state"),
+    )
+
+
+CARDS = """cards AS (
+  SELECT learner_id, deck, card_id, ((n + card_id) % 5)::INTEGER AS state, (n % 2)::INTEGER AS step, r::DOUBLE * 1.5::DOUBLE / n AS stability, 1.0::DOUBLE + n % 10 AS difficulty, n::INTEGER AS reps, again::INTEGER AS lapses,
+    ((n + r) % 8)::INTEGER AS flags, last + n * 3600 - 172800 AS due_ts, floor((last + n * 3600 - 172800 - 14400) / 86400)::BIGINT AS due_day, last AS last_review, n AS total_answers, (n % 4)::INTEGER AS prev_state
+  FROM (SELECT learner_id, deck, card_id, count(*) AS n, sum(coalesce(rating, 0))::BIGINT AS r, count(*) FILTER (rating = 1) AS again, max(ts) AS last FROM review_events GROUP BY ALL))"""
+
+
+def image_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review log with after images, and removals among its events."""
+    e = review_events(spark, sf_dir)
+    seq = F.col("seq")
+    return e.select(
+        *[c for c in e.columns if c != "type"], F.when(F.col("type") == "undo", "undo").when(seq % 11 == 0, "remove").when(seq % 7 == 0, "update").otherwise("review").alias("type"),
+        (seq % 4).cast("int").alias("state"), (seq % 3).cast("int").alias("step"), (F.col("ts") % 1000 / F.lit(10.0)).alias("stability"), (F.lit(1.0) + seq % 9).alias("difficulty"),
+        (seq % 20).cast("int").alias("reps"), (seq % 5).cast("int").alias("lapses"), (seq % 8).cast("int").alias("flags"), (F.col("ts") + seq % 50 * 3600).alias("due_ts"), F.col("ts").alias("last_review"),
+    )
+
+
+IMAGE_EVENTS = """image_events AS (
+  SELECT learner_id, deck, card_id, device_id, seq, ts, rating, CASE WHEN type = 'undo' THEN 'undo' WHEN seq % 11 = 0 THEN 'remove' WHEN seq % 7 = 0 THEN 'update' ELSE 'review' END AS type,
+    (seq % 4)::INTEGER AS state, (seq % 3)::INTEGER AS step, (ts % 1000) / 10.0::DOUBLE AS stability, 1.0::DOUBLE + seq % 9 AS difficulty, (seq % 20)::INTEGER AS reps, (seq % 5)::INTEGER AS lapses,
+    (seq % 8)::INTEGER AS flags, ts + seq % 50 * 3600 AS due_ts, ts AS last_review FROM review_events)"""
+
+
+def custom_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks of entries by the type of the events on them."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_type").alias("deck_id"), F.initcap("event_type").alias("name"), F.col("user_id").cast("long").alias("ent_seq")).distinct()
+
+
+CUSTOM_DECKS = "custom_decks AS (SELECT DISTINCT event_type AS deck_id, upper(event_type[1]) || event_type[2:] AS name, user_id::BIGINT AS ent_seq FROM events)"
