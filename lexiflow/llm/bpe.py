@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from .common import documents
 from .pretokens import split
 
-#: Pre-tokens whose encoding a worker remembers in each of two generations; when one is full, the older one goes.
-REMEMBERED = 400_000
+#: Pre-tokens whose encoding a task remembers in each of two generations; when one is full, the older one goes.
+REMEMBERED = 200_000
 #: Bytes of text in one batch that goes back to Spark.
 BATCH_BYTES = 4_000_000
 
@@ -168,9 +168,8 @@ class _Memory(dict):
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str) -> tuple[PrefixBPE, _Memory]:
-    coder = PrefixBPE.load(path)
-    return coder, _Memory(coder)
+def _worker(path: str) -> PrefixBPE:
+    return PrefixBPE.load(path)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
@@ -185,7 +184,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
     schema = T.StructType([*docs.schema.fields, T.StructField("bpe_ids", T.ArrayType(T.IntegerType())), T.StructField("bpe_bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, memory = _worker(vocabulary)
+        coder = _worker(vocabulary)
+        memory = _Memory(coder)  # goes with the task; a worker lives on through other stages
         for batch in batches:
             texts = batch.column(at)
             begin = 0

@@ -38,6 +38,8 @@ LEAST_PARTITIONS = 32
 ROUNDS, WORTH = 6, 0.2
 #: Counters in the vector of a set, and members of a group that are compared in one block.
 COUNTERS, BLOCK = 128, 4096
+#: Documents that a task works on at once.
+ROWS = 1000
 #: Words of 64 bits in the filter that preselects texts for verification; a false hit costs work only.
 FILTER_WORDS = 1 << 18
 
@@ -77,6 +79,13 @@ def signatures(items: np.ndarray, rare: np.ndarray) -> np.ndarray:
 _META = "bucket int, kind int, doc_id long, n long, fp1 long, fp2 long, sigs binary, owners binary"
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of at most :data:`ROWS` rows: what is made of them is in memory together."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, ROWS):
+            yield batch.slice(begin, ROWS)
+
+
 def _sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     return shingle_sets([x.as_py() or b"" for x in batch.column(1)])
 
@@ -87,7 +96,7 @@ def _scan(buckets: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # classes of this partition whose signatures are out
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in _sliced(batches):
                 sizes, fps, sigs, owners = [], [], [], []
                 for id_, items in zip(batch.column(0).to_pylist(), _sets_of(batch), strict=True):
                     fp = (int(mixed(items).sum(dtype=np.uint64)), int(mixed(items ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)))
@@ -164,7 +173,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select("doc_id", F.encode("text", "utf-8").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             for items in _sets_of(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64))], names=["h"])
 
