@@ -112,7 +112,7 @@ def passes(name: str, *states: Column) -> Column:
 
 def active_codes(text: Column, known: Column) -> Column:
     """Known language codes of a comma list, trimmed; others are ignored."""
-    return F.array_intersect(F.transform(F.split(text, ","), F.trim), known)
+    return F.array_intersect(F.transform(F.split(text, ","), lambda t: F.trim(t)), known)
 
 
 def valid_parameters(params: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def with_ordinal(entries: DataFrame) -> DataFrame:
 
 def headword() -> Column:
     """First written form, else first reading, else ``[unknown]``."""
-    return F.coalesce(F.try_element_at("k_ele", F.lit(1))["keb"], F.try_element_at("r_ele", F.lit(1))["reb"], F.lit("[unknown]"))
+    return F.coalesce(F.get("k_ele", F.lit(0))["keb"], F.get("r_ele", F.lit(0))["reb"], F.lit("[unknown]"))
 
 
 def variants() -> Column:
@@ -50,12 +50,12 @@ def readings() -> Column:
 
 def gloss_in(active: list[str]) -> Column:
     """Glosses of the first sense in an active language that has any."""
-    found = F.try_element_at(F.filter("senses", lambda s: s["lang"].isin(*active) & (F.size(s["gloss"]) > 0)), F.lit(1))
+    found = F.get(F.filter("senses", lambda s: s["lang"].isin(*active) & (F.size(s["gloss"]) > 0)), F.lit(0))
     return F.coalesce(F.array_join(found["gloss"], "; "), F.lit(""))
 
 
 def first_meaning() -> Column:
-    return F.coalesce(F.array_join(F.try_element_at("senses", F.lit(1))["gloss"], "; "), F.lit(""))
+    return F.coalesce(F.array_join(F.get("senses", F.lit(0))["gloss"], "; "), F.lit(""))
 
 
 def full_view(entries: DataFrame, active: list[str]) -> DataFrame:

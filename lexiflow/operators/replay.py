@@ -120,8 +120,13 @@ def replay(events: DataFrame, p: Parameters = Parameters(), start: DataFrame | N
         begun = history.withColumn("begin", new_card())
     else:
         begun = history.join(start.select(*CARD, F.struct(*FIELDS).alias("begin")), CARD, "left").withColumn("begin", F.coalesce("begin", new_card()))
+    return fold(begun.withColumn("card_key", key), p)
+
+
+def fold(begun: DataFrame, p: Parameters) -> DataFrame:
+    """(card key, state fields): ``begin`` after each entry (ts, rating) of ``history``; ``card_key`` seeds the fuzz."""
     seed = lambda acc: F.concat_ws(":", F.col("card_key").cast("string"), acc["total_answers"].cast("string"))
-    folded = begun.withColumn("card_key", key).withColumn("card", F.aggregate("history", F.col("begin"), lambda acc, e: answer(acc, e["rating"], e["ts"], p, seed(acc))))
+    folded = begun.withColumn("card", F.aggregate("history", F.col("begin"), lambda acc, e: answer(acc, e["rating"], e["ts"], p, seed(acc))))
     return folded.select(*CARD, "card.*")
 
 

@@ -1,6 +1,6 @@
 """Derived views, registered queries and their SQL."""
 
-from . import review_queries, text_queries
+from . import deck_queries, entry_queries, review_queries, text_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "review_queries", "text_queries"]
+__all__ = ["QUERIES", "SQL", "deck_queries", "entry_queries", "review_queries", "text_queries"]

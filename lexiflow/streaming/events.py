@@ -11,7 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.scheduling import Parameters
 from ..operators import sync
-from ..operators.replay import CARD, ORDER
+from ..operators.replay import CARD, ORDER, fold, new_card
 
 #: How late an event may come before deduplication and activity no longer count it.
 LATENESS = "7 days"
@@ -69,7 +69,7 @@ class LiveReviews(StatefulProcessor):
     """Per card, the events so far; every new one gives the card's live reviews again.
 
     Events may come in any order: the list is sorted by (ts, device, seq) before undo brackets are matched, so an undo that
-    comes before its review still cancels it. What is emitted is the number of live reviews and the last one.
+    comes before its review still cancels it. What is emitted is the card's live history.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -83,8 +83,7 @@ class LiveReviews(StatefulProcessor):
                 seen[int(r.ts), r.device_id, int(r.seq)] = (int(r.ts), r.device_id, int(r.seq), r.type, rating)
         self.events.put([seen[k] for k in sorted(seen)])
         live = live_of([seen[k] for k in sorted(seen)])
-        last = live[-1] if live else None
-        yield pd.DataFrame([{"learner_id": key[0], "deck": key[1], "card_id": key[2], "n_live": len(live), "last_ts": last[0] if last else None, "last_rating": last[4] if last else None}]).astype({"last_ts": "Int64", "last_rating": "Int32"})
+        yield pd.DataFrame({"learner_id": [key[0]], "deck": [key[1]], "card_id": [key[2]], "history": [[{"ts": e[0], "rating": e[4]} for e in live]]})
 
     def close(self) -> None:
         pass
@@ -101,11 +100,16 @@ def live_of(events: list[tuple]) -> list[tuple]:
     return live
 
 
-def streaming_cards(events: DataFrame) -> DataFrame:
-    """(learner_id, deck, card_id, n_live, last_ts, last_rating), updated as events come."""
-    return events.select(*CARD, *ORDER, "type", "rating").groupBy(*CARD).transformWithStateInPandas(
-        LiveReviews(), outputStructType="learner_id long, deck string, card_id long, n_live int, last_ts long, last_rating int", outputMode="Update", timeMode="None"
+def streaming_cards(events: DataFrame, p: Parameters = Parameters()) -> DataFrame:
+    """(learner_id, deck, card_id, state fields), updated as events come.
+
+    The stateful step keeps each card's events and gives its live history; the fold over it is the one of the batch replay. A
+    late event so changes the state as if it had come in time.
+    """
+    live = events.select(*CARD, *ORDER, "type", "rating").groupBy(*CARD).transformWithStateInPandas(
+        LiveReviews(), outputStructType="learner_id long, deck string, card_id long, history array<struct<ts:long,rating:int>>", outputMode="Update", timeMode="None"
     )
+    return fold(live.withColumn("begin", new_card()).withColumn("card_key", F.xxhash64(*CARD)), p)
 
 
 def late_events(events: DataFrame, horizon: int) -> DataFrame:
