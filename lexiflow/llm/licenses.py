@@ -155,7 +155,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: tup
 
     def span(x: Column) -> Column:
         agreeing = F.size(F.filter("ls_places", lambda p: (p["t"] == x["t"]) & (p["d"] == x["d"])))
-        all_ = F.size(F.filter(F.element_at(template_words, x["t"] + 1), lambda r: r <= F.array_max("ls_top")))
+        all_ = F.size(F.filter(F.element_at(template_words, x["t"] + 1), lambda r: F.array_contains("ls_top", r)))
         return F.struct(F.element_at(labels, x["t"] + 1).alias("label"), x["d"].cast("long").alias("start"), (agreeing / all_).alias("score"))
 
     df = df.withColumn("license_spans", F.transform(F.filter("ls_found", verified), span))
