@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import bounded_batches, documents, staged
 from .components import connected_components
 from .shingles import mixed, shingle_sets
 
@@ -289,6 +289,7 @@ def _labels(groups: DataFrame, links: DataFrame | None) -> DataFrame:
 def links_between(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n; links: src, dst). Links join every two documents that are similar or lead to one another by links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     scanned = docs.select("doc_id", F.encode("text", "utf-8").alias("raw")).mapInArrow(_scan(buckets, frequent_shingles(docs)), _META)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fresh
+from .common import bounded_batches, documents, fresh
 
 #: Bound of the training sample: labelled documents of a language, and characters of them that are used.
 TRAIN_DOCS, TRAIN_CHARS = 40, 24_000
@@ -191,6 +191,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text_col: st
     and rate 1. Whole texts are parsed; equal texts get equal results; of languages with equal rates the first by name
     wins. An empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     news = ("lang_pred", "score", "rate")
     if text_col in news:
         docs = docs.withColumnRenamed(text_col, text_col := fresh(docs, "text_in"))

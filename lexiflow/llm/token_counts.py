@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fresh
+from .common import bounded_batches, documents, fresh
 from .pretokens import split
 
 #: Pre-tokens whose count a worker remembers; the memory is emptied when it is full.
@@ -113,6 +113,7 @@ def count_tokens(docs: DataFrame, description: str, text_col: str = "text", out_
     ``description`` is the place of the tokenizer's file, the same on all machines. Null counts as empty, and an empty text has no
     tokens. Texts are counted whole. Repeated rows give repeated counts, an empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(out_col) if out_col != text_col else docs.withColumnRenamed(text_col, text_col := fresh(docs, "text_in"))
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.LongType())])
