@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, documents
+from .common import bounded_batches, documents, held_model
 from .pretokens import split
 
 #: Pre-tokens whose encoding a task remembers in each of two generations; when one is full, the older one goes.
@@ -167,11 +166,6 @@ class _Memory(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
-def _worker(path: str) -> PrefixBPE:
-    return PrefixBPE.load(path)
-
-
 def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``bpe_ids`` (array<int>) and ``bpe_bytes`` (the ids decoded again).
 
@@ -185,7 +179,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
     schema = T.StructType([*docs.schema.fields, T.StructField("bpe_ids", T.ArrayType(T.IntegerType())), T.StructField("bpe_bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _worker(vocabulary)
+        coder = held_model(vocabulary, lambda: PrefixBPE.load(vocabulary))
         memory = _Memory(coder)  # goes with the task; a worker lives on through other stages
         for batch in batches:
             texts = batch.column(at)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, staged
+from .common import bounded_batches, documents, staged, tidy
 from .components import connected_components
 from .shingles import mixed, shingle_sets
 
@@ -38,6 +38,8 @@ LEAST_PARTITIONS = 32
 ROUNDS, WORTH = 6, 0.2
 #: Counters in the vector of a set, and members of a group that are compared in one block.
 COUNTERS, BLOCK = 128, 4096
+#: Pairs that go back to Spark together, about.
+PAIRS = 100_000
 #: Documents that a task works on at once.
 ROWS = 1000
 #: Words of 64 bits in the filter that preselects texts for verification; a false hit costs work only.
@@ -177,7 +179,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             for items in _sets_of(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64))], names=["h"])
 
-    counted = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
+    counted = sample.mapInArrow(tidy(run), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
     top = counted.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).select("h").toArrow()
     return np.sort(top.column(0).to_numpy().view(np.uint64))
 
@@ -201,7 +203,7 @@ def _preselected(docs: DataFrame, ids: DataFrame) -> DataFrame:
                     counts = [np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=COUNTERS), 255).astype(np.uint8).tobytes() for s in sets]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], type=pa.binary()), pa.array(counts, type=pa.binary())], names=["doc_id", "items", "counts"])
 
-    return docs.where("doc_id is not null").select("doc_id", F.encode("text", "utf-8").alias("raw"), place("doc_id").alias("p")).mapInArrow(run, "doc_id long, items binary, counts binary")
+    return docs.where("doc_id is not null").select("doc_id", F.encode("text", "utf-8").alias("raw"), place("doc_id").alias("p")).mapInArrow(tidy(run), "doc_id long, items binary, counts binary")
 
 
 def _possible(open_: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -215,8 +217,8 @@ def _possible(open_: DataFrame, vectors: DataFrame) -> DataFrame:
     rows = rows.select("sig", F.least("c", "x").alias("lo"), F.greatest("c", "x").alias("hi"), "c", "doc_id", "comp", "n", "counts")
     rows = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n")
 
-    def pairs_of(ids, comps, sizes, vecs, chunk) -> pa.RecordBatch:
-        src, dst = [], []
+    def pairs_of(ids, comps, sizes, vecs, chunk) -> Iterator[pa.RecordBatch]:
+        src, dst, found = [], [], 0
         vecs = vecs.astype(np.int16)
         inside = (chunk == chunk[0]).all()  # a block of one chunk, or of two that meet
         top = np.searchsorted(sizes, sizes * 5 // 4, side="right")  # rows come by size: partners are near
@@ -228,8 +230,16 @@ def _possible(open_: DataFrame, vectors: DataFrame) -> DataFrame:
                 j = j[9 * apart <= sizes[j] + sizes[i]]
                 src.append(np.full(len(j), ids[i]))
                 dst.append(ids[j])
-        src, dst = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (src, dst))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst))], names=["src", "dst"])
+                found += len(j)
+            if found >= PAIRS:
+                yield as_batch(src, dst)
+                src, dst, found = [], [], 0
+        if found:
+            yield as_batch(src, dst)
+
+    def as_batch(src: list[np.ndarray], dst: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(src).astype(np.int64), np.concatenate(dst).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
@@ -238,16 +248,16 @@ def _possible(open_: DataFrame, vectors: DataFrame) -> DataFrame:
             left = now if left is None else pa.concat_tables([left, now])
             cut = _starts(left)
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                yield of(left.slice(a, b - a))
+                yield from of(left.slice(a, b - a))
             left = left.slice(cut[-1])
         if left is not None and len(left):
-            yield of(left)
+            yield from of(left)
 
-    def of(t: pa.Table) -> pa.RecordBatch:
+    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
         vecs = np.frombuffer(b"".join(t.column("counts").to_pylist()), dtype=np.uint8).reshape(-1, COUNTERS)
-        return pairs_of(*(t.column(c).to_numpy() for c in ("doc_id", "comp", "n")), vecs, t.column("c").to_numpy())
+        yield from pairs_of(*(t.column(c).to_numpy() for c in ("doc_id", "comp", "n")), vecs, t.column("c").to_numpy())
 
-    return rows.mapInArrow(run, "src long, dst long").distinct()
+    return rows.mapInArrow(tidy(run), "src long, dst long").distinct()
 
 
 def _starts(t: pa.Table) -> list[int]:
@@ -272,7 +282,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(bool(len(a)) and similar(int((b[at] == a).sum()), len(a), len(b)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(ok, type=pa.bool_()))
 
-    return both.mapInArrow(run, "src long, dst long")
+    return both.mapInArrow(tidy(run), "src long, dst long")
 
 
 def _labels(groups: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -292,8 +302,8 @@ def links_between(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scanned = docs.select("doc_id", F.encode("text", "utf-8").alias("raw")).mapInArrow(_scan(buckets, frequent_shingles(docs)), _META)
-    found = staged(scanned.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_collide, _META).drop("sigs", "owners", "bucket"), "shingles")
+    scanned = docs.select("doc_id", F.encode("text", "utf-8").alias("raw")).mapInArrow(tidy(_scan(buckets, frequent_shingles(docs))), _META)
+    found = staged(scanned.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_collide), _META).drop("sigs", "owners", "bucket"), "shingles")
     meta = found.where("kind = 0").select("doc_id", "n", "fp1", "fp2")
 
     usable = meta.where("doc_id is not null and n > 0")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, documents, fresh
+from .common import bounded_batches, documents, fresh, held_model
 
 #: Bound of the training sample: labelled documents of a language, and characters of them that are used.
 TRAIN_DOCS, TRAIN_CHARS = 40, 24_000
@@ -179,11 +178,6 @@ class CrossParser:
         return langs, scores, rates
 
 
-@lru_cache(maxsize=2)
-def _worker(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(samples)
-
-
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with lang_pred, score (0 to 1) and rate (phrases for each symbol), which replace columns so named.
 
@@ -200,7 +194,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text_col: st
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rate", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _worker(samples)
+        parser = held_model(samples, lambda: CrossParser(samples))
         for batch in batches:
             langs, scores, rates = parser.predict(batch.column(at).to_pylist())
             new = [pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64()), pa.array(rates, type=pa.float64())]

@@ -10,7 +10,7 @@ import numpy as np
 #: Words in a shingle.
 WORDS = 5
 #: Bytes of text that are hashed together.
-CHUNK = 1_000_000
+CHUNK = 250_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random number for each byte; A-Z have those of a-z.
@@ -42,7 +42,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _hash_chunk(texts: list[bytes]) -> list[np.ndarray]:
     raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    size = 1 << max(20, int(len(raw)).bit_length())
+    size = 1 << max(18, int(len(raw)).bit_length())
     up, down = _powers(size)
     white = _WHITE[raw]
     inner = ~white
