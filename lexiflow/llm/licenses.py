@@ -1,8 +1,9 @@
 """License scans with a positional index of rare template words (native).
 
-The templates' words are the index: each word has postings (template, position). A file's rarest licence words, by
-inverse document frequency over the whole corpus, are looked up; postings that agree on the relative position of file and template are
-an alignment, and an alignment counts if the mandatory key phrases stand where it says.
+The templates' words are the index: each word has postings (template, position). A template is open in a file that has the rarest
+word of its key phrases, by inverse document frequency over the whole corpus; all words of the file are looked up in the postings of its open
+templates. Postings that agree on the relative position of file and template are an alignment, and an alignment counts if the mandatory
+key phrases stand where it says. No alignment that counts is lost to the rarest words, since each has its key phrases whole.
 """
 
 from __future__ import annotations
@@ -19,9 +20,7 @@ from .common import documents
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases that always count, with their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Distinct licence words of a file that are looked up, rarest first.
-LOOKED_UP = 12
-#: Looked-up words that have to agree on one relative position (all, if the template has fewer).
+#: Words of a template that have to agree on one relative position (all, if the template has fewer).
 AGREEING = 3
 #: Words around the aligned place in which key phrases may stand.
 SLACK = 2
@@ -95,8 +94,8 @@ def word_ranks(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[st
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: tuple[tuple[str, str], ...] = BASE, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and license_spans.
 
-    ``license_spans`` lists (label, start, score) of each verified alignment, start in words from 0; score is the share of the looked-up
-    template words that agree on the place, and the column ``score`` is 1 where a base phrase stands, else the best of the spans, else
+    ``license_spans`` lists (label, start, score) of each verified alignment, start in words from 0; score is the share of those
+    template words that the file has at all which agree on the place, and the column ``score`` is 1 where a base phrase stands, else the best of the spans, else
     0. Null and empty texts have no words and no labels. Each row is judged by itself, whole, whatever its length; repeated rows
     give repeated results and an empty table an empty one. Columns with the names of the new ones are replaced.
     """
@@ -118,9 +117,12 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: tup
     df = _with_hits(docs, text_col, vocabulary)
     df = df.withColumn("ls_base", F.array(*[_starts(phrase) for phrase, _ in base]))
     df = df.withColumn("ls_ranked", F.transform("ls_hits", lambda x: F.struct(rank_of(x["w"]).alias("r"), x["i"].alias("i"))))
-    df = df.withColumn("ls_top", F.slice(F.array_sort(F.array_distinct(F.transform("ls_ranked", lambda x: x["r"]))), 1, LOOKED_UP))
-    looked_up = F.filter("ls_ranked", lambda x: x["r"] <= F.array_max("ls_top"))
-    places = F.flatten(F.transform(looked_up, lambda x: F.transform(F.element_at(index, x["r"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["i"]).alias("d")))))
+    df = df.withColumn("ls_has", F.array_distinct(F.transform("ls_ranked", lambda x: x["r"])))
+    rarest = [min(rank[w] for phrase in t.key_phrases for w in phrase.split(" ")) + 1 for t in templates]
+    df = df.withColumn("ls_open", F.array_compact(F.array(*[F.when(F.array_contains("ls_has", r), F.lit(t)) for t, r in enumerate(rarest)])))
+    looked_up = F.when(F.size("ls_open") > 0, F.col("ls_ranked")).otherwise(F.slice("ls_ranked", 1, 0))
+    postings_of = lambda x: F.filter(F.element_at(index, x["r"]), lambda p: F.array_contains("ls_open", p["t"]))
+    places = F.flatten(F.transform(looked_up, lambda x: F.transform(postings_of(x), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["i"]).alias("d")))))
     df = df.withColumn("ls_places", F.array_sort(places))
     # runs of equal (template, relative position); a place is noted once, when its run is long enough
     run = F.aggregate(
@@ -155,7 +157,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: tup
 
     def span(x: Column) -> Column:
         agreeing = F.size(F.filter("ls_places", lambda p: (p["t"] == x["t"]) & (p["d"] == x["d"])))
-        all_ = F.size(F.filter(F.element_at(template_words, x["t"] + 1), lambda r: F.array_contains("ls_top", r)))
+        all_ = F.size(F.filter(F.element_at(template_words, x["t"] + 1), lambda r: F.array_contains("ls_has", r)))
         return F.struct(F.element_at(labels, x["t"] + 1).alias("label"), x["d"].cast("long").alias("start"), (agreeing / all_).alias("score"))
 
     df = df.withColumn("license_spans", F.transform(F.filter("ls_found", verified), span))

@@ -91,6 +91,20 @@ def test_templates(spark):
     assert got[3].labels == "mit" and got[3].base_labels == "" and got[3].score > 0.5
 
 
+def test_notices_do_not_push_one_another_out(spark):
+    """Every notice is found beside every other one, though together they have far more than a few rare words."""
+    texts = {k: t.text for k, t in enumerate(licenses.TEMPLATES)}
+    rows, want = [], {}
+    for a, x in texts.items():
+        for b, y in texts.items():
+            rows.append((100 * a + b, f"{x}. some words stand between them here. {y}."))
+            want[100 * a + b] = {licenses.TEMPLATES[a].label, licenses.TEMPLATES[b].label}
+    rows.append((9000, " and then it goes on with other words ".join(texts.values())))
+    want[9000] = {t.label for t in licenses.TEMPLATES}
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: want[i] - got[i] for i in want if want[i] - got[i]} == {}
+
+
 # ------------------------------------------------------------------ personal data
 
 _E, _I = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
