@@ -90,10 +90,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---------------------------------------------------------------- word shapes
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
-#: Only around these can personal data of the four kinds stand; the rest of a text is outside by definition.
-_TRIGGER = re.compile(r"[0-9@]|\b(?:dot|DOT)\b")
-#: Characters that belong to a trigger's surroundings, and the gap at which surroundings part.
-_AROUND = 48
+#: What ``plausible`` asks of every kind: a digit, an @ or the word 'at'. A text with none of them is not decoded; all others are, whole.
+_NEEDED = re.compile(r"[0-9@]|(?<![^\W\d_])at(?![^\W\d_])", re.IGNORECASE)
+#: Tokens of texts that are decoded together; a longer text is decoded by itself.
+TOKENS = 200_000
 _WORDS = "at dot com org net email mail phone tel call fax mobile card visa ip address host version page section year chapter".split()
 _MARKS = "@.-()+:,/_=#\"'%*&$"
 _SHAPES = ["edge", "word", "Word", "WORD", "mark", "d1", "d2", "d3", "d4", "d5-8", "d9-12", "d13-19", "d20+", *(f"w:{w}" for w in _WORDS), *(f"m:{m}" for m in _MARKS)]
@@ -101,6 +101,7 @@ _ID = {s: i for i, s in enumerate(_SHAPES)}
 N_SHAPES = len(_SHAPES)
 
 
+@lru_cache(maxsize=1 << 16)
 def shape(token: str) -> int:
     c = token[0]
     if "0" <= c <= "9":
@@ -111,22 +112,9 @@ def shape(token: str) -> int:
     return _ID.get(f"m:{c}", _ID["mark"])
 
 
-def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around triggers, widened to white space where it is near."""
-    start = end = -1
-    for m in _TRIGGER.finditer(text):
-        if m.start() > end:
-            if end >= 0:
-                yield start, min(end, len(text))
-            start = max(0, m.start() - _AROUND)
-        end = m.end() + _AROUND
-    if end >= 0:
-        yield start, min(end, len(text))
-
-
 @dataclass
 class Sequence_:
-    """Tokens of one region: where they stand, their shapes, and whether white space precedes them."""
+    """Tokens of one text: where they stand, their shapes, and whether white space precedes them."""
 
     spans: list[tuple[int, int]]
     shapes: np.ndarray
@@ -172,7 +160,10 @@ class Field:
             return []
         sizes = np.array([len(s.shapes) for s in sequences])
         order = np.argsort(-sizes, kind="stable")
-        scores = self.weights[np.concatenate([features(s) for s in sequences])].sum(axis=1)
+        used = np.concatenate([features(s) for s in sequences])
+        scores = np.zeros((len(used), len(TAGS)))
+        for j in range(used.shape[1]):
+            scores += self.weights[used[:, j]]
         first = np.append(0, np.cumsum(sizes)[:-1])[order]
         running = np.searchsorted(-sizes[order], -np.arange(1, sizes.max() + 1), side="right")
         best = scores[first].copy()
@@ -181,14 +172,12 @@ class Field:
             through = best[:k, :, None] + self.moves
             back.append(through.argmax(axis=1).astype(np.int8))
             best[:k] = through.max(axis=1) + scores[first[:k] + i]
-        tags = best.argmax(axis=1)
-        out = [np.zeros(n, dtype=np.int8) for n in sizes]
-        for lane, k in enumerate(order.tolist()):
-            tag = int(tags[lane])
-            for i in range(sizes[k] - 1, -1, -1):
-                out[k][i] = tag
-                tag = int(back[i][lane, tag])
-        return out
+        tags, flat = best.argmax(axis=1), np.zeros(len(scores), dtype=np.int8)
+        for i in range(len(running) - 1, -1, -1):
+            k = running[i]
+            flat[first[:k] + i] = tags[:k]
+            tags[:k] = back[i][np.arange(k), tags[:k]]
+        return np.split(flat, np.cumsum(sizes)[:-1])
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -294,6 +283,10 @@ def production_field() -> Field:
 
 _LETTER = re.compile("[A-Za-z]")
 _MAIL_PARTS = (_LETTER, re.compile(r"@|\bat\b", re.IGNORECASE), _LETTER, re.compile(r"\.|\bdot\b", re.IGNORECASE), _LETTER)
+#: An address as it is written or spelled out: a name, the @ or 'at' in brackets or not, and a dotted host. The full stop of a sentence is no
+#: dot of a host, since white space stands on one side of it only. A label of a host has 63 characters at most.
+_GAP = r"[\s()\[\]{}<>_*\"'/|-]{0,4}"
+_ADDRESS = re.compile(rf"[^\W_]{_GAP}(?:@|(?<![^\W\d_])at(?![^\W\d_])){_GAP}[^\W_][\w-]{{0,62}}?(?:\.|\s\.\s|\s?[(\[{{<]\s?\.\s?[)\]}}>]\s?|{_GAP}(?<![^\W\d_])dot(?![^\W\d_]){_GAP})[^\W_]", re.IGNORECASE)
 
 
 def plausible(kind: str, value: str) -> bool:
@@ -312,18 +305,11 @@ def plausible(kind: str, value: str) -> bool:
         if not m:
             return False
         at = m.end()
-    return True
+    return bool(_ADDRESS.search(value))
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], field: Field) -> list[list[tuple[str, int, int]]]:
     """What the field finds beside the base spans: runs of one tag that are plausible and touch no base span."""
-    sequences, owners = [], []
-    for k, text in enumerate(texts):
-        for a, b in regions(text):
-            s = sequence(text, a, b)
-            if len(s.spans):
-                sequences.append(s)
-                owners.append(k)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     # of each text, where its base spans start and the furthest end of those up to each
     starts = [sorted((a, b) for _, a, b in base) for base in bases]
@@ -333,14 +319,28 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], field
         before = bisect_left(starts[k], (end, -1))
         return before > 0 and ends[k][before - 1] > start
 
-    for k, s, tags in zip(owners, sequences, field.decode(sequences), strict=True):
-        if not tags.any():
+    def flush() -> None:
+        for k, s, tags in zip(owners, sequences, field.decode(sequences), strict=True):
+            if not tags.any():
+                continue
+            cut = np.flatnonzero(np.append(True, tags[1:] != tags[:-1])).tolist()
+            for a, b in zip(cut, [*cut[1:], len(tags)], strict=True):
+                kind, start, end = TAGS[tags[a]], s.spans[a][0], s.spans[b - 1][1]
+                if tags[a] and plausible(kind, texts[k][start:end]) and not touches(k, start, end):
+                    out[k].append((kind, start, end))
+
+    sequences, owners, tokens = [], [], 0
+    for k, text in enumerate(texts):
+        if not _NEEDED.search(text):
             continue
-        cut = np.flatnonzero(np.append(True, tags[1:] != tags[:-1])).tolist()
-        for a, b in zip(cut, [*cut[1:], len(tags)], strict=True):
-            kind, start, end = TAGS[tags[a]], s.spans[a][0], s.spans[b - 1][1]
-            if tags[a] and plausible(kind, texts[k][start:end]) and not touches(k, start, end):
-                out[k].append((kind, start, end))
+        s = sequence(text, 0, len(text))
+        if tokens and tokens + len(s.spans) > TOKENS:
+            flush()
+            sequences, owners, tokens = [], [], 0
+        sequences.append(s)
+        owners.append(k)
+        tokens += len(s.spans)
+    flush()
     return out
 
 

@@ -141,6 +141,50 @@ def test_field(spark):
         assert find(clean) == []
 
 
+def test_marked_lines_are_found(spark):
+    """What the labelled table marks is found by the operator as well, and so are addresses without a digit, an @ or 'dot' near them."""
+    far = "Nothing of the kind stands in this sentence, which only puts some distance between the two. "
+    lines = [*pii.LABELLED, "write to [email|sales <at> example.com] today", "mail [email|ann.lee at example.com] now", far + "my address is [email|info(at)example.net] and nothing else. " + far]
+    texts, want = [], []
+    for line in lines:
+        text, spans = "", []
+        for plain, kind, value in re.findall(r"([^\[]+)|\[(\w+)\|([^\]]*)\]", line):
+            if kind:
+                spans.append((kind, len(text), len(text) + len(value)))
+            text += plain or value
+        texts.append(text.replace("<at>", "[at]"))
+        want.append(spans)
+    texts.append("ask Tom Dot Berg At Mail Dot Example Dot Org please")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r.doc_id: r.pii for r in pii.find(d).collect()}
+    got = {k: {(s.kind, s.start, s.end) for s in spans} for k, spans in rows.items()}
+    added = {k: {(s.kind, s.start, s.end) for s in spans if not s.base} for k, spans in rows.items()}
+    exact = range(len(want) - 1)
+    assert {texts[k]: got[k] for k in exact if not added[k] <= set(want[k]) <= got[k]} == {}
+    assert [(k, b) for k, a, b in added[len(want) - 1] if a <= want[-1][0][1]] == [("email", want[-1][0][2])]
+    assert [k for k, _, _ in added[len(want)]] == ["email"]
+
+
+def test_prose_has_no_addresses():
+    for t in ("henttion. At thingthes.\nRestre", "we met. At last. With joy", "ing&&& at%%% ou%%% ofthortionly%%% on.\nThe end.", "stay at home. Then go"):
+        assert not pii.plausible("email", t)
+    for t in ("info(at)example.net", "sales [at] example [dot] com", "ann.lee at example.com", "Tom Dot Berg At Mail Dot Example Dot Org", "a-at-b.org", "x @ y . com", "bob at mail (.) net", "tom AT mail DOT org"):
+        assert pii.plausible("email", t)
+
+
+def test_texts_are_decoded_alike(monkeypatch):
+    """How texts are put together for decoding does not change what is found."""
+    r = random.Random(5)
+    words = "we met at noon call (212) 555-0147 mail bob at example dot org Info(at)example.net 10.1.2.3 4 of x@y.zz _at_ é".split()
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(120)]
+    bases, field = [pii.base_spans(t) for t in texts], pii.production_field()
+    whole = pii.added_spans(texts, bases, field)
+    monkeypatch.setattr(pii, "TOKENS", 50)
+    assert pii.added_spans(texts, bases, field) == whole
+    assert [pii.added_spans([t], [b], field)[0] for t, b in zip(texts, bases, strict=True)] == whole
+    assert any(whole)
+
+
 def test_pii_cases(spark):
     d = spark.createDataFrame([(1, None), (2, ""), (3, "é mail a@b.c and 10.0.0.1"), (3, "é mail a@b.c and 10.0.0.1")], "doc_id long, text string").withColumn("pii", F.lit("mine"))
     rows = pii.find(d).collect()
