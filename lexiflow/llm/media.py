@@ -30,6 +30,8 @@ OFF = 2.5
 ROUNDS, HUBS, SHARED = 5, 2, 2
 #: Images that are described together.
 BLOCK = 256
+#: Members of a table entry that are paired at once in the last pass, at most twice as many in a block; and pairs that go on together.
+MEMBERS, PAIRS = 2048, 100_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _PATTERN = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 4)), -RADIUS * 0.7, RADIUS * 0.7)
@@ -192,12 +194,71 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "src long, dst long")
 
 
+def _open(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """(part, media_id, comp): the entries whose members are in different components by ``links``."""
+    comp = connected_components(links).withColumnRenamed("node", "media_id").withColumnRenamed("component", "found")
+    marked = staged(entries.select("part", "media_id").join(comp, "media_id", "left").select("part", "media_id", F.coalesce("found", "media_id").alias("comp")), "marked")
+    apart = marked.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("part", "size")
+    return marked.join(apart, "part")
+
+
+def _possible(open_: DataFrame) -> DataFrame:
+    """(src, dst): all pairs of an entry's members that are in different components.
+
+    Large entries are cut into chunks that meet two by two, so neither memory nor time of a task depends on the size of an entry.
+    """
+    rows = open_.withColumn("chunks", F.ceil(F.col("size") / MEMBERS).cast("int")).withColumn("c", F.pmod(F.xxhash64("media_id"), "chunks").cast("int"))
+    rows = rows.select("part", "media_id", "comp", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("x"))
+    rows = rows.select("part", F.least("c", "x").alias("lo"), F.greatest("c", "x").alias("hi"), "c", "media_id", "comp")
+    rows = rows.repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi")
+
+    def of(ids: np.ndarray, comps: np.ndarray, c: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(len(ids) - 1):
+            j = np.arange(i + 1, len(ids))
+            j = j[(comps[j] != comps[i]) & ((lo == hi) | (c[j] != c[i]))]  # those of one chunk meet where it meets itself
+            if len(j):
+                yield np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, src, dst, found = None, [], [], 0
+
+        def blocks() -> Iterator[np.ndarray]:
+            nonlocal left
+            for batch in batches:
+                now = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(6)])
+                left = now if left is None else np.concatenate([left, now], axis=1)
+                cut = [0, *(np.flatnonzero((left[:3, 1:] != left[:3, :-1]).any(axis=0)) + 1).tolist()]
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    yield left[:, a:b]
+                left = left[:, cut[-1] :]
+            if left is not None and left.shape[1]:
+                yield left
+
+        for block in blocks():
+            for a, b in of(block[4], block[5], block[3], int(block[1, 0]), int(block[2, 0])):
+                src.append(a)
+                dst.append(b)
+                found += len(a)
+                if found >= PAIRS:
+                    yield as_batch(src, dst)
+                    src, dst, found = [], [], 0
+        if found:
+            yield as_batch(src, dst)
+
+    def as_batch(src: list[np.ndarray], dst: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["src", "dst"])
+
+    return rows.mapInArrow(run, "src long, dst long").distinct()
+
+
 def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
     """(id, n_points, component_id) for every row of ``media``; ids are integers, component_id is the least id among the copies.
 
     Equal images form a class and are represented by their least id. In every round each representative is tested against the best connected
-    members of its table entries that are in another component; rounds end when none adds a link. So the work of
-    a round is linear in the entries, however many images share one, and no entry is dropped.
+    members of its table entries that are in another component; rounds end when none adds a link. A last pass tests all pairs
+    that share an entry, be it one only, and are still in different components, so components are those of all verified pairs
+    with a common entry. Rounds are linear in the entries and leave that pass less to do; it is not linear.
     Null, empty and undecodable images have no points and, unless equal, no copies; null and empty ones have none at all. A row without id has
     component null; rows of one id share a component. An empty table gives an empty result.
     """
@@ -225,6 +286,10 @@ def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "im
         if now.isEmpty():
             break
         links, tested = links.unionByName(now), pairs if tested is None else tested.unionByName(pairs)
+    pairs = _possible(_open(entries, links))
+    if tested is not None:
+        pairs = pairs.join(tested.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), ["src", "dst"], "left_anti")
+    links = links.unionByName(staged(_verified(pairs, found.where("media_id is not null").dropDuplicates(["media_id"])), "links"))
     comp = connected_components(links).withColumnRenamed("node", "media_id")
     out = found.select("media_id", "n_points").join(comp, "media_id", "left")
     return out.select(F.col("media_id").alias(id_col), "n_points", F.coalesce("component", "media_id").alias("component_id"))

@@ -301,6 +301,63 @@ def test_copies_are_found(spark):
     assert len({got[i] for i in range(40)}) == 40
 
 
+def parts_of(tests):
+    words = np.ascontiguousarray(tests).view(np.uint32).astype(np.int64)
+    return set((words + (np.arange(words.shape[1], dtype=np.int64) << 32)).ravel().tolist())
+
+
+def all_pairs(found):
+    """The least id of each component by agree() on all pairs that share a part."""
+    low = {i: i for i in found}
+    parts = {i: parts_of(t) for i, (_, t) in found.items()}
+
+    def root(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for i in sorted(found):
+        for j in sorted(found):
+            if i < j and parts[i] & parts[j] and max(media.agree(found[i], found[j]), media.agree(found[j], found[i])) >= media.AGREEING:
+                a, b = root(i), root(j)
+                low[max(a, b)] = min(a, b)
+    return {i: root(i) for i in found}
+
+
+@pytest.mark.parametrize("members", [2048, 2])
+def test_copies_behind_a_hub(spark, monkeypatch, members):
+    """Copies that share one entry only, and copies whose common entries all hold an unrelated image of higher degree too."""
+    r = np.random.Generator(np.random.PCG64(4))
+
+    def fresh(n=10):
+        place = np.stack([r.uniform(0, 60, n), r.uniform(0, 60, n), np.ones(n), np.zeros(n)], axis=1).astype(np.float32)
+        return place, r.integers(0, 256, (n, 16), dtype=np.uint8)
+
+    def edited(image, keep):
+        """One bit of every part changed, but for the first part of the first ``keep`` descriptors."""
+        place, tests = image[0], image[1].copy()
+        tests[:, ::4] ^= 1
+        tests[:keep, 0] ^= 1
+        return place, tests
+
+    found, hub = {}, fresh(40)
+    for k in range(12):
+        a = fresh()
+        b = edited(a, 1 + 2 * (k % 2))
+        found[2 * k], found[2 * k + 1] = a, b
+        if k % 2:  # the hub holds the entries that these two have in common
+            hub[1][3 * (k // 2) : 3 * (k // 2) + 3, :4] = a[1][:3, :4]
+    found[1000] = hub
+    rows = [(i, i, len(p), p.tobytes() + t.tobytes(), sorted(parts_of(t))) for i, (p, t) in found.items()]
+    crafted = spark.createDataFrame(rows, "media_id long, digest long, n_points long, points binary, parts array<long>")
+    monkeypatch.setattr(media, "descriptors", lambda *_: crafted)
+    monkeypatch.setattr(media, "MEMBERS", members, raising=False)  # so that entries are cut into several chunks
+    got = {x.media_id: x.component_id for x in media.find_copies(crafted.select("media_id", F.lit(b"").alias("image"))).collect()}
+    want = all_pairs(found)
+    assert len(set(want.values())) == 13
+    assert got == want
+
+
 def test_media_cases(spark):
     flat = media.encode(np.full((40, 40), 9.0))
     rows = [(1, None), (2, b""), (3, b"not an image"), (4, flat), (5, media.encode(picture(1))), (6, media.encode(picture(1))), (6, media.encode(picture(1))), (None, media.encode(picture(1))), (7, media.encode(picture(2, 12)))]
