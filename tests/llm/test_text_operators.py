@@ -358,6 +358,15 @@ def test_copies_behind_a_hub(spark, monkeypatch, members):
     assert got == want
 
 
+def test_rendered_copies_against_all_pairs(spark):
+    """The operator itself on the smallest table, against agree() on all pairs that share a part."""
+    small = "/root/testdata/sf0.001"
+    images = media.render(spark.read.parquet(f"{small}/embeddings.parquet")).collect()
+    found = dict(zip([x.media_id for x in images], media.describe([media.decode(bytes(x.image)) for x in images]), strict=True))
+    got = {x.media_id: x.component_id for x in media.op1_media_copies(spark, small).collect()}
+    assert len(images) > 100 and got == all_pairs(found)
+
+
 def test_media_cases(spark):
     flat = media.encode(np.full((40, 40), 9.0))
     rows = [(1, None), (2, b""), (3, b"not an image"), (4, flat), (5, media.encode(picture(1))), (6, media.encode(picture(1))), (6, media.encode(picture(1))), (None, media.encode(picture(1))), (7, media.encode(picture(2, 12)))]
