@@ -241,14 +241,24 @@ def planted(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_join_against_brute_force(spark, seed, monkeypatch):
     rows = planted(seed)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)  # so that groups are cut into several blocks
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)  # so that groups are cut into several blocks
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
 
 
 def test_signatures_meet():
-    """Sets at the threshold share a signature, whatever their size and whatever counts as frequent."""
+    """Sets at the threshold share as many signatures as promised, of both kinds and in one band at least, whatever their size."""
     r = np.random.Generator(np.random.PCG64(1))
+
+    def meet(a, b, partitions, second, need):
+        ways = []
+        for _, band in jaccard_join._bands(np.array([len(a)])):
+            if len(band) and any(len(x) and x[0] == band[0] for _, x in jaccard_join._bands(np.array([len(b)]))):
+                q = partitions(band)
+                sig = [jaccard_join.signatures(s, np.array([len(s)]), band, q, second)[0] for s in (a, b)]
+                ways.append(np.intersect1d(*sig).size >= max(need(np.array([len(s)]), q)[0] for s in (a, b)) >= 1)
+        return any(ways)
+
     with np.errstate(over="ignore"):
         for n in [4, 5, 6, 7, 8, 9, 15, 16, 17, 31, 40, 63, 64, 65, 100, 127, 128, 200, 500, 1000]:
             for _ in range(30):
@@ -259,9 +269,28 @@ def test_signatures_meet():
                 b = np.unique(np.concatenate([r.permutation(a)[:i], r.integers(0, 2**64, x, dtype=np.uint64)]))
                 if not jaccard_join.similar(i, len(a), len(b)):
                     continue
-                frequent = np.sort(r.permutation(a)[: n // 2])
-                sig = [jaccard_join.signatures(s, ~np.isin(s, frequent)) for s in (a, b)]
-                assert np.array_equal(a, b) or np.intersect1d(*sig).size
+                assert meet(a, b, jaccard_join.whole_partitions, 1, lambda n, q: q - n // 4)
+                assert meet(a, b, jaccard_join.enumerated_partitions, jaccard_join.SECOND, jaccard_join.shared_subsets)
+
+
+def test_sketches_bound_the_difference():
+    r = np.random.Generator(np.random.PCG64(3))
+    for n in [4, 100, 127, 128, 500, 3000]:
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 10], r.integers(0, 2**64, n // 8, dtype=np.uint64)]))
+        x, y = sorted((np.frombuffer(jaccard_join._sketch(s), dtype=np.uint8) for s in (a, b)), key=len)
+        if len(y) > len(x):
+            y = y[: len(x)] ^ y[len(x) :]
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_one_id_on_two_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:30], "new", *words[31:]])
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(3, " ".join(words)), (3, other), (1, other + " "), (7, near), (9, near), (9, near)]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.join_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 1), (1, 1), (7, 1), (9, 1)}
 
 
 def test_join_cases(spark):
