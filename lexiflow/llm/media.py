@@ -1,8 +1,10 @@
 """Edited and cropped copies in a column of images, by local descriptors.
 
 Corners are found at several scales; each gets an orientation from the centroid of its surroundings and a string of binary tests turned
-by it. Descriptors meet in tables of their 32-bit parts: images that share a part are candidates. A candidate pair is verified
-by matching descriptors by Hamming distance and counting how many matches agree on one scale, turn and shift.
+by it. Descriptors meet in Hamming tables, one for each of their 32-bit parts. One corner alone tells little, and tables of single parts fill
+with chance meetings that grow with the square of the images; so a table's key is a corner's part together with that of a neighbouring corner and the
+coarse turn, direction and distance between the two. Images that share a key are candidates. A candidate pair is verified by matching
+descriptors by Hamming distance and counting how many matches agree on one scale, turn and shift.
 """
 
 from __future__ import annotations
@@ -17,9 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged
 from .components import connected_components
+from .shingles import mixed
 
-#: Scales, and the strongest corners that are described at each.
-SCALES, CORNERS = (1.0, 0.75, 0.5), (16, 12, 8)
+#: Scales, and the strongest corners that are described at each in a picture of :data:`AREA` pixels; larger ones have more, as their sides grow.
+SCALES, CORNERS, AREA = (1.0, 0.75, 0.5), (16, 12, 8), 64 * 64
+#: Neighbours that a corner is paired with, the pixels they are apart at least, and the steps of turn, direction and distance in a key.
+NEIGHBOURS, APART, TURNS, STEP = 3, 3.0, 12, 1.3
 #: Radius of the surroundings of a corner, and the number of binary tests.
 RADIUS, TESTS = 7, 128
 #: Bits by which matching descriptors may differ, and matches that have to agree on the geometry.
@@ -28,7 +33,7 @@ BITS, AGREEING = 12, 6
 OFF = 2.5
 #: Rounds of verification, hubs that an image is tested against in a round, and table entries that it must share with one.
 ROUNDS, HUBS, SHARED = 5, 2, 2
-#: Images that are described together.
+#: Images of :data:`AREA` pixels that are described together.
 BLOCK = 256
 #: Members of a table entry that are paired at once in the last pass, at most twice as many in a block; and pairs that go on together.
 MEMBERS, PAIRS = 2048, 100_000
@@ -101,7 +106,7 @@ def describe_stack(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         inside = np.zeros((h, w), dtype=bool)
         inside[edge : h - edge, edge : w - edge] = True
         strength = np.where(peak & inside, response, -np.inf).reshape(n, -1)
-        k = min(most, strength.shape[1])
+        k = min(round(most * max(1.0, stack.shape[1] * stack.shape[2] / AREA) ** 0.5), strength.shape[1])
         best = np.argsort(-strength, axis=1, kind="stable")[:, :k]
         found = np.isfinite(np.take_along_axis(strength, best, axis=1))
         ys, xs = best // w, best % w
@@ -126,14 +131,44 @@ def describe(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.ndarr
     for i, x in enumerate(images):
         if x is not None:
             shapes.setdefault(x.shape, []).append(i)
-    for which in shapes.values():
-        for begin in range(0, len(which), BLOCK):
-            part = which[begin : begin + BLOCK]
+    for shape, which in shapes.items():
+        block = max(1, BLOCK * AREA // (shape[0] * shape[1]))
+        for begin in range(0, len(which), block):
+            part = which[begin : begin + block]
             for i, found in zip(part, describe_stack(np.stack([images[i] for i in part])), strict=True):
                 out[i] = found
     return out
 
 
+def keys(points: np.ndarray, tests: np.ndarray) -> np.ndarray:
+    """The distinct keys of an image in the Hamming tables: for each corner, each of its nearest neighbours and each 32-bit part.
+
+    Of the two corners the one with the lesser part comes first, so it does not matter which is the other's neighbour.
+    """
+    if len(points) < 2:
+        return np.zeros(0, dtype=np.int64)
+    place = points[:, 0].astype(np.float64) + 1j * points[:, 1]
+    away = np.abs(place[:, None] - place[None, :])
+    away[away < APART] = np.inf
+    near = np.argsort(away, axis=1, kind="stable")[:, :NEIGHBOURS]
+    i, j = np.repeat(np.arange(len(points)), near.shape[1]), near.ravel()
+    known = np.isfinite(away[i, j])
+    i, j = i[known], j[known]
+    words = np.ascontiguousarray(tests).view(np.uint32).astype(np.uint64)
+    angle, size = points[:, 3].astype(np.float64), points[:, 2].astype(np.float64)
+    out = []
+    with np.errstate(over="ignore"):
+        for table in range(words.shape[1]):
+            a, b = np.where(words[i, table] <= words[j, table], (i, j), (j, i))
+            turn = np.floor((angle[b] - angle[a]) / (2 * np.pi) % 1 * TURNS)
+            way = np.floor((np.angle(place[b] - place[a]) - angle[a]) / (2 * np.pi) % 1 * TURNS)
+            far = np.floor(np.log(away[a, b] / size[a]) / np.log(STEP))
+            level = np.rint(8 * np.log(size[b] / size[a]))
+            geometry = ((turn * 64 + way) * 128 + (far + 64)) * 128 + (level + 64)
+            out.append(mixed(mixed(words[a, table] << np.uint64(32) | words[b, table]) + mixed(geometry.astype(np.int64).astype(np.uint64) * np.uint64(8) + np.uint64(table))))
+    return np.unique(np.concatenate(out).view(np.int64))
+
+
 def agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
     """The greatest number of descriptor matches that fit one scale, turn and shift."""
     (pa_, ta), (pb, tb) = a, b
@@ -160,25 +195,22 @@ def _points(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def descriptors(media: DataFrame, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
-    """(media_id, digest, n_points, points binary, parts array<long>) for every row; parts are the keys in the Hamming tables."""
+    """(media_id, digest, n_points, points binary, parts array<long>) for every row; parts are the :func:`keys` in the Hamming tables."""
     bounded_batches(media.sparkSession)
-    rows = media.select(F.col(id_col).cast("long").alias("media_id"), F.xxhash64(image_col).alias("digest"), F.col(image_col).alias("image"))
+    rows = media.select(F.col(id_col).cast("long").alias("media_id"), F.sha2(image_col, 256).alias("digest"), F.col(image_col).alias("image"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 4 * BLOCK):
                 batch = whole.slice(begin, 4 * BLOCK)
                 found = describe([decode(x.as_py()) for x in batch.column(2)])
-                parts = []
-                for _, t in found:
-                    words = np.ascontiguousarray(t).view(np.uint32).astype(np.int64)
-                    parts.append(np.unique(words + (np.arange(words.shape[1], dtype=np.int64) << 32)).tolist())
+                parts = [keys(p, t) for p, t in found]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array([len(p) for p, _ in found], type=pa.int64()), pa.array([p.tobytes() + t.tobytes() for p, t in found], type=pa.binary()), pa.array(parts, type=pa.list_(pa.int64()))],
                     names=["media_id", "digest", "n_points", "points", "parts"],
                 )
 
-    return rows.mapInArrow(run, "media_id long, digest long, n_points long, points binary, parts array<long>")
+    return rows.mapInArrow(run, "media_id long, digest string, n_points long, points binary, parts array<long>")
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -191,7 +223,7 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
             ok = [agree(_points(a, n), _points(b, m)) >= AGREEING for n, a, m, b in zip(r["src_n"], r["src_points"], r["dst_n"], r["dst_points"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(ok, type=pa.bool_()))
 
-    return both.mapInArrow(run, "src long, dst long")
+    return both.mapInArrow(run, "src long, dst long").distinct()
 
 
 def _open(entries: DataFrame, links: DataFrame) -> DataFrame:
@@ -260,15 +292,19 @@ def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "im
     that share an entry, be it one only, and are still in different components, so components are those of all verified pairs
     with a common entry. Rounds are linear in the entries and leave that pass less to do; it is not linear.
     Null, empty and undecodable images have no points and, unless equal, no copies; null and empty ones have none at all. A row without id has
-    component null; rows of one id share a component. An empty table gives an empty result.
+    component null; rows of one id are one picture in several versions, linked where any version is, and share a component. Equal images are
+    told by SHA-256. Pictures of any size are read whole, few at a time if they are large. An empty table gives an empty result; other columns are not looked at.
     """
     found = staged(descriptors(media.select(id_col, image_col), id_col, image_col), "descriptors")
     usable = found.where("media_id is not null and n_points > 0")
-    classes = usable.groupBy("digest").agg(F.min("media_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = staged(usable.join(classes, "digest").where("media_id <> rep").select("media_id", "rep"), "copies")
-    entries = usable.select("media_id", F.explode("parts").alias("part")).join(copies, "media_id", "left").select("part", F.coalesce("rep", "media_id").alias("media_id")).distinct()
-    size = entries.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    entries = staged(entries.join(size, "part"), "entries")
+    classes = staged(usable.groupBy("digest").agg(F.min("media_id").alias("rep"), F.max("media_id").alias("last")), "classes")
+    copies = staged(usable.join(classes.where("rep <> last"), "digest").where("media_id <> rep").select("media_id", "rep").distinct(), "copies")
+    chosen = usable.join(classes, "digest").where("media_id = rep").select("media_id", "digest", "n_points", "points", "parts").dropDuplicates(["media_id", "digest"])
+    chosen = staged(chosen, "representatives")
+    every = chosen.select("media_id", F.explode("parts").alias("part"))
+    # most keys are in one image only; the rest is a written table, so Spark broadcasts it only while it is small
+    size = staged(every.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    entries = staged(every.join(size, "part"), "entries")
     degree = entries.groupBy("media_id").agg(F.sum("size").alias("degree"))
     entries = staged(entries.join(degree, "media_id").select("part", "media_id", "degree"), "entries")
     links = copies.select(F.col("media_id").alias("src"), F.col("rep").alias("dst"))
@@ -282,39 +318,41 @@ def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "im
             met = met.join(tested.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))), ["src", "dst"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("times"), "dst"))
         pairs = staged(met.withColumn("k", rank).where(F.col("k") <= HUBS).select("src", "dst"), "pairs")
-        now = staged(_verified(pairs, found.where("media_id is not null").dropDuplicates(["media_id"])), "links")
+        now = staged(_verified(pairs, chosen), "links")
         if now.isEmpty():
             break
         links, tested = links.unionByName(now), pairs if tested is None else tested.unionByName(pairs)
     pairs = _possible(_open(entries, links))
     if tested is not None:
         pairs = pairs.join(tested.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), ["src", "dst"], "left_anti")
-    links = links.unionByName(staged(_verified(pairs, found.where("media_id is not null").dropDuplicates(["media_id"])), "links"))
+    links = links.unionByName(staged(_verified(pairs, chosen), "links"))
     comp = connected_components(links).withColumnRenamed("node", "media_id")
     out = found.select("media_id", "n_points").join(comp, "media_id", "left")
     return out.select(F.col("media_id").alias(id_col), "n_points", F.coalesce("component", "media_id").alias("component_id"))
 
 
-def _basis(side: int) -> np.ndarray:
-    """64 waves of different direction and length; a vector's values are their strengths."""
+def _basis(side: int, count: int) -> np.ndarray:
+    """``count`` waves of different direction and length; a vector's values are their strengths."""
     steps = (np.arange(side) + 0.5) / side
-    waves = [(u, v) for u in range(1, 14) for v in range(1, 14)]
-    chosen = np.random.Generator(np.random.PCG64(5)).permutation(len(waves))[:64]
+    most = max(14, int(np.ceil(np.sqrt(count))) + 1)
+    waves = [(u, v) for u in range(1, most) for v in range(1, most)]
+    chosen = np.random.Generator(np.random.PCG64(5)).permutation(len(waves))[:count]
     return np.stack([np.outer(np.cos(np.pi * waves[k][0] * steps), np.cos(np.pi * waves[k][1] * steps)).ravel() for k in chosen]).astype(np.float32)
 
 
 def render(embeddings: DataFrame, side: int = 64) -> DataFrame:
-    """(media_id, image): a picture of each vector, and of every tenth id also a cropped and darkened copy with id -1 - vec_id."""
+    """(media_id, image): a picture of each vector, all values of it, and of every tenth id also a cropped and darkened copy with id -1 - vec_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis = _basis(side)
+        waves: dict[int, np.ndarray] = {}
         for batch in batches:
             ids, images = [], []
             for id_, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if id_ is None or not values or any(v is None for v in values):
                     continue
-                v = np.resize(np.array(values, dtype=np.float32), 64)
-                grey = (v @ basis).reshape(side, side)
+                if len(values) not in waves:
+                    waves[len(values)] = _basis(side, len(values))
+                grey = (np.array(values, dtype=np.float32) @ waves[len(values)]).reshape(side, side)
                 grey = 128 + 50 * (grey - grey.mean()) / (grey.std() + 1e-6)
                 ids.append(id_)
                 images.append(encode(grey))
