@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, documents, held_model
+from .common import bounded_batches, documents, held_model, with_python
 from .pretokens import split
 
 #: Pre-tokens whose encoding a task remembers in each of two generations; when one is full, the older one goes.
 REMEMBERED = 200_000
+#: Pairs of tokens of which a coder remembers whether they may meet; when they are too many, all are forgotten.
+PAIRS = 1_000_000
 #: Bytes of text in one batch that goes back to Spark.
 BATCH_BYTES = 4_000_000
 
@@ -75,6 +77,8 @@ class PrefixBPE:
         """
         known = self._together.get((left, right))
         if known is None:
+            if len(self._together) >= PAIRS:
+                self._together.clear()
             known = self._together[left, right] = self._adjacent(left, right)
         return known
 
@@ -171,12 +175,12 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
 
     ``vocabulary`` is the place of a rank file, the same on all machines. Null counts as empty; an empty text has no ids and
     no bytes. Texts of any length are encoded whole, row by row, in batches of bounded size. Columns of ``docs``
-    with these two names are replaced. Repeated rows give repeated results, an empty table gives an empty one.
+    with these two names are replaced, others may have any name. Repeated rows give repeated results, an empty table gives an empty one.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.drop("bpe_ids", "bpe_bytes")
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("bpe_ids", T.ArrayType(T.IntegerType())), T.StructField("bpe_bytes", T.BinaryType())])
+    new = [T.StructField("bpe_ids", T.ArrayType(T.IntegerType())), T.StructField("bpe_bytes", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = held_model(vocabulary, lambda: PrefixBPE.load(vocabulary))
@@ -200,7 +204,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(raw, type=pa.binary())], names=[*batch.schema.names, "bpe_ids", "bpe_bytes"])
                 begin = end
 
-    return docs.mapInArrow(run, schema)
+    return with_python(docs, run, new)
 
 
 def digests(encoded: DataFrame, *keep: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Hashable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that the contracts name: space and the five control characters U+0009 to U+000D.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -18,12 +19,15 @@ WHITE = r"[\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset (tests on one machine)
-    is a temporary folder taken, and remembered in the session for later calls.
+    ``spark.checkpoint.dir`` names it on a cluster, and has to. Only where that is unset and all runs on one machine, as in
+    tests, is a temporary folder taken, and remembered in the session for later calls.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+        named = spark.sparkContext.getCheckpointDir()
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        named = named or tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -36,8 +40,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a :func:`staged` table that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        jvm, java = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(java.hadoopConfiguration()).delete(folder, True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let a batch on its way to Python have at most so many rows, since whole texts are in it; a smaller setting stands."""
+    """Let a batch on its way to Python have at most so many rows, since whole texts are in it; a smaller setting stands.
+
+    This is a setting of the session and stays; it bounds memory of later queries as well and changes no result.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
@@ -74,6 +90,19 @@ def _give_back() -> None:
         trim(0)
 
 
+def with_python(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], new: list[T.StructField]) -> DataFrame:
+    """``df`` through ``run``, which adds the columns ``new`` at the end of each batch. In ``run`` columns are known by place, so no name is in the way."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    added = [T.StructField(f"n{k}", f.dataType) for k, f in enumerate(new)]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    names = [*plain.columns, *(f.name for f in added)]
+    return plain.mapInArrow(named, T.StructType([*plain.schema.fields, *added])).toDF(*df.columns, *(f.name for f in new))
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

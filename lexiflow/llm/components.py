@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -42,11 +42,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         mirrored = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_minimum(mirrored).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _to_minimum(large)
-        now = staged(
+        past, now = now, staged(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct(),
             "edges",
         )
         after = _state(now)
+        discard(past)  # what follows reads the new table only
         if after == before:
             break
         before = after

@@ -58,11 +58,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | No
     ``weights`` gives the share of each source in the mix; a source that it lacks gets none. ``rows`` is the expected size of the mix, as
     many rows as there are by default. A null source is a source of its own under the default weights and has no share under
     given ones. A null id draws like the id ``null``; rows that repeat an id draw alike. Texts are not looked at.
-    An empty table gives an empty result. Columns of ``docs`` called like the two new ones are replaced.
+    An empty table gives an empty result. Columns of ``docs`` called like the two new ones, in whatever case, are replaced; texts may be of any length.
 
     The table of rates is written first, so Spark knows its size and broadcasts it only while it is small.
     """
-    docs = docs.drop(*[c for c in (copy_col, order_col) if c in docs.columns])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (copy_col.lower(), order_col.lower())])
     key, cdf, n = (fresh(docs, x) for x in ("mix_source", "mix_cdf", "mix_n"))
     rates = source_rates(docs, weights, source_col, rows).select(F.col("source").alias(key), F.col("cdf").alias(cdf))
     drawn = docs.join(rates, F.col(source_col).eqNullSafe(F.col(key))).withColumn(n, F.size(F.filter(cdf, lambda c: c <= uniform(F.col(id_col), seed))))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, documents, fresh
+from .common import bounded_batches, documents, fresh, with_python
 from .pretokens import split
 
 #: Pre-tokens whose count a worker remembers; the memory is emptied when it is full.
@@ -108,7 +108,7 @@ def _worker(path: str) -> RankMerger:
 
 
 def count_tokens(docs: DataFrame, description: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
-    """All columns of ``docs`` with ``out_col`` (long), which replaces a column of that name.
+    """All columns of ``docs`` with ``out_col`` (long), which replaces a column of that name; others may have any name.
 
     ``description`` is the place of the tokenizer's file, the same on all machines. Null counts as empty, and an empty text has no
     tokens. Texts are counted whole. Repeated rows give repeated counts, an empty table gives an empty one.
@@ -116,7 +116,6 @@ def count_tokens(docs: DataFrame, description: str, text_col: str = "text", out_
     bounded_batches(docs.sparkSession)
     docs = docs.drop(out_col) if out_col != text_col else docs.withColumnRenamed(text_col, text_col := fresh(docs, "text_in"))
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _worker(description)
@@ -131,7 +130,7 @@ def count_tokens(docs: DataFrame, description: str, text_col: str = "text", out_
             found += merger.count_texts(block)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, type=pa.int64())], names=[*batch.schema.names, out_col])
 
-    return docs.mapInArrow(run, schema)
+    return with_python(docs, run, [T.StructField(out_col, T.LongType())])
 
 
 def production_description() -> str:
