@@ -1,5 +1,6 @@
 """Language ID, licences, personal data, the similarity join and images: brute force, held-out accuracy and edge cases."""
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -29,25 +30,68 @@ def test_held_out_accuracy(spark, documents):
     assert n > 150 and right > 0.98
 
 
-def test_phrases_are_longest_matches():
-    samples = (("a", "the cat sat on the mat " * 3), ("b", "un chat noir et un chien " * 3))
-    parser = language_id.CrossParser(samples)
+def phrases_of(symbols, sample):
+    """The number of longest matches, from left to right; a symbol that the sample lacks is one by itself."""
+    known, text = "".join(map(chr, sample)), "".join(map(chr, symbols))
+    count = i = 0
+    while i < len(text):
+        n = 1
+        while i + n < len(text) and text[i : i + n] in known and text[i : i + n + 1] in known:
+            n += 1
+        count, i = count + 1, i + n
+    return count
+
+
+@pytest.mark.parametrize("cells", [language_id.CELLS, 0])
+def test_phrases_are_longest_matches(monkeypatch, cells):
+    monkeypatch.setattr(language_id, "CELLS", cells)  # full tables, and hash tables
     r = random.Random(3)
-    for _ in range(50):
-        text = "".join(r.choice("thecasonumir ") for _ in range(r.randint(1, 300)))
-        symbols = parser.alphabet.symbols(text)
-        for k, (_, sample) in enumerate(samples):
-            known = parser.alphabet.symbols(sample).tobytes()
-            count, i, raw = 0, 0, symbols.tobytes()
-            while i < len(raw):
-                n = 1
-                while i + n < len(raw) and raw[i : i + n + 1] in known:
-                    n += 1
-                if raw[i : i + 1] not in known:
-                    n = 1
-                count, i = count + 1, i + n
-            got = parser.phrases([symbols])[0][k]
-            assert abs(got - count) <= sum(1 for c in raw if bytes([c]) not in known) + 1
+    noise = "".join(r.choice("abcdef ") for _ in range(3000))
+    samples = (("a", "the cat sat on the mat " * 3), ("b", "un chat noir et un chien " * 3), ("c", noise), ("d", "ab"))
+    parser = language_id.CrossParser(samples)
+    # texts of many segments; matches that span whole segments; letters that a sample lacks, one by one and in runs
+    texts = ["".join(r.choice("thecasonumir zxZ.") for _ in range(r.randint(1, 5000))) for _ in range(12)]
+    texts += [noise, noise[100:] + noise, "ab" * 2500, "zx" * 1500, "the cat sat on the mat " * 200, "t", "z", noise[:1024], noise[7:519] + "the cat"]
+    symbols = [parser.alphabet.symbols(t) for t in texts]
+    want = [[phrases_of(s, parser.alphabet.symbols(sample)) for _, sample in samples] for s in symbols]
+    assert parser.phrases(symbols).tolist() == want
+    assert [parser.phrases([s])[0].tolist() for s in symbols] == want
+    assert parser.predict(texts) == tuple(map(list, zip(*(one_prediction(s, p, [x for x, _ in samples]) for s, p in zip(symbols, want, strict=True)), strict=True)))
+
+
+def one_prediction(symbols, phrases, langs):
+    best, second = sorted(phrases)[:2]
+    return langs[phrases.index(best)], max(0.0, 1 - best / second), (best - 1) / len(symbols)
+
+
+def test_prediction_against_brute_force(spark):
+    """The query on the smallest table: every language and score, from whole texts parsed from left to right."""
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    samples = language_id.train(docs)
+    alphabet = language_id.CrossParser(samples).alphabet
+    got = {r.doc_id: r for r in language_id.op2_language_id(spark, small).collect()}
+    rows = docs.collect()
+    assert len(rows) == len(got) == 200
+    for r in rows:
+        symbols = alphabet.symbols((r.text or "")[:6000])
+        if len(r.text or "") > 6000:
+            continue  # the plain parse takes minutes on the longest texts
+        if not (symbols > 0).any():
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        lang, score, _ = one_prediction(symbols, [phrases_of(symbols, alphabet.symbols(t)) for _, t in samples], [x for x, _ in samples])
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == (lang, score)
+
+
+def test_scripts_with_many_letters(spark):
+    """Languages of hundreds of letters that share none are told apart always."""
+    r = random.Random(8)
+    scripts = {"a": [chr(97 + k) for k in range(26)], "b": [chr(0x4E00 + k) for k in range(400)], "c": [chr(0xAC00 + k) for k in range(400)]}
+    rows = [(k, "".join(r.choice(scripts[lang]) for _ in range(200)), lang) for k, lang in enumerate(list("abc") * 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.identify(d, language_id.train(d))
+    assert found.where("lang_pred <> lang").count() == 0
 
 
 def test_language_cases(spark):
@@ -141,6 +185,50 @@ def test_field(spark):
         assert find(clean) == []
 
 
+def test_viterbi_against_all_paths():
+    """The decoded tags score as much as the best of all tag paths, for sequences decoded together."""
+    field, r = pii.production_field(), random.Random(6)
+    words = "call (212) 555 at x @ dot mail DE75 token = 3f9 Mr. Ann".split()
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(25)]
+    read = [s for s in pii.sequences(texts) if len(s.shapes) <= 5]
+    assert len(read) > 10
+    for s, tags in zip(read, field.decode(read), strict=True):
+        scores = field.weights[pii.features(s)].sum(axis=1)
+        worth = lambda path: sum(scores[i, t] for i, t in enumerate(path)) + sum(field.moves[a, b] for a, b in zip(path, path[1:], strict=False))  # noqa: E731, B023
+        best = max(map(worth, itertools.product(range(len(pii.TAGS)), repeat=len(s.shapes))))
+        assert abs(worth(tags.tolist()) - best) < 1e-3
+
+
+def test_tokens_against_plain_code():
+    plain = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
+    r = random.Random(2)
+    texts = ["", " ", "\n\n", *("".join(r.choice("ab Zé9 0\n\t_.@-٣²ß") for _ in range(r.randint(0, 60))) for _ in range(300))]
+    for t, s in zip(texts, pii.sequences(texts), strict=True):
+        spans = [m.span() for m in plain.finditer(t)]
+        assert list(zip(s.begins.tolist(), s.ends.tolist(), strict=True)) == spans
+        assert s.spaced.tolist() == [int(k == 0 or spans[k - 1][1] < a) for k, (a, _) in enumerate(spans)]
+
+
+def test_measured_lines():
+    """Recall and precision on marked lines that are not in the training table."""
+    assert not set(pii.MEASURED) & set(pii.LABELLED)
+    marked = [pii.unmarked(line) for line in pii.MEASURED]
+    texts = [t for t, _ in marked]
+    bases = [pii.base_spans(t) for t in texts]
+    want = {(k, s) for k, (_, spans) in enumerate(marked) for s in spans}
+    got = {(k, s) for k, spans in enumerate(bases) for s in spans} | {(k, s) for k, spans in enumerate(pii.added_spans(texts, bases, pii.production_field())) for s in spans}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_added_spans_in_documents(spark, documents):
+    """On the tables the field adds secrets, which no base pattern knows, and nothing to lines without cues."""
+    rows = pii.find(documents.select("doc_id", "text")).collect()
+    added = [(s.kind, r.text[s.start : s.end]) for r in rows for s in r.pii if not s.base]
+    secrets = {m for r in rows for m in re.findall(r'token = "([0-9a-f]{40})"', r.text or "")}
+    assert secrets and secrets <= {v for k, v in added if k == "secret"}
+    assert len(added) < 2 * sum(len(re.findall(r"token|key|at |dot ", r.text or "")) for r in rows)
+
+
 def test_marked_lines_are_found(spark):
     """What the labelled table marks is found by the operator as well, and so are addresses without a digit, an @ or 'dot' near them."""
     far = "Nothing of the kind stands in this sentence, which only puts some distance between the two. "
