@@ -131,17 +131,22 @@ def interval_days(stability: Column, p: Parameters, key: Column | None = None) -
     return fuzz_interval(days, key, p) if p.fuzz and key is not None else days
 
 
+def drawn(*parts: Column) -> Column:
+    """A whole number of 52 bits from the MD5 of the parts, alike on every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long")
+
+
 def fuzz_interval(days: Column, key: Column, p: Parameters) -> Column:
     """Intervals of a week or more vary by up to 5 %, by two days at most, and stay under the maximum."""
-    drawn = F.floor(days * (0.95 + F.pmod(F.xxhash64(F.lit(p.seed), key), F.lit(11)) / 100.0))
-    near = F.greatest(days - 2, F.least(days + 2, drawn))
+    varied = F.floor(days * (95 + drawn(F.lit(p.seed), key) % 11) / 100)
+    near = F.greatest(days - 2, F.least(days + 2, varied))
     return F.when(days < 7, days).otherwise(F.least(F.lit(p.maximum_interval), near)).cast("long")
 
 
 def fuzz_preview(days: Column, key: Column, p: Parameters) -> Column:
     """Previews vary by 15, 10 or 5 % according to size, by a day at least."""
-    share = F.when(days < 7, 0.15).when(days < 30, 0.10).otherwise(0.05)
-    by = F.greatest(F.lit(1), F.floor(days * share))
+    share = F.when(days < 7, 15).when(days < 30, 10).otherwise(5)
+    by = F.greatest(F.lit(1), F.floor(days * share / 100))
     low = F.greatest(F.lit(1), days - by)
-    drawn = low + F.pmod(F.xxhash64(F.lit(p.seed), key), days + by - low + 1)
-    return F.when(days < 2, days).otherwise(drawn).cast("long")
+    varied = low + drawn(F.lit(p.seed), key) % (days + by - low + 1)
+    return F.when(days < 2, days).otherwise(varied).cast("long")

@@ -26,9 +26,10 @@ def reset(cards: DataFrame, wanted: DataFrame, p: Parameters = Parameters()) ->
     return add(remove(cards, there), there, p)
 
 
-def reset_events(wanted: DataFrame) -> DataFrame:
-    """The two events of a reset, the removal first."""
-    return wanted.select(*CARD, "ts", F.explode(F.array(F.lit("remove"), F.lit("add"))).alias("type"))
+def reset_events(cards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The two events of each reset of a card that is there, the removal first."""
+    there = wanted.dropDuplicates(CARD).join(cards, CARD, "left_semi")
+    return there.select(*CARD, "ts", F.explode(F.array(F.lit("remove"), F.lit("add"))).alias("type"))
 
 
 def _set(cards: DataFrame, commands: DataFrame, when: Column, **values: Column) -> DataFrame:
@@ -87,14 +88,11 @@ def missing_recall(cards: DataFrame) -> DataFrame:
 
 
 def restrict(cards: DataFrame, custom: DataFrame) -> DataFrame:
-    """Cards of the entries of a custom deck; an empty one does not restrict.
-
-    Whether it is empty is one row that joins every card, so it is known without a job of its own.
-    """
+    """Cards of the entries of a custom deck; an empty one does not restrict. Whether it is empty is a scalar subquery."""
     wanted = custom.select(F.col("ent_seq").alias("card_id")).distinct()
-    some = custom.agg((F.count(F.lit(1)) > 0).alias("restricts"))
-    marked = cards.join(wanted.withColumn("inside", F.lit(True)), "card_id", "left").join(F.broadcast(some))
-    return marked.where("inside or not restricts").select(*cards.columns)
+    n = custom.agg(F.count(F.lit(1))).scalar()
+    marked = cards.join(wanted.withColumn("inside", F.lit(True)), "card_id", "left")
+    return marked.where(F.col("inside") | (n == 0)).select(*cards.columns)
 
 
 #: Filters of the library: the states that each lets through.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
+from ..storage import staged
 
 DOT = "・"
 
@@ -16,22 +17,22 @@ def lookup(entries: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(entries.where("ent_seq <> 0"), "ent_seq", "left")
 
 
-#: Keys in one range when rows are numbered.
-RANGE = 65_536
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``name`` from 0 in the order of ``order``, which has to tell rows apart.
 
-
-def numbered(df: DataFrame, bucket: Column, order: list[str], name: str) -> DataFrame:
-    """``name`` from 0 in the order of (bucket, order); buckets are numbered each by itself, and a small table of their sizes gives the starts."""
-    put = df.withColumn("_bucket", bucket)
-    within = put.withColumn("_k", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    sizes = put.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))
-    return within.join(starts, "_bucket").withColumn(name, (F.col("_start") + F.col("_k") - 1).cast("long")).drop("_bucket", "_k", "_start")
+    Rows are dealt into as many even ranges of the order as there are shuffle partitions and written with the number of their range; ranges are
+    numbered each by itself, and the table of their sizes, a row for each range, gives the starts. So no task has more than a range.
+    """
+    put = staged(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    within = put.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    sizes = put.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    return within.join(starts, "_range").withColumn(name, (F.col("_start") + F.col("_k") - 1).cast("long")).drop("_range", "_k", "_start")
 
 
 def with_ordinal(entries: DataFrame) -> DataFrame:
     """``entry_idx`` from 0 in the order of ent_seq."""
-    return numbered(entries, F.floor(F.col("ent_seq") / RANGE), ["ent_seq"], "entry_idx")
+    return numbered(entries, ["ent_seq"], "entry_idx")
 
 
 def headword() -> Column:
@@ -58,10 +59,30 @@ def first_meaning() -> Column:
     return F.coalesce(F.array_join(F.get("senses", F.lit(0))["gloss"], "; "), F.lit(""))
 
 
+#: The label lists that a sense may have beside its glosses and references.
+SENSE_LISTS = ("pos", "stagk", "stagr", "field", "misc", "s_inf", "dial")
+
+
 def full_view(entries: DataFrame, active: list[str]) -> DataFrame:
-    """(ent_seq, headword, kanji, readings, senses): senses in active languages, each with its place and glosses."""
-    kept = F.filter(F.transform("senses", lambda s, i: F.struct(i.alias("i"), s["lang"].alias("lang"), s["gloss"].alias("gloss"))), lambda s: s["lang"].isin(*active))
-    return entries.select("ent_seq", headword().alias("headword"), F.col("k_ele.keb").alias("kanji"), F.col("r_ele.reb").alias("readings"), kept.alias("senses"))
+    """(ent_seq, headword, kanji, readings, senses): everything that an entry page shows.
+
+    ``kanji`` and ``readings`` are the forms with all their marks. ``senses`` are those in active languages, each with its place, glosses with their types,
+    all label lists, loan sources, and its references and antonyms as (id, label) of the entries that they resolve to, in their order;
+    unresolved ones are left out. References are resolved by joins for all entries together; an entry has few, so they come back as one list.
+    """
+    heads = entries.select(F.col("ent_seq").alias("target_seq"), headword().alias("label"))
+    linked = resolve_references(unresolved_references(entries), entries).where("target_seq is not null").join(heads, "target_seq")
+    links = linked.groupBy("ent_seq").agg(F.array_sort(F.collect_list(F.struct("sense_i", "kind", "i", F.col("target_seq").alias("id"), "label"))).alias("links"))
+    of = lambda kind, at: F.transform(F.filter("links", lambda x: (x["kind"] == kind) & (x["sense_i"] == at)), lambda x: F.struct(x["id"], x["label"]))
+    told = F.transform(
+        "senses",
+        lambda s, i: F.struct(
+            i.alias("i"), s["lang"].alias("lang"), s["gloss"].alias("gloss"), s["g_type"].alias("g_type"), *[s[c].alias(c) for c in SENSE_LISTS],
+            s["lsource"].alias("lsource"), of("xref", i).alias("xref"), of("ant", i).alias("ant"),
+        ),
+    )
+    rows = entries.join(links, "ent_seq", "left").withColumn("links", F.coalesce("links", F.array().cast(links.schema["links"].dataType)))
+    return rows.select("ent_seq", headword().alias("headword"), F.col("k_ele").alias("kanji"), F.col("r_ele").alias("readings"), F.filter(told, lambda s: s["lang"].isin(*active)).alias("senses"))
 
 
 def restriction_places(names: Column, forms: Column) -> Column:

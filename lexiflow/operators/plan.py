@@ -18,7 +18,7 @@ def queues(cards: DataFrame, now: int, p: Parameters = Parameters()) -> DataFram
         F.when(F.col("state") == S.NEW, "new").when(F.col("state").isin(S.LEARNING, S.RELEARNING), F.when(F.col("due_ts") <= now, "learn").otherwise("pending"))
         .when(F.col("state") == S.REVIEW, F.when(F.col("due_day") <= today, "review").otherwise("later"))
     )
-    first = F.when(F.col("queue") == "new", F.xxhash64(F.lit(p.seed), "card_id")).otherwise(F.col("due_ts"))
+    first = F.when(F.col("queue") == "new", S.drawn(F.lit(p.seed), F.col("card_id"))).otherwise(F.col("due_ts"))
     order = Window.partitionBy(*DECK, "queue").orderBy(first, "card_id")
     return cards.withColumn("queue", queue).where("queue is not null").withColumn("place", F.row_number().over(order) - 1)
 

@@ -156,7 +156,7 @@ def preview(cards: DataFrame, now: int, p: Parameters = Parameters()) -> DataFra
         long_ = F.col(f"raw{r}") >= S.DAY
         value = F.when(long_, F.floor(F.col(f"raw{r}") / S.DAY) * S.DAY).otherwise(F.col(f"raw{r}")).cast("long")
         if p.fuzz and r > 1:
-            value = F.when(long_, S.fuzz_preview(F.floor(value / S.DAY).cast("long"), F.xxhash64(*CARD), p) * S.DAY).otherwise(value)
+            value = F.when(long_, S.fuzz_preview(F.floor(value / S.DAY).cast("long"), F.concat_ws(":", *[F.col(c).cast("string") for c in CARD]), p) * S.DAY).otherwise(value)
         out = out.withColumn(f"d{r}", long_).withColumn(f"s{r}", value)
     for r in (2, 3, 4):
         before = F.col(f"s{r - 1}")

@@ -121,9 +121,9 @@ def best_per_entry(hits: DataFrame) -> DataFrame:
     return hits.withColumn("k", best).where("k = 1").drop("k")
 
 
-def page_size(k: int | None) -> int:
-    """Sizes from 1 to 128 stand; others give the default."""
-    return k if k is not None and 1 <= k <= 128 else PAGE
+def page_size(k: Column) -> Column:
+    """Sizes from 1 to 128 stand; others, and null, give the default."""
+    return F.when(k.between(1, 128), k).otherwise(PAGE)
 
 
 def result_limit(n: int | None) -> int:
@@ -138,7 +138,7 @@ def cap(hits: DataFrame, max_results: int | None = None) -> DataFrame:
 
 def pages(hits: DataFrame, k: int | None = None, first: int = 0, last: int | None = None) -> DataFrame:
     """Hits with ``page`` and ``place``, best first; the rank filter reaches below the shuffle."""
-    k = page_size(k)
+    k = page_size(F.lit(k).cast("int"))
     out = hits.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order())))
     if last is not None:
         out = out.where(F.col("rn") <= (last + 1) * k)

@@ -84,10 +84,10 @@ def delta(events: DataFrame, marks: DataFrame, most: int | None = None) -> DataF
 
 
 def record(before: DataFrame, after: DataFrame, kind: str, device: int, first_seq: int, ts: int) -> DataFrame:
-    """Events with after images for the cards that a command changed."""
+    """Events with after images for the cards that a command changed, numbered from ``first_seq`` in the order of the cards."""
     rest = [c for c in after.columns if c not in CARD]
     changed = after.join(before.select(*CARD, F.struct(*rest).alias("was")), CARD, "left").where(F.col("was").isNull() | ~F.col("was").eqNullSafe(F.struct(*rest)))
-    rows = numbered(changed.drop("was"), F.pmod(F.xxhash64(*CARD), F.lit(1024)), CARD, "k")
+    rows = numbered(changed.drop("was"), CARD, "k")
     return rows.select(F.lit(device).cast("decimal(20,0)").alias("device_id"), (F.col("k") + first_seq).alias("seq"), F.lit(ts).cast("long").alias("ts"), F.lit(kind).alias("type"), F.lit(None).cast("int").alias("rating"), *CARD, *rest)
 
 

@@ -90,7 +90,7 @@ def w8b(spark, sf):
     return _order(spark, sf, "new_first")
 
 
-@query("w10_new_shuffle")
+@query("w10_new_shuffle", CA + f" SELECT {KEY}, (row_number() OVER (PARTITION BY learner_id, deck ORDER BY ('0x' || substr(md5('0:' || card_id), 1, 13))::BIGINT, card_id) - 1)::INTEGER AS place FROM cards WHERE state = 0")
 def w10(spark, sf):
     return _queues(spark, sf).where("queue = 'new'").select(*R.CARD, "place")
 
@@ -174,6 +174,14 @@ def r6(spark, sf):
     return _shown(C.reset(W.cards(spark, sf), _lapsed(spark, sf)))
 
 
+@query("r6_reset_events", CA + f" SELECT {KEY}, {NOW} AS ts, type FROM cards CROSS JOIN (VALUES ('remove'), ('add')) v(type) WHERE lapses >= 10")
+def r6_events(spark, sf):
+    """The two events of each reset; commands for cards that are not there give none."""
+    cards = W.cards(spark, sf)
+    absent = cards.select("learner_id", "deck", (-F.col("card_id") - 1).alias("card_id"), F.lit(NOW).cast("long").alias("ts"))
+    return C.reset_events(cards, _lapsed(spark, sf).unionByName(absent, allowMissingColumns=True)).select(*R.CARD, "ts", "type")
+
+
 @query("r7_suspend", CA + f" SELECT {KEY}, CASE WHEN lapses >= 10 THEN 4 ELSE state END AS state, round(stability, 6) AS stability, flags, due_ts, due_day, CASE WHEN lapses >= 10 AND state <> 4 THEN state ELSE prev_state END AS prev_state FROM cards")
 def r7a(spark, sf):
     return _shown(C.suspend(W.cards(spark, sf), _lapsed(spark, sf)), "prev_state")
@@ -340,10 +348,10 @@ def k13(spark, sf):
     return Y.delta(e, marks).select("device_id", "seq", "type")
 
 
-@query("r11_event_recording", CA + f" SELECT {KEY}, 'suspend' AS type, 4 AS state, flags FROM cards WHERE lapses >= 10 AND state <> 4")
+@query("r11_event_recording", CA + f" SELECT {KEY}, row_number() OVER (ORDER BY {KEY}) AS seq, 'suspend' AS type, 4 AS state, flags FROM cards WHERE lapses >= 10 AND state <> 4")
 def r11(spark, sf):
     cards = W.cards(spark, sf)
-    return Y.record(cards, C.suspend(cards, _lapsed(spark, sf)), "suspend", 7, 1, NOW).select(*R.CARD, "type", "state", "flags")
+    return Y.record(cards, C.suspend(cards, _lapsed(spark, sf)), "suspend", 7, 1, NOW).select(*R.CARD, "seq", "type", "state", "flags")
 
 
 # ------------------------------------------------------------------ library

@@ -9,6 +9,7 @@ from ..operators import replay as R
 from ..operators import search as Q
 from ..operators import stats as A
 from ..sources import tables as T
+from ..sources.xml import read_lexicon
 from ..storage import fresh_path
 from ..streaming import events as E
 from . import views as W
@@ -45,11 +46,11 @@ def p7(spark, sf):
     return W.entries(spark, sf).select("ent_seq", L.first_meaning().alias("meaning"))
 
 
-@query("p8_full_view", EN + f" SELECT ent_seq, {_HEAD} AS headword, array_to_string(kebs, '|') AS kanji, array_to_string(rebs, '|') AS readings, '1:en:' || array_to_string(en, ';') || '|2:es:' || es[1] AS senses FROM entries")
+@query("p8_full_view", W.sql(W.LEXICON) + " SELECT ent_seq, head AS headword, CASE WHEN has_k THEN p_name || '|' || p_brand ELSE '' END AS kanji, first || '|' || last AS readings, '0:en:' || glosses || '|1:es:' || p_brand AS senses FROM lexicon")
 def p8(spark, sf):
-    v = L.full_view(W.entries(spark, sf), ["en", "es"])
+    v = L.full_view(_lexicon(spark, sf), ["en", "es"])
     told = F.transform("senses", lambda s: F.concat_ws(":", s["i"].cast("string"), s["lang"], F.array_join(s["gloss"], ";")))
-    return v.select("ent_seq", "headword", F.array_join("kanji", "|").alias("kanji"), F.array_join("readings", "|").alias("readings"), F.array_join(told, "|").alias("senses"))
+    return v.select("ent_seq", "headword", F.array_join("kanji.keb", "|").alias("kanji"), F.array_join("readings.reb", "|").alias("readings"), F.array_join(told, "|").alias("senses"))
 
 
 @query("p9_p10_restrictions", EN + " SELECT ent_seq, CASE WHEN len(kebs) > 0 THEN 1 END::INTEGER AS brand_at, CASE WHEN len(kebs) > 0 THEN p_brand ELSE '' END AS back FROM entries")
@@ -60,6 +61,63 @@ def p9(spark, sf):
     return rows.select("ent_seq", F.get(places, F.lit(0)).cast("int").alias("brand_at"), F.array_join(L.restricted_forms(places, F.col("k_ele.keb")), "").alias("back"))
 
 
+def _lexicon(spark, sf):
+    """The lexicon written as XML and read again."""
+    at = fresh_path(spark, "lexicon")
+    W.write_lexicon(spark, sf, at)
+    return read_lexicon(spark, at)
+
+
+def _told_forms(df):
+    """Forms with their marks in brackets, as text."""
+    put = lambda *c: F.concat(c[0], *[F.concat(F.lit("("), x, F.lit(")")) for x in c[1:]])
+    semi = lambda c: F.array_join(c, ";")
+    kanji = F.transform("k_ele", lambda k: put(k["keb"], semi(k["ke_inf"]), semi(k["ke_pri"])))
+    reading = F.transform("r_ele", lambda r: put(r["reb"], r["re_nokanji"].cast("string"), semi(r["re_restr"]), semi(r["re_inf"]), semi(r["re_pri"])))
+    return df.withColumn("kanji", F.array_join(kanji, "|")).withColumn("readings", F.array_join(reading, "|"))
+
+
+def _told_lists(s):
+    source = F.transform(s["lsource"], lambda x: F.concat_ws(",", x["text"], x["part"].cast("string"), x["wasei"].cast("string")))
+    return F.concat_ws(":", s["lang"], F.array_join(s["gloss"], ";"), *[F.array_join(s[c], ";") for c in L.SENSE_LISTS], F.array_join(source, ";"))
+
+
+LX = W.sql(W.LEXICON)
+
+
+@query("s1_lexicon_xml", LX + " SELECT ent_seq, kanji, readings, 'en:' || glosses || ':' || lists || ':' || lsource || ':' || last || '・' || p_brand || ':' || p_brand || '|es:' || p_brand || ':::::::::' || ':' || CASE WHEN n % 9 = 0 THEN '|unk:' || p_name || ':::::::::' || ':' ELSE '' END AS senses FROM lexicon")
+def s1(spark, sf):
+    told = F.transform("senses", lambda s: F.concat_ws(":", _told_lists(s), F.array_join(s["xref"], ";"), F.array_join(s["ant"], ";")))
+    return _told_forms(_lexicon(spark, sf)).select("ent_seq", "kanji", "readings", F.array_join(told, "|").alias("senses"))
+
+
+@query("f20_gloss_types", LX + " SELECT lang, g_type, count(*) AS n FROM (SELECT 'en' AS lang, g_type FROM lexicon UNION ALL SELECT 'en', 'none' FROM lexicon UNION ALL SELECT 'es', 'none' FROM lexicon UNION ALL SELECT 'unk', 'none' FROM lexicon WHERE n % 9 = 0) GROUP BY ALL")
+def f20(spark, sf):
+    senses = _lexicon(spark, sf).select(F.explode("senses").alias("s"))
+    return senses.select("s.lang", F.explode("s.g_type").alias("g_type")).groupBy("lang", F.coalesce("g_type", F.lit("none")).alias("g_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f21_loan_sources", LX + " SELECT ent_seq, p_brand AS text, n % 2 = 1 AS part, n % 3 = 0 AS wasei FROM lexicon")
+def f21(spark, sf):
+    return _lexicon(spark, sf).select("ent_seq", F.inline(F.flatten("senses.lsource")))
+
+
+@query(
+    "p8_entry_page",
+    LX + """, forms AS (SELECT ent_seq, p_name AS t FROM lexicon WHERE has_k UNION ALL SELECT ent_seq, p_brand FROM lexicon WHERE has_k UNION ALL SELECT ent_seq, first FROM lexicon UNION ALL SELECT ent_seq, last FROM lexicon),
+    f AS (SELECT t, min(ent_seq) AS id FROM forms GROUP BY t)
+    SELECT l.ent_seq, l.head AS headword, l.kanji, l.readings, '0:' || l.g_type || ';none:en:' || l.glosses || ':' || l.lists || ':' || l.lsource || ':' || x.id || '=' || xl.head || ':' || coalesce(a.id || '=' || al.head, '') || '|1:none:es:' || l.p_brand || '::::::::::' AS senses
+    FROM lexicon l LEFT JOIN f x ON x.t = l.last LEFT JOIN lexicon xl ON xl.ent_seq = x.id LEFT JOIN f a ON a.t = l.p_brand LEFT JOIN lexicon al ON al.ent_seq = a.id""",
+)
+def p8_page(spark, sf):
+    """Every list of every sense in two languages, references resolved, over the lexicon that was read from XML."""
+    v = L.full_view(_lexicon(spark, sf), ["en", "es"]).withColumnsRenamed({"kanji": "k_ele", "readings": "r_ele"})
+    links = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["id"].cast("string"), x["label"])), ";")
+    types = lambda c: F.array_join(F.transform(c, lambda t: F.coalesce(t, F.lit("none"))), ";")
+    told = F.transform("senses", lambda s: F.concat_ws(":", s["i"].cast("string"), types(s["g_type"]), _told_lists(s), links(s["xref"]), links(s["ant"])))
+    return _told_forms(v).select("ent_seq", "headword", "kanji", "readings", F.array_join(told, "|").alias("senses"))
+
+
 TERMS = EN + """, t AS (
   SELECT ent_seq, unnest(kebs) AS text, generate_subscripts(kebs, 1) - 1 AS meta1, 0 AS meta2, 'kanji' AS kind, 'jp' AS lang FROM entries
   UNION ALL SELECT ent_seq, text, min(i), 0, 'reading', 'jp' FROM (SELECT ent_seq, unnest(rebs) AS text, generate_subscripts(rebs, 1) - 1 AS i FROM entries) GROUP BY ent_seq, text
@@ -138,6 +196,18 @@ def s9(spark, sf):
     return T.load_deck(spark, at)[0].select(*R.CARD, "state", "due_ts")
 
 
+@query("s10_deck_reload", CA + f", c AS (SELECT learner_id, deck, count(*) AS cards, sum(reps)::BIGINT AS reps FROM cards GROUP BY ALL), d AS (SELECT learner_id, deck, count(*) AS cards_done FROM review_events WHERE type = 'review' AND floor((ts - 14400) / 86400) = {(W.NOW - 14400) // 86400} GROUP BY ALL) SELECT c.*, coalesce(cards_done, 0) AS cards_done FROM c LEFT JOIN d USING (learner_id, deck)")
+def s10(spark, sf):
+    """Decks and counters written and read again: the cards of each deck, and what was done on the day that counts."""
+    at = fresh_path(spark, "deck")
+    answers = W.review_events(spark, sf).where("type = 'review'").withColumn("prev_state", F.lit(0))
+    T.save_deck(W.cards(spark, sf), A.day_counters(answers), at)
+    cards, counters = T.load_deck(spark, at)
+    today = T.counters_of_day(counters, (W.NOW - 14_400) // 86_400).select("learner_id", "deck", "cards_done")
+    decks = cards.groupBy("learner_id", "deck").agg(F.count(F.lit(1)).alias("cards"), F.sum("reps").alias("reps"))
+    return decks.join(today, ["learner_id", "deck"], "left").select("learner_id", "deck", "cards", "reps", F.coalesce("cards_done", F.lit(0)).alias("cards_done"))
+
+
 @query("s11_history_chunks", W.sql(W.REVIEW_EVENTS) + " SELECT learner_id, chunk::INTEGER AS chunk, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT *, (row_number() OVER (PARTITION BY learner_id ORDER BY ts, device_id, seq) - 1) // 1000 AS chunk FROM review_events) GROUP BY ALL")
 def s11(spark, sf):
     return T.history_chunks(W.review_events(spark, sf))
@@ -150,8 +220,10 @@ def s12(spark, sf):
 
 @query("s13_custom_decks", W.sql(W.CUSTOM_DECKS) + " SELECT deck_id AS id, name, count(*) AS n, sum(ent_seq)::BIGINT AS total FROM custom_decks GROUP BY ALL")
 def s13(spark, sf):
-    back = T.custom_decks_json(W.custom_decks(spark, sf))
-    return back.select("id", "name", F.size("entSeqs").cast("long").alias("n"), F.aggregate("entSeqs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    at = fresh_path(spark, "decks")
+    T.write_custom_decks(W.custom_decks(spark, sf), at)
+    back = T.read_custom_decks(spark, at, lines=True)
+    return back.groupBy(F.col("deck_id").alias("id"), "name").agg(F.count(F.lit(1)).alias("n"), F.sum("ent_seq").alias("total"))
 
 
 @query("s14_custom_deck_edit", W.sql(W.CUSTOM_DECKS) + " SELECT deck_id, count(*) AS n FROM (SELECT deck_id, ent_seq FROM custom_decks WHERE deck_id <> 'error' UNION ALL SELECT DISTINCT 'fresh', ent_seq FROM custom_decks) GROUP BY deck_id")

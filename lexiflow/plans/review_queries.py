@@ -83,10 +83,18 @@ def f27(spark, sf):
     )
 
 
-@query("f34_interval_fuzz")
+_DRAWN = "('0x' || substr(md5('0:' || learner_id || ':' || deck || ':' || card_id), 1, 13))::BIGINT"
+
+
+@query(
+    "f34_interval_fuzz",
+    CA + f""", f AS (SELECT {KEY}, total_answers::BIGINT AS days, {_DRAWN} AS h, greatest(1, total_answers * CASE WHEN total_answers < 7 THEN 15 WHEN total_answers < 30 THEN 10 ELSE 5 END // 100)::BIGINT AS off FROM cards)
+    SELECT {KEY}, days, CASE WHEN days < 7 THEN days ELSE least(36500, greatest(days - 2, least(days + 2, days * (95 + h % 11) // 100))) END::BIGINT AS fuzzed,
+      CASE WHEN days < 2 THEN days ELSE greatest(1, days - off) + h % (days + off - greatest(1, days - off) + 1) END::BIGINT AS previewed FROM f""",
+)
 def f34(spark, sf):
     p = Parameters(fuzz=True)
-    key = F.xxhash64(*R.CARD)
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in R.CARD])
     days = F.col("total_answers")
     return W.cards(spark, sf).select(*R.CARD, days.alias("days"), S.fuzz_interval(days, key, p).alias("fuzzed"), S.fuzz_preview(days, key, p).alias("previewed"))
 

@@ -24,10 +24,31 @@ def f1(spark, sf):
     return W.table(spark, sf, "benchmark").select("item_id", X.clean_query(F.col("text")).alias("q"))
 
 
-@query("f2_f3_romaji")
+def _values(rows):
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+#: Whole texts as questions, walked from left to right a spelling at a time.
+WALK = f"""asked AS (SELECT item_id AS query_id, translate(regexp_replace(text, '^[ \t-\r]+|[ \t-\r]+$', '', 'g'), '{UP}', '{LOW}') AS q_norm FROM benchmark),
+romaji(k, v) AS (VALUES {_values(X.romaji_table().items())}),
+walk AS (SELECT query_id, q_norm, 1 AS spot, '' AS kana FROM asked UNION ALL
+  SELECT w.query_id, q_norm, spot + CASE WHEN two IN ('nn', 'n''') THEN 2 WHEN one = 'n' AND NOT vowel OR twice THEN 1 WHEN r3.k IS NOT NULL THEN 3 WHEN r2.k IS NOT NULL THEN 2 ELSE 1 END,
+    kana || CASE WHEN two IN ('nn', 'n''') OR one = 'n' AND NOT vowel THEN 'ん' WHEN twice THEN 'っ' WHEN one = '''' THEN '' ELSE coalesce(r3.v, r2.v, r1.v, one) END
+  FROM (SELECT *, q_norm[spot] AS one, q_norm[spot:spot + 1] AS two, contains('aiueoy', q_norm[spot + 1]) AND q_norm[spot + 1] <> '' AS vowel, q_norm[spot] = q_norm[spot + 1] AND regexp_matches(q_norm[spot], '[b-df-hj-mp-tv-z]') AS twice FROM walk WHERE spot <= length(q_norm)) w
+  LEFT JOIN romaji r3 ON length(q_norm[spot:spot + 2]) = 3 AND r3.k = q_norm[spot:spot + 2] LEFT JOIN romaji r2 ON length(two) = 2 AND r2.k = two LEFT JOIN romaji r1 ON r1.k = one),
+rewritten AS (SELECT query_id, q_norm, {FOLD.format('kana')} AS q_kana FROM walk WHERE spot > length(q_norm))"""
+_LONG = "q_kana"
+for _vowel, _row in X.VOWEL_ROWS.items():
+    _LONG = f"regexp_replace({_LONG}, '([{_row}]){_vowel}', '\\1ー', 'g')"
+
+
+def _questions(spark, sf):
+    return Q.rewrite_queries(W.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q_raw")))
+
+
+@query("f2_f3_romaji", W.sql(WALK, recursive=True) + " SELECT query_id, q_norm, q_kana FROM rewritten")
 def f2(spark, sf):
-    q = Q.rewrite_queries(W.lex_queries(spark, sf))
-    return q.select("query_id", "q_norm", "q_kana")
+    return _questions(spark, sf).select("query_id", "q_norm", "q_kana")
 
 
 @query("f4_fold_kana", f"SELECT doc_id, {FOLD.format('text')} AS folded FROM documents")
@@ -35,9 +56,9 @@ def f4(spark, sf):
     return W.table(spark, sf, "documents").select("doc_id", X.fold_kana(F.col("text")).alias("folded"))
 
 
-@query("f5_long_vowels")
+@query("f5_long_vowels", W.sql(WALK, recursive=True) + f", long AS (SELECT query_id, q_kana, {_LONG} AS q_long FROM rewritten) SELECT *, q_long <> q_kana AS has_long FROM long")
 def f5(spark, sf):
-    return Q.rewrite_queries(W.lex_queries(spark, sf)).select("query_id", "q_kana", "q_long", "has_long")
+    return _questions(spark, sf).select("query_id", "q_kana", "q_long", "has_long")
 
 
 @query("f6_same_kana", f"SELECT p_partkey, {FOLD.format('p_name')} = {FOLD.format('p_type')} AS same FROM part")
@@ -105,10 +126,6 @@ def f16(spark, sf):
     return W.references(spark, sf).select("ent_seq", "kind", part["primary"].alias("primary_part"), part["secondary"].alias("secondary_part"))
 
 
-def _values(rows):
-    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
-
-
 @query(
     "f17_tokens",
     f"WITH tok(i, label) AS (VALUES {_values(list(enumerate(V.PRIORITIES)))}) SELECT p_partkey, tok.i::INTEGER AS idx, tok.label FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'nf' || lpad(p_size::VARCHAR, 2, '0') ELSE 'none' END AS l FROM part) p LEFT JOIN tok ON tok.label = p.l",
@@ -196,8 +213,7 @@ def k5(spark, sf):
 
 @query("k6_page_bounds", "SELECT p_partkey, CASE WHEN p_size * 4 - 20 BETWEEN 1 AND 128 THEN p_size * 4 - 20 ELSE 16 END AS size FROM part")
 def k6(spark, sf):
-    k = F.col("p_size") * 4 - 20
-    return W.table(spark, sf, "part").select("p_partkey", F.when(k.between(1, 128), k).otherwise(Q.PAGE).alias("size"))
+    return W.table(spark, sf, "part").select("p_partkey", Q.page_size(F.col("p_size") * 4 - 20).alias("size"))
 
 
 @query("j4_enriched_hits", SEARCH + ", " + BEST + ", " + PAGED + " SELECT query_id, ent_seq, score, d.source, d.n_chars FROM paged JOIN documents d ON d.doc_id = ent_seq WHERE rn <= 16")

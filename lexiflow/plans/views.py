@@ -71,6 +71,59 @@ ENTRIES = """entries AS (
     CASE WHEN p_size % 3 = 0 THEN [p_type] ELSE [] END AS de, [p_type, 'size ' || p_size] AS en, [p_brand] AS es FROM part)"""
 
 
+#: Entities of the lexicon that :func:`write_lexicon` writes.
+ENTITIES = {
+    "n": "noun (common) (futsuumeishi)", "vs": "noun or participle which takes the aux. verb suru", "ateji": "ateji (phonetic) reading", "ik": "word containing irregular kana usage",
+    "comp": "computing", "uk": "word usually written using kana alone", "ksb": "Kansai-ben",
+}
+GLOSS_TYPES = ("lit", "fig", "expl", "tm", "descr")
+
+
+def write_lexicon(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The parts as a lexicon in XML, with every element that an entry can have and entities for its labels, a file for each task and one for the document type."""
+    n, has_k = F.col("p_size"), F.col("p_size") % 5 != 0
+    words = F.split("p_name", " ")
+    first, last = F.element_at(words, 1), F.element_at(words, -1)
+    tag = lambda t, *c: F.concat(F.lit(f"<{t}>"), *c, F.lit(f"</{t}>"))
+    entity = lambda t, e: F.lit(f"<{t}>&{e};</{t}>")
+    some = lambda when, c: F.when(when, c).otherwise("")
+    mark = F.when(n <= 10, "news1").when(n <= 20, "nf12").otherwise("oth1")
+    kanji = some(has_k, F.concat(tag("k_ele", tag("keb", F.col("p_name")), some(n % 4 == 0, entity("ke_inf", "ateji")), tag("ke_pri", mark)), tag("k_ele", tag("keb", F.col("p_brand")))))
+    reading = tag(
+        "r_ele", tag("reb", first), some(~has_k, F.lit("<re_nokanji/>")), some(has_k & (n % 2 == 1), tag("re_restr", F.col("p_name"))), some(n % 7 == 0, entity("re_inf", "ik")),
+        some(n % 3 == 0, tag("re_pri", F.lit("ichi1"))),
+    )
+    g_type = F.concat(*[some(n % 6 == k + 1, F.lit(f' g_type="{t}"')) for k, t in enumerate(GLOSS_TYPES)])
+    sense = tag(
+        "sense", some(has_k & (n % 3 == 0), tag("stagk", F.col("p_brand"))), some(n % 4 == 1, tag("stagr", first)), entity("pos", "n"), some(n % 2 == 0, entity("pos", "vs")),
+        tag("xref", last, F.lit("・"), F.col("p_brand")), tag("ant", F.col("p_brand")), some(n % 6 == 0, entity("field", "comp")), some(n % 5 == 1, entity("misc", "uk")),
+        tag("s_inf", F.lit("size "), n.cast("string"), F.lit(" &amp; more")), F.lit('<lsource xml:lang="fre"'), some(n % 2 == 1, F.lit(' ls_type="part"')), some(n % 3 == 0, F.lit(' ls_wasei="y"')),
+        F.lit(">"), F.col("p_brand"), F.lit("</lsource>"), some(n % 8 == 0, entity("dial", "ksb")), F.lit("<gloss"), g_type, F.lit(">"), F.col("p_type"), F.lit("</gloss>"), tag("gloss", F.lit("size "), n.cast("string")),
+    )
+    spanish = F.concat(F.lit('<sense><gloss xml:lang="spa">'), F.col("p_brand"), F.lit("</gloss></sense>"))
+    other = some(n % 9 == 0, F.concat(F.lit('<sense><gloss xml:lang="xyz">'), F.col("p_name"), F.lit("</gloss></sense>")))
+    entry = tag("entry", tag("ent_seq", F.col("p_partkey").cast("string")), kanji, reading, tag("r_ele", tag("reb", last)), sense, spanish, other)
+    head = [f'<!ENTITY {name} "{text}">' for name, text in ENTITIES.items()]
+    spark.range(1).select(F.explode(F.array(*map(F.lit, head))).alias("value")).write.text(path)
+    table(spark, sf_dir, "part").select(entry.alias("value")).write.mode("append").text(path)
+
+
+def _if(when: str, then: str) -> str:
+    return f"CASE WHEN {when} THEN {then} ELSE '' END"
+
+
+#: The same entries from the parts: forms with their marks, and the lists of the first sense.
+LEXICON = f"""lx AS (
+  SELECT p_partkey AS ent_seq, p_name, p_brand, p_type, p_size AS n, string_split(p_name, ' ')[1] AS first, string_split(p_name, ' ')[-1] AS last, p_size % 5 <> 0 AS has_k FROM part),
+lexicon AS (SELECT ent_seq, n, p_name, p_brand, p_type, first, last, has_k, CASE WHEN has_k THEN p_name ELSE first END AS head,
+  {_if("has_k", f"p_name || '(' || {_if('n % 4 = 0', repr(ENTITIES['ateji']))} || ')(' || CASE WHEN n <= 10 THEN 'news1' WHEN n <= 20 THEN 'nf12' ELSE 'oth1' END || ')|' || p_brand || '()()'")} AS kanji,
+  first || '(' || CASE WHEN has_k THEN 'false' ELSE 'true' END || ')(' || {_if('has_k AND n % 2 = 1', 'p_name')} || ')(' || {_if('n % 7 = 0', repr(ENTITIES['ik']))} || ')(' || {_if('n % 3 = 0', "'ichi1'")} || ')|' || last || '(false)()()()' AS readings,
+  '{ENTITIES['n']}' || {_if('n % 2 = 0', repr(';' + ENTITIES['vs']))} || ':' || {_if('has_k AND n % 3 = 0', 'p_brand')} || ':' || {_if('n % 4 = 1', 'first')} || ':' || {_if('n % 6 = 0', repr(ENTITIES['comp']))} || ':' ||
+    {_if('n % 5 = 1', repr(ENTITIES['uk']))} || ':size ' || n || ' & more:' || {_if('n % 8 = 0', repr(ENTITIES['ksb']))} AS lists,
+  p_brand || ',' || CASE WHEN n % 2 = 1 THEN 'true' ELSE 'false' END || ',' || CASE WHEN n % 3 = 0 THEN 'true' ELSE 'false' END AS lsource,
+  p_type || ';size ' || n AS glosses, [{', '.join(map(repr, ('none', *GLOSS_TYPES)))}][n % 6 + 1] AS g_type FROM lx)"""
+
+
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two reference strings for each entry: a word of its name, and name and brand with a dot between."""
     p = table(spark, sf_dir, "part")

@@ -65,8 +65,13 @@ def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
     versioned(out).repartition("lang", "bucket").sortWithinPartitions("lang", "bucket", "gram", "ent_seq", "meta1", "meta2").write.partitionBy("lang", "bucket").mode("overwrite").parquet(path)
 
 
-def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    return read_versioned(spark, path).drop("bucket")
+def read_postings(spark: SparkSession, path: str, grams: DataFrame | None = None, buckets: int = 64) -> DataFrame:
+    """The postings; with ``grams`` only the folders that hold these are read: at most as many numbers as there are buckets reach the driver."""
+    found = read_versioned(spark, path)
+    if grams is not None:
+        wanted = grams.select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()
+        found = found.where(F.col("bucket").isin([r["b"] for r in wanted]))
+    return found.drop("bucket")
 
 
 def append_events(events: DataFrame, path: str) -> None:
@@ -122,15 +127,26 @@ def history_events(events: DataFrame) -> DataFrame:
     return events.select("learner_id", "deck", "card_id", "device_id", "seq", "ts", kind.alias("kind"), F.lag("rating").over(w).alias("before_rating"), F.col("rating").alias("after_rating"))
 
 
-def read_custom_decks(spark: SparkSession, path: str) -> DataFrame:
-    """(deck_id, name, ent_seq) from a JSON array of decks; decks without id are dropped."""
-    raw = spark.read.schema("id string, name string, entSeqs array<long>").option("multiLine", True).json(path)
+def read_custom_decks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(deck_id, name, ent_seq) from JSON arrays of decks, one in a file or, with ``lines``, one in a line; decks without id are dropped."""
+    raw = spark.read.schema("id string, name string, entSeqs array<long>").option("multiLine", not lines).json(path)
     return raw.where("id <> ''").select(F.col("id").alias("deck_id"), "name", F.explode_outer("entSeqs").alias("ent_seq"))
 
 
+#: Entries in one object of a written custom deck, about.
+DECK_PART = 100_000
+
+
 def custom_decks_json(decks: DataFrame) -> DataFrame:
-    """Back to one row for each deck, its entries sorted."""
-    return decks.groupBy(F.col("deck_id").alias("id"), "name").agg(F.array_sort(F.collect_set("ent_seq")).alias("entSeqs"))
+    """(id, name, entSeqs): one row for each deck, its entries sorted; a deck of many entries has several rows of about :data:`DECK_PART`."""
+    parts = decks.groupBy("deck_id", "name").agg(F.ceil(F.count(F.lit(1)) / DECK_PART).alias("parts"))
+    rows = decks.join(parts, ["deck_id", "name"]).withColumn("part", F.pmod(F.xxhash64("ent_seq"), "parts"))
+    return rows.groupBy(F.col("deck_id").alias("id"), "name", "part").agg(F.array_sort(F.collect_set("ent_seq")).alias("entSeqs")).drop("part")
+
+
+def write_custom_decks(decks: DataFrame, path: str) -> None:
+    """Each line of the files is a JSON array with one object of :func:`custom_decks_json`, which :func:`read_custom_decks` reads back."""
+    custom_decks_json(decks).select(F.to_json(F.array(F.struct("id", "name", "entSeqs")))).write.mode("overwrite").text(path)
 
 
 def edit_custom_decks(decks: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
