@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vocabulary import INDEXED
+from ..storage import staged
 
 #: Bounds of result caps and of page sizes.
 MAX_RESULTS, MOST_RESULTS, PAGE = 20_000, 90_000, 16
@@ -53,10 +54,19 @@ def query_grams(queries: DataFrame, kind: str = "gloss", text: str = "q_norm") -
 
 
 def intersect_all(postings: DataFrame, grams: DataFrame) -> DataFrame:
-    """(query_id, lang, ent_seq, meta1, meta2): postings that have every gram of the query."""
-    wanted = grams.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_grams"))
-    met = grams.join(postings, "gram").groupBy("query_id", "lang", *KEY).agg(F.count(F.lit(1)).alias("met"))
-    return met.join(wanted, "query_id").where("met = n_grams").drop("met", "n_grams")
+    """(query_id, lang, ent_seq, meta1, meta2): postings that have every gram of the query.
+
+    Postings of the asked grams are written once. The rarest gram of a query gives its candidates, and only their other grams are looked
+    for, so the work follows the shortest posting lists and not the sum of all.
+    """
+    some = staged(postings.join(grams.select("gram").distinct(), "gram", "left_semi").select("gram", "lang", *KEY), "asked")
+    known = grams.join(some.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram", "left")
+    lead = known.groupBy("query_id").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count(F.lit(1)).alias("n_grams"), F.count_if(F.col("df").isNull()).alias("unknown"))
+    lead = staged(lead.where("unknown = 0").drop("unknown"), "lead")
+    candidates = lead.join(some, "gram").withColumnRenamed("gram", "lead")
+    others = grams.join(lead.select("query_id", F.col("gram").alias("lead")), "query_id").where("gram <> lead").drop("lead")
+    met = candidates.join(others, "query_id", "left").join(some.withColumn("there", F.lit(1)), ["gram", "lang", *KEY], "left")
+    return met.groupBy("query_id", "lang", *KEY, "n_grams").agg(F.count("there").alias("met")).where("met = n_grams - 1").drop("met", "n_grams")
 
 
 def rarest_grams(grams: DataFrame, frequencies: DataFrame, key: list[str]) -> DataFrame:
@@ -95,7 +105,8 @@ def search(terms: DataFrame, queries: DataFrame, postings: DataFrame | None = No
     asked = asked_of(queries)
     key = ["query_id", "source"]
     grams = asked.select(*key, "side", F.explode(F.array_distinct(X.grams_for(F.col("q"), F.col("side")))).alias("gram"))
-    some = postings.join(grams.select("side", "gram").distinct(), ["side", "gram"], "left_semi")
+    # read twice, for frequencies and for candidates, so written once
+    some = staged(postings.join(grams.select("side", "gram").distinct(), ["side", "gram"], "left_semi"), "asked")
     frequencies = some.groupBy("side", "gram").agg(F.count(F.lit(1)).alias("df"))
     candidates = asked.join(rarest_grams(grams, frequencies, key), [*key, "side"]).join(some, ["side", "gram"]).where(F.col("len") >= F.length("q"))
     found = candidates.select("query_id", "side", "q", "q_norm", "source_rank", *KEY, "lang", "kind").join(terms, [*KEY, "lang", "kind"])

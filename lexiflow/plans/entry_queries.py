@@ -258,13 +258,19 @@ def j2(spark, sf):
 # ------------------------------------------------------------------ streams, each run over the whole table and then read
 
 
-def _run(spark, sf, make):
-    """Write what ``make`` does to the event stream into a table, until all that is there is read."""
+def _source(spark, sf, files=8):
+    """The event table as files of about equal size that a stream reads: (folder, schema, place of the checkpoint)."""
     at = fresh_path(spark, "stream")
-    source = f"{at}/in"
-    W.review_events(spark, sf).write.option("maxRecordsPerFile", 4000).parquet(source)
-    stream = E.event_stream(spark, source, spark.read.parquet(source).schema)
-    out, check = f"{at}/out", f"{at}/check"
+    events = W.review_events(spark, sf).repartition(files, "seq")
+    events.write.parquet(f"{at}/in")
+    return f"{at}/in", events.schema, f"{at}/check"
+
+
+def _run(spark, sf, make):
+    """Write what ``make`` does to the event stream, some files at a time, into a table, until all that is there is read."""
+    source, schema, check = _source(spark, sf)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(source)
+    out = f"{source}-out"
     make(stream).option("checkpointLocation", check).option("path", out).trigger(availableNow=True).start().awaitTermination()
     return out
 
@@ -272,7 +278,7 @@ def _run(spark, sf, make):
 @query("x1_stream_dedupe", W.sql(W.REVIEW_EVENTS) + " SELECT device_id, seq, type FROM review_events")
 def x1(spark, sf):
     twice = lambda s: s.unionByName(s)
-    out = _run(spark, sf, lambda s: E.deduplicated(twice(s)).select("device_id", "seq", "type").writeStream.format("parquet"))
+    out = _run(spark, sf, lambda s: E.deduplicated(twice(s), "90 days").select("device_id", "seq", "type").writeStream.format("parquet"))
     return spark.read.schema("device_id decimal(20,0), seq long, type string").parquet(out)
 
 
@@ -280,19 +286,24 @@ def x1(spark, sf):
 def x2(spark, sf):
     at = fresh_path(spark, "winners")
     _run(spark, sf, lambda s: s.writeStream.foreachBatch(E.last_writer_sink(at)))
-    return spark.read.parquet(E._latest(spark, at)).select(*R.CARD, "device_id", "seq")
+    return E.read_winners(spark, at, W.review_events(spark, sf).schema).select(*R.CARD, "device_id", "seq")
 
 
 @query("x3_stream_cards", _replay_sql() + f" SELECT {SHOWN} FROM final")
 def x3(spark, sf):
     """The state of every card after the last batch: batches are numbered and the last row of each card is kept."""
     at = fresh_path(spark, "cards")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
     def put(batch, batch_id):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(at)
 
-    _run(spark, sf, lambda s: E.streaming_cards(s).writeStream.outputMode("update").foreachBatch(put))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _run(spark, sf, lambda s: E.streaming_cards(s).writeStream.outputMode("update").foreachBatch(put))
+    finally:
+        spark.conf.set(name, before)
     last = spark.read.parquet(at).groupBy(*R.CARD).agg(F.max_by(F.struct(*R.FIELDS), "batch").alias("c")).select(*R.CARD, "c.*")
     return _rounded(last.where("total_answers > 0")).drop("prev_state")
 
@@ -304,12 +315,46 @@ def x4(spark, sf):
     return E.daily_activity(W.review_events(spark, sf)).select("learner_id", "deck", "type", day, "n")
 
 
+@query("x4_stream_daily_activity", W.sql(W.REVIEW_EVENTS) + " SELECT learner_id, deck, type, floor((ts - 14400) / 86400)::BIGINT AS day, count(*) AS n FROM review_events GROUP BY ALL")
+def x4_stream(spark, sf):
+    """The same aggregate over a real stream in several batches; each batch gives the new counts of the days that it touched, and the last ones are read."""
+    at = fresh_path(spark, "activity")
+
+    def put(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(at)
+
+    _run(spark, sf, lambda s: E.daily_activity(s, lateness="90 days").writeStream.outputMode("update").foreachBatch(put))
+    day = F.floor((F.unix_timestamp(F.col("window.start")) - 14400) / 86400).cast("long").alias("day")
+    key = ["learner_id", "deck", "type", day]
+    return spark.read.parquet(at).groupBy(*key).agg(F.max_by("n", "batch").alias("n"))
+
+
 @query("x5_audit_log", W.sql(W.REVIEW_EVENTS) + " SELECT device_id, seq, type, ts FROM review_events")
 def x5(spark, sf):
-    out = _run(spark, sf, lambda s: s.select("device_id", "seq", "type", "ts").writeStream.format("parquet").option("maxRecordsPerFile", 1000))
+    source, schema, check = _source(spark, sf)
+    out = f"{source}-out"
+    E.append_audit(E.event_stream(spark, source, schema).select("device_id", "seq", "type", "ts"), out, check).awaitTermination()
     return spark.read.schema("device_id decimal(20,0), seq long, type string, ts long").parquet(out)
 
 
+@query("x6_stream_late_events", W.sql(W.REVIEW_EVENTS) + ", mark AS (SELECT max(ts) - 7 * 86400 AS mark FROM review_events WHERE seq % 2 = 0) SELECT learner_id, count(*) AS n, count(*) FILTER (seq % 2 = 1 AND ts <= mark) AS n_late FROM review_events, mark GROUP BY learner_id")
+def x6_stream(spark, sf):
+    """Even events come first and odd ones after the watermark has passed: what deduplication lets through less than came is what was too late."""
+    at = fresh_path(spark, "late")
+    events = W.review_events(spark, sf)
+
+    def go():
+        stream = E.deduplicated(E.event_stream(spark, f"{at}/in", events.schema)).select("learner_id", "device_id", "seq")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/check").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
+
+    for half in (0, 1):
+        events.where(F.col("seq") % 2 == half).write.mode("append").parquet(f"{at}/in")
+        go()
+    kept = spark.read.schema("learner_id long, device_id decimal(20,0), seq long").parquet(f"{at}/out").groupBy("learner_id").agg(F.count(F.lit(1)).alias("kept"))
+    n = events.groupBy("learner_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(kept, "learner_id", "left").select("learner_id", "n", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("n_late"))
+
+
 @query("x6_late_events", W.sql(W.REVIEW_EVENTS) + f" SELECT learner_id, count(*) FILTER (ts <= {W.NOW - 7 * 86400}) AS n_late FROM review_events GROUP BY learner_id")
 def x6(spark, sf):
     return E.late_events(W.review_events(spark, sf), W.NOW - 7 * 86400)

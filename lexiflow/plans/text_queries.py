@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocabulary as V
 from ..operators import search as Q
+from ..sources import tables as T
+from ..storage import fresh_path
 from . import views as W
 from .registry import query
 
@@ -201,6 +203,16 @@ def k4(spark, sf):
     return Q.pages(Q.best_per_entry(_hits(spark, sf)), 10, 0, 0).select("query_id", "place", "ent_seq", "meta1", "score", "page")
 
 
+@query("k4_stored_index", SEARCH + ", " + BEST + ", " + PAGED + " SELECT query_id, rn::INTEGER AS place, ent_seq, meta1, score FROM paged WHERE rn <= 10")
+def k4_stored(spark, sf):
+    """The same page from an index that is written first: of the stored postings only the buckets of the queries' grams are read."""
+    terms, queries = W.lex_terms(spark, sf), Q.rewrite_queries(W.lex_queries(spark, sf))
+    at = fresh_path(spark, "index")
+    T.write_postings(Q.build_postings(terms), at)
+    stored = T.read_postings(spark, at, Q.query_grams(queries))
+    return Q.pages(Q.best_per_entry(Q.search(terms, queries, stored)), 10, 0, 0).select("query_id", "place", "ent_seq", "meta1", "score")
+
+
 @query("k4_later_pages", SEARCH + ", " + BEST + ", " + PAGED + " SELECT query_id, rn::INTEGER AS place, ent_seq, ((rn - 1) // 10)::INTEGER AS page FROM paged WHERE rn > 10 AND rn <= 40")
 def k4_later(spark, sf):
     return Q.pages(Q.best_per_entry(_hits(spark, sf)), 10, 1, 3).select("query_id", "place", "ent_seq", "page")
@@ -227,6 +239,33 @@ def u1(spark, sf):
     return _hits(spark, sf).groupBy("query_id", "lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ent_seq").alias("entries"))
 
 
+#: Names in katakana and questions in hiragana, letter by letter, with letters that make no long vowels.
+KATA = "カキクケコサシスセソタチツテトナニヌネノハヒフヘホマ"
+HIRA = "".join(chr(ord(c) - 0x60) for c in KATA)
+JAPANESE = f"""jterms AS (SELECT p_partkey AS ent_seq, translate(lower(p_name), '{LOW}', '{KATA}') AS text, 'jp' AS side, (p_size % 2)::INTEGER AS common FROM part
+  UNION ALL SELECT p_partkey, lower(p_type), 'gloss', (p_size % 2)::INTEGER FROM part),
+jqueries AS (SELECT p_partkey AS query_id, string_split(p_name, ' ')[1] AS word, p_partkey % 2 = 0 AS jp FROM part WHERE p_size = 7),
+jasked AS (SELECT query_id, CASE WHEN jp THEN translate(lower(word), '{LOW}', '{HIRA}') ELSE lower(string_split(t.p_type, ' ')[1]) END AS q, CASE WHEN jp THEN 'jp' ELSE 'gloss' END AS side FROM jqueries JOIN part t ON t.p_partkey = query_id),
+jhits AS (SELECT query_id, ent_seq, a.side, length(text)::INTEGER AS len, (CASE WHEN length(text) = length(q) THEN 128 ELSE 0 END + CASE WHEN a.side = 'jp' THEN 64 ELSE 0 END + (31 - least(31, length(text) - length(q))) * 2 + common)::INTEGER AS score
+  FROM jasked a JOIN jterms t ON t.side = a.side AND contains(translate(text, '{X.KATAKANA}', '{X.HIRAGANA}'), q))"""
+
+
+@query("u1_japanese_sources", W.sql(JAPANESE) + " SELECT query_id, ent_seq, side, len, score FROM jhits")
+def u1_japanese(spark, sf):
+    """Questions in kana against names in the other kana, and Latin ones against glosses, in one search."""
+    p = W.table(spark, sf, "part")
+    common = (F.col("p_size") % 2).cast("int").alias("common")
+    kana = lambda c, to: F.translate(F.lower(c), LOW, to)
+    zero = [F.lit(0).alias("meta1"), F.lit(0).alias("meta2")]
+    names = p.select(F.col("p_partkey").alias("ent_seq"), kana(F.col("p_name"), KATA).alias("text"), *zero, F.lit("reading").alias("kind"), F.lit("jp").alias("lang"), common)
+    names = names.withColumn("text", X.fold_kana(F.col("text")))  # an index of forms is folded
+    glosses = p.select(F.col("p_partkey").alias("ent_seq"), F.lower("p_type").alias("text"), *zero, F.lit("gloss").alias("kind"), F.lit("en").alias("lang"), common)
+    word = F.when(F.col("p_partkey") % 2 == 0, kana(F.element_at(F.split("p_name", " "), 1), HIRA)).otherwise(F.lower(F.element_at(F.split("p_type", " "), 1)))
+    queries = Q.rewrite_queries(p.where("p_size = 7").select(F.col("p_partkey").alias("query_id"), word.alias("q_raw")))
+    hits = Q.search(names.unionByName(glosses), queries)
+    return hits.select("query_id", "ent_seq", F.when(F.col("kind") == "gloss", "gloss").otherwise("jp").alias("side"), "len", "score")
+
+
 @query("u5_active_languages", "SELECT DISTINCT lang FROM documents WHERE lang IN ('en', 'es', 'fr', 'de', 'hu', 'nl', 'ru', 'slv', 'sv') AND text <> ''")
 def u5(spark, sf):
     return Q.active_languages(V.languages(spark).select("lang"), Q.build_postings(W.lex_terms(spark, sf)))

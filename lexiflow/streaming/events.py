@@ -25,44 +25,80 @@ def with_time(events: DataFrame) -> DataFrame:
     return events.withColumn("event_time", F.timestamp_seconds("ts"))
 
 
-def deduplicated(events: DataFrame) -> DataFrame:
-    """Each (device, seq) once, with state that the watermark bounds."""
-    return with_time(events).withWatermark("event_time", LATENESS).dropDuplicatesWithinWatermark(["device_id", "seq"])
+def deduplicated(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Each (device, seq) once, with state that the watermark bounds; events behind the watermark are dropped."""
+    return with_time(events).withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["device_id", "seq"])
 
 
-def daily_activity(events: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """(learner_id, deck, type, day window, n) by logical days."""
+def daily_activity(events: DataFrame, p: Parameters = Parameters(), lateness: str = LATENESS) -> DataFrame:
+    """(learner_id, deck, type, day window, n) by logical days; days that end before the watermark take no more events."""
     day = F.window("event_time", "1 day", startTime=f"{p.day_offset} seconds")
-    return with_time(events).withWatermark("event_time", LATENESS).groupBy("learner_id", "deck", "type", day).agg(F.count(F.lit(1)).alias("n"))
+    return with_time(events).withWatermark("event_time", lateness).groupBy("learner_id", "deck", "type", day).agg(F.count(F.lit(1)).alias("n"))
 
 
-def last_writer_sink(path: str):
-    """For ``foreachBatch``: keeps each card's winning event in a versioned table.
+#: Buckets of the table of winners. A batch rewrites those that its cards fall in.
+BUCKETS = 64
 
-    A batch is reduced to winners and merged with the table by the same order, so late events lose by their time and
-    repeated batches change nothing.
+
+def last_writer_sink(path: str, buckets: int = BUCKETS):
+    """For ``foreachBatch``: keeps each card's winning event in a table of buckets by card, each with versions by batch.
+
+    A batch is reduced to winners and merged by the same order with the buckets that its cards fall in, so late events lose by their
+    time and repeated batches change nothing. Other buckets are not read. Of each bucket the version before the newest stays, in case that the
+    batch is run again; older ones are deleted.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = sync.winners(batch.where("type <> 'undo'"))
-        before = _latest(spark, path)
-        if before is not None:
-            new = sync.winners(spark.read.parquet(before).unionByName(new))
-        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id:09d}")
+        new = sync.winners(batch.where("type <> 'undo'")).withColumn("bucket", F.pmod(F.xxhash64(*CARD), F.lit(buckets)).cast("int")).persist()
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        versions = {k: sorted(v for v in found if v < batch_id) for k, found in _versions(spark, path).items() if k in touched}
+        before = [_place(path, k, v[-1]) for k, v in versions.items() if v]
+        merged = new
+        if before:
+            old = spark.read.schema(new.drop("bucket").schema).parquet(*before)
+            again = sync.winners(old.unionByName(new.drop("bucket")))
+            merged = again.withColumn("bucket", F.pmod(F.xxhash64(*CARD), F.lit(buckets)).cast("int"))
+        merged.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/batch={batch_id:09d}")
+        new.unpersist()
+        for k, found in versions.items():
+            for v in found[:-1]:
+                _files(spark, path).delete(_at(spark, _place(path, k, v)), True)
 
     return run
 
 
-def _latest(spark: SparkSession, path: str) -> str | None:
-    """The newest complete version under ``path``, by Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    done = [str(s.getPath()) for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max(done, default=None)
+def read_winners(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest version of each bucket."""
+    newest = [_place(path, k, max(found)) for k, found in _versions(spark, path).items()]
+    return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)
+
+
+def _place(path: str, bucket: int, batch: int) -> str:
+    return f"{path}/batch={batch:09d}/bucket={bucket}"
+
+
+def _at(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _at(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """For each bucket, the complete batches that wrote it, by Spark's own file system."""
+    fs, out = _files(spark, path), {}
+    if not fs.exists(_at(spark, path)):
+        return out
+    for batch in fs.listStatus(_at(spark, path)):
+        at = str(batch.getPath())
+        if fs.exists(_at(spark, f"{at}/_SUCCESS")):
+            for part in fs.listStatus(_at(spark, at)):
+                name = part.getPath().getName()
+                if name.startswith("bucket="):
+                    out.setdefault(int(name.removeprefix("bucket=")), []).append(int(at.rsplit("batch=", 1)[1]))
+    return out
 
 
 class LiveReviews(StatefulProcessor):
