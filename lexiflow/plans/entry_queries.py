@@ -185,6 +185,16 @@ def s7(spark, sf):
     return T.sound_events(T.read_events(spark, at))[0].select("device_id", "seq", "type")
 
 
+@query("s8_quarantine", IM + " SELECT seq, type, CASE WHEN seq % 13 = 0 THEN 'device' WHEN seq % 17 = 0 THEN 'time' ELSE 'type' END AS lacks FROM image_events WHERE seq % 13 = 0 OR seq % 17 = 0 OR seq % 19 = 0")
+def s8(spark, sf):
+    """Torn records among the events: without device, without time, of an unknown type."""
+    seq = F.col("seq")
+    torn = W.image_events(spark, sf).withColumn("device_id", F.when(seq % 13 != 0, F.col("device_id"))).withColumn("ts", F.when(seq % 17 != 0, F.col("ts")))
+    rows = torn.select("*", F.col("type").alias("was")).withColumn("type", F.when(seq % 19 == 0, "torn").otherwise(F.col("type")))
+    lacks = F.when(F.col("device_id").isNull(), "device").when(F.col("ts").isNull(), "time").otherwise("type")
+    return T.sound_events(rows)[1].select("seq", F.col("was").alias("type"), lacks.alias("lacks"))
+
+
 CA = W.sql(W.REVIEW_EVENTS, W.CARDS)
 
 

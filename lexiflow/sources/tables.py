@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lexicon import numbered
+
 #: Version that writers put beside their rows and readers ask for.
 SCHEMA_VERSION = 1
 TERMS = "ent_seq long, text string, meta1 int, meta2 int, n_bytes int, common int"
@@ -115,9 +117,15 @@ def append_history(history: DataFrame, path: str) -> None:
 
 
 def history_chunks(events: DataFrame) -> DataFrame:
-    """(learner_id, chunk, n, first_ts, last_ts): each learner's log in chunks of :data:`CHUNK` events by time."""
-    k = F.row_number().over(Window.partitionBy("learner_id").orderBy("ts", "device_id", "seq"))
-    return events.withColumn("chunk", F.floor((k - 1) / CHUNK).cast("int")).groupBy("learner_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    """(learner_id, chunk, n, first_ts, last_ts): each learner's log in chunks of :data:`CHUNK` events by time.
+
+    Events are numbered over the whole log in even ranges, and a learner's first number is subtracted, so a learner with many events is dealt over many tasks.
+    """
+    order = ["learner_id", "ts", "device_id", "seq"]
+    put = numbered(events.select(*order), order, "k")
+    first = put.groupBy("learner_id").agg(F.min("k").alias("first"))
+    rows = put.join(first, "learner_id").withColumn("chunk", F.floor((F.col("k") - F.col("first")) / CHUNK).cast("int"))
+    return rows.groupBy("learner_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def history_events(events: DataFrame) -> DataFrame:
