@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, staged
 from .components import connected_components
 
 
@@ -83,41 +83,79 @@ def canonical(url: Column) -> Column:
     )
 
 
-def declared_target(url: Column, html: Column) -> Column:
-    """The URL that a page's canonical link, or else its refresh, points to; relative ones are resolved at the host."""
-    link = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    to = F.when(link != "", link).when(refresh != "", refresh)
-    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.when(F.contains(to, F.lit("://")), to).when(F.startswith(to, F.lit("/")) & (root != ""), F.concat(root, to))
+def resolved(to: Column, url: Column) -> Column:
+    """Where a link in the page at ``url`` leads: absolute, beginning with ``//``, at the host, a query, or beside the page; null for places in the page
+    and for schemes without ``://``."""
+    root, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    beside = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    return (
+        F.when(to == "", None).when(F.contains(to, F.lit("://")), to)
+        .when(F.startswith(to, F.lit("//")), F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit(":"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(root, to)).when(F.startswith(to, F.lit("?")), F.concat(root, path, to))
+        .when(F.startswith(to, F.lit("#")) | to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).otherwise(F.concat(root, beside, to))
+    )
+
+
+def canonical_link(html: Column) -> Column:
+    return F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+
+
+def refresh_link(html: Column) -> Column:
+    return F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+
+
+def rules_by_url(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, own): for a table of rules (verdict, text) of any size, the struct of :func:`rule_for` for each url that a rule fits.
+
+    Each url asks for the suffixes of its host, a few rows, in a join that Spark broadcasts only while the rules are small; the longest is kept by a maximum that
+    is combined before the shuffle.
+    """
+    host = F.col("host")
+    labels = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = urls.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    asked = asked.select("url", "path", F.explode(suffixes).alias("rule_host"))
+    table = rules.where("text is not null and verdict is not null").select(
+        F.substring_index("text", "/", 1).alias("rule_host"), F.concat(F.lit("/"), F.regexp_extract("text", r"(?s)^[^/]*/(.*)$", 1)).alias("rule_path"), (-F.length("text")).alias("n"), "verdict", F.col("text").alias("rule")
+    )
+    fits = asked.join(table, "rule_host").where(F.startswith("path", F.col("rule_path")))
+    return fits.groupBy("url").agg(F.min(F.struct("n", "verdict", "rule")).alias("own"))
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """(id, host, path, rule, verdict, alias_verdict) for every row of ``pages``.
 
-    ``redirects`` (src, dst) adds edges known from elsewhere. A page with a rule of its own keeps the rule's verdict. Else
-    an allowed alias allows it, else a blocked alias blocks it, else it is allowed. A null URL, or one without
-    ``://``, has an empty host and path, no rule and no aliases, and is allowed. Repeated rows and ids are judged row
-    by row; an empty table gives an empty result; further columns are not looked at.
+    ``rules`` are a few, which become part of the plan, or a table (verdict, text) of any size. ``redirects`` (src, dst) adds edges known from elsewhere; a page's
+    canonical link and its refresh are an edge each. A page with a rule of its own keeps the rule's verdict. Else an allowed alias allows it, else
+    a blocked alias blocks it, else it is allowed. A null URL, or one without ``://``, has an empty host and path, no rule and no aliases, and is
+    allowed. URLs of any length are read whole. Of rules of equal length allow goes first, then the text. Repeated rows and ids are judged row by row; an empty
+    table gives an empty result; further columns are not looked at.
     """
     html = F.col(html_col) if html_col else F.lit(None).cast("string")
     pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"))
     known = F.contains("url", F.lit("://"))
+    url = F.col("url")
     edges = pages.where(known).select(F.inline(F.array(
-        F.struct(F.col("url").alias("src"), canonical(F.col("url")).alias("dst")),
-        F.struct(F.col("url").alias("src"), canonical(declared_target(F.col("url"), F.col("html"))).alias("dst")),
+        F.struct(url.alias("src"), canonical(url).alias("dst")),
+        F.struct(url.alias("src"), canonical(resolved(canonical_link(F.col("html")), url)).alias("dst")),
+        F.struct(url.alias("src"), canonical(resolved(refresh_link(F.col("html")), url)).alias("dst")),
     )))
     if redirects is not None:
         more = redirects.select(F.col("src").cast("string"), F.col("dst").cast("string")).where("src is not null and dst is not null")
         edges = edges.unionByName(more).unionByName(more.select("src", canonical(F.col("src")).alias("dst"))).unionByName(more.select(F.col("dst").alias("src"), canonical(F.col("dst")).alias("dst")))
     member = connected_components(edges)
-    judged = member.withColumn("verdict", rule_for(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"])
+    out = pages.select("id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
+    if isinstance(rules, tuple):
+        judged = member.withColumn("verdict", rule_for(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"])
+        out = out.withColumn("own", rule_for(F.col("host"), F.col("path"), rules))
+    else:
+        own = staged(rules_by_url(member.select(F.col("node").alias("url")), rules), "rules")
+        judged = member.join(own.select(F.col("url").alias("node"), "own.verdict"), "node")
+        out = out.join(own, "url", "left")
     # "allow" < "block", so the minimum over a component gives allow the precedence
     decided = judged.groupBy("component").agg(F.min("verdict").alias("alias_verdict")).where("alias_verdict is not null")
     passed_on = member.join(decided, "component").select(F.col("node").alias("url"), "alias_verdict")
-    own = rule_for(F.col("host"), F.col("path"), rules)
-    out = pages.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("own", own).join(passed_on, "url", "left")
-    return out.select(
+    return out.join(passed_on, "url", "left").select(
         F.col("id").alias(id_col), "host", "path", F.col("own.rule").alias("rule"),
         F.coalesce("own.verdict", "alias_verdict", F.lit("allow")).alias("verdict"), "alias_verdict",
     )
@@ -134,10 +172,13 @@ WITH RECURSIVE rules(verdict, rule) AS (VALUES ('block','com/en/'),('allow','exa
 p AS (SELECT page_id, url, coalesce(HOST, '') AS host, coalesce(PATH, '') AS path,
   regexp_extract(url, '^(?s:[^#]*?)\?([^#]*)', 1) AS query, url LIKE '%://%' AS known,
   coalesce(nullif(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''),
-           nullif(regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1), ''),
-           nullif(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1), '')) AS target FROM pages),
+           nullif(regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1), '')) AS link,
+  nullif(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1), '') AS refresh FROM pages),
 urls AS (SELECT DISTINCT url AS src, url AS u FROM p WHERE known
-  UNION SELECT url, CASE WHEN target LIKE '%://%' THEN target WHEN target LIKE '/%' THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*', 0) || target END FROM p WHERE known AND target IS NOT NULL),
+  UNION SELECT url, CASE WHEN target LIKE '%://%' THEN target WHEN target LIKE '//%' THEN regexp_extract(url, '^((?s:.*?))://', 1) || ':' || target WHEN target LIKE '/%' THEN root || target
+    WHEN target LIKE '?%' THEN root || path || target WHEN target LIKE '#%' OR regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    ELSE root || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || target END
+  FROM (SELECT url, path, unnest([link, refresh]) AS target, regexp_extract(url, '^(?s:.*?)://[^/?#]*', 0) AS root FROM p WHERE known) WHERE target IS NOT NULL),
 cut AS (SELECT src, HOSTU AS host, PATHU AS path,
   list_sort(list_filter(string_split(regexp_extract(u, '^(?s:[^#]*?)\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_\w+|ref|fbclid|gclid)(=|$)'))) AS params FROM urls WHERE u IS NOT NULL),
 edge AS (SELECT DISTINCT src, 'http://' || regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(params) > 0 THEN '?' || list_aggregate(params, 'string_agg', '&') ELSE '' END AS dst FROM cut),

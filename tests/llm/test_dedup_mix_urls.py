@@ -128,6 +128,28 @@ def test_url_allow_precedence_and_redirects(spark):
     assert url_filter.filter_urls(p.where("false")).count() == 0
 
 
+def test_links_are_resolved(spark):
+    rows = [
+        ("http://a.org/x/page.html", "other.html", "http://a.org/x/other.html"), ("http://a.org/x/page.html", "?id=3", "http://a.org/x/page.html?id=3"), ("https://a.org/x", "//b.com/y", "https://b.com/y"),
+        ("http://a.org", "z", "http://a.org/z"), ("http://a.org/x/", "/q", "http://a.org/q"), ("http://a.org/x", "#top", None), ("http://a.org/x", "mailto:me", None), ("http://a.org/x", "http://c.net/", "http://c.net/"), ("http://a.org/x", "", None),
+    ]
+    d = spark.createDataFrame([(a, b) for a, b, _ in rows], "url string, target string").select(url_filter.resolved(F.col("target"), F.col("url")).alias("r"))
+    assert [r.r for r in d.collect()] == [c for _, _, c in rows]
+
+
+def test_both_links_of_a_page_count(spark):
+    html = '<link rel="canonical" href="http://plain.org/a"><meta http-equiv="refresh" content="0; url=http://s.com/en/1">'
+    p = spark.createDataFrame([(1, "http://free.net/1", html), (2, "http://long.org/" + "a" * 200_000, html.replace("plain.org/a", "own.org/b"))], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.filter_urls(p).collect()} == {1: "block", 2: "block"}
+
+
+def test_rules_as_a_table(spark):
+    table = spark.createDataFrame([(r.verdict, r.text) for r in url_filter.RULES] + [(None, "x/"), ("block", None)], "verdict string, text string")
+    few, many = (sorted(map(str, url_filter.filter_urls(pages(spark), rules).collect())) for rules in (url_filter.RULES, table))
+    assert few == many
+    assert {r.verdict for r in url_filter.filter_urls(pages(spark), table.where("false")).collect()} == {"allow"}
+
+
 @pytest.mark.parametrize("name", ["op3_exact_dedup", "op4_source_mix", "op10_url_filter"])
 def test_sql(spark, name):
     from lexiflow.llm import registry
