@@ -484,6 +484,50 @@ def test_rendered_copies_against_all_pairs(spark):
     assert len(images) > 100 and got == all_pairs(found)
 
 
+def linked_pairs(found):
+    """All pairs that agree() links, whatever keys they have."""
+    return [(i, j) for i, j in itertools.combinations(sorted(found), 2) if max(media.agree(found[i], found[j]), media.agree(found[j], found[i])) >= media.AGREEING]
+
+
+def test_recall_with_a_common_mark(spark):
+    """Pictures that all bear the same small mark, and edited copies: at least nine in ten linked pairs of all pairs are in one component."""
+    r = np.random.Generator(np.random.PCG64(11))
+    mark, rows = r.integers(0, 255, (14, 14)).astype(np.float32), []
+    for i in range(40):
+        g = picture(i).copy()
+        g[-20:-6, 6:20] = mark
+        rows.append((i, media.encode(g)))
+        if i % 4 == 0:
+            rows.append((100 + i, media.encode(0.8 * g[4:, 3:-5] + 15)))
+    found = dict(zip([i for i, _ in rows], media.describe([media.decode(x) for _, x in rows]), strict=True))
+    pairs = linked_pairs(found)
+    got = {x.media_id: x.component_id for x in media.find_copies(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
+    assert len(pairs) >= 10 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_recall_of_keys():
+    """Of edited copies that agree() links with their picture, at least nine in ten of each kind share a key, and few others do."""
+    r = np.random.Generator(np.random.PCG64(12))
+    pictures = [picture(i) for i in range(60)]
+    edits = [lambda g: g[6:-8, 4:-10], lambda g: 0.7 * g + 20, lambda g: g + r.normal(0, 5, g.shape), lambda g: np.rot90(g), lambda g: media._box(g[None], 1)[0], lambda g: media._resize(g[None], 0.75)[0]]
+    grey = lambda g: media.decode(media.encode(np.ascontiguousarray(g)))
+    whole = media.describe([grey(g) for g in pictures])
+    own = [set(media.keys(*w).tolist()) for w in whole]
+    for edit in edits:
+        copies = media.describe([grey(edit(g)) for g in pictures])
+        linked = [k for k in range(60) if max(media.agree(whole[k], copies[k]), media.agree(copies[k], whole[k])) >= media.AGREEING]
+        assert len(linked) > 30 and sum(bool(own[k] & set(media.keys(*copies[k]).tolist())) for k in linked) >= 0.9 * len(linked)
+    assert sum(bool(a & b) for a, b in itertools.combinations(own, 2)) < 60 * 59 / 2 / 50
+
+
+def test_versions_of_an_id(spark):
+    """Rows of one id are versions of one picture, linked where any of them is; every version counts, in whatever order they come."""
+    a, b = picture(21), picture(22)
+    rows = [(5, media.encode(a)), (5, media.encode(b)), (8, media.encode(0.8 * a + 20)), (9, media.encode(0.8 * b + 20)), (4, media.encode(picture(23)))]
+    for some in (rows, rows[::-1]):
+        assert {(r.media_id, r.component_id) for r in media.find_copies(spark.createDataFrame(some, "media_id long, image binary")).collect()} == {(5, 5), (8, 5), (9, 5), (4, 4)}
+
+
 def test_media_cases(spark):
     flat = media.encode(np.full((40, 40), 9.0))
     rows = [(1, None), (2, b""), (3, b"not an image"), (4, flat), (5, media.encode(picture(1))), (6, media.encode(picture(1))), (6, media.encode(picture(1))), (None, media.encode(picture(1))), (7, media.encode(picture(2, 12)))]
