@@ -11,7 +11,8 @@ parses are the same, since what follows depends on the place only. So the counts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ TRAIN_LENGTH = 4_000
 SEGMENT = 512
 #: Cells up to which transitions are a full table; larger alphabets have a hash table. Changes speed and memory only.
 CELLS = 16_000_000
+#: Lanes up to which what comes into a segment is carried on one by one; changes speed only.
+FEW = 128
 #: Symbols that are parsed together.
 CHUNK = 4_000_000
 #: Ends of phrases within a text, for each symbol, above which it speaks no learned language (a text of that language has about 0.2).
@@ -46,11 +49,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """(language, text) for each label of the documents that are not held out; the text is a bounded sample, drawn by a hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # one row for each language, as the model has; a literal in the plan, so most rows leave before their texts are shuffled
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return ()
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    few = F.least(F.lit(1.0), 8 * TRAIN_DOCS / F.col("n")) * F.lit(float(1 << 40))
+    shares = {lang: min(1.0, 8 * TRAIN_DOCS / n) * (1 << 40) for lang, n in counts.items()}
+    few = F.element_at(F.map_from_arrays(F.lit(list(shares)), F.lit(list(shares.values()))), F.col("lang"))
     order = Window.partitionBy("lang").orderBy((F.length("text") > TRAIN_LENGTH) | (F.length("text") < 40), draw, "id", "text")
-    chosen = rows.join(counts, "lang").where(F.col("text").isNotNull() & (draw < few)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_DOCS)
+    chosen = rows.where(F.col("text").isNotNull() & (draw < few)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_DOCS)
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in chosen.select("lang", "k", F.substring("text", 1, TRAIN_CHARS).alias("text")).collect():
         texts.setdefault(r["lang"], []).append((r["k"], r["text"]))
@@ -119,8 +126,8 @@ class SuffixAutomaton:
         value = np.array([t for moves in to for t in moves.values()], dtype=np.int32)
         self.full = len(to) * self.width <= CELLS
         if self.full:
-            self.table = np.tile(self.begin, len(to))
-            self.table[key] = value
+            self.table = np.tile(np.where(self.begin < 0, ~(~self.begin * self.width), 0).astype(np.int32), len(to))
+            self.table[key] = value * self.width
         else:
             self.bits = np.uint64(64 - max(4, int(4 * len(key)).bit_length()))
             self.keys = np.full(1 << (64 - int(self.bits)), -1, dtype=np.int64)
@@ -133,10 +140,24 @@ class SuffixAutomaton:
     def _place(self, key: np.ndarray) -> np.ndarray:
         return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.bits).astype(np.int64)
 
+    @property
+    def over(self) -> int:
+        """State 1 as ``step`` has it; in a full table states are known by where their row begins."""
+        return self.width if self.full else 1
+
+    def look_up(self) -> Callable[[int, int], int]:
+        """``step`` for one state and one symbol."""
+        if self.full:
+            item = self.table.item
+            return lambda state, symbol: item(state + symbol)
+        held = self.keys >= 0
+        moves, begin, width = dict(zip(self.keys[held].tolist(), self.table[held].tolist(), strict=True)), self.begin.tolist(), self.width
+        return lambda state, symbol: moves.get(state * width + symbol, begin[symbol])
+
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """``symbol`` counts by the sequence's own alphabet (``own``)."""
         if self.full:
-            return self.table[state * np.int64(self.width) + symbol]
+            return self.table.take(state + symbol)
         key = state * np.int64(self.width) + symbol
         at, out, look = self._place(key), self.begin[symbol], np.arange(len(key))
         while len(look):
@@ -178,14 +199,14 @@ class CrossParser:
         steps = np.ascontiguousarray(flat[begin[:, None] + np.arange(size[0])].T)
         running = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right").tolist()
         for k, automaton in enumerate(self.automata):
-            counts = self._parse(automaton, automaton.own[steps], running, size, follows)
+            counts = self._parse(automaton, automaton.own[steps], running, size, follows, order)
             out[:, k] = np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
         return out
 
     @staticmethod
-    def _parse(automaton: SuffixAutomaton, steps: np.ndarray, running: list[int], size: np.ndarray, follows: np.ndarray) -> np.ndarray:
-        """The phrases that begin in each lane."""
-        state, count = np.ones(len(size), dtype=np.int32), np.zeros(len(size), dtype=np.int64)
+    def _parse(automaton: SuffixAutomaton, steps: np.ndarray, running: list[int], size: np.ndarray, follows: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The phrases that begin in each lane; ``place`` is the lane's segment in the order of the texts."""
+        state, count = np.full(len(size), automaton.over, dtype=np.int32), np.zeros(len(size), dtype=np.int64)
         begins = np.zeros(steps.shape, dtype=bool)
         for i, n in enumerate(running):
             now = automaton.step(state[:n], steps[i, :n])
@@ -193,26 +214,49 @@ class CrossParser:
             count[:n] -= ended
             begins[i, :n] = ended
             state[:n] = now ^ ended
-        # carry on what comes in; where that changes a lane's last state, its follower is carried on anew
-        change, end, sends = np.zeros(len(size), dtype=np.int64), state.copy(), np.flatnonzero(follows >= 0)
-        while len(sends):
-            lanes, coming = follows[sends], end[sends]
-            differ, last, at = np.zeros(len(lanes), dtype=np.int64), state[lanes], np.arange(len(lanes))
-            for i in range(len(running)):
-                now = automaton.step(coming[at], steps[i, lanes[at]])
-                ended, first = now < 0, begins[i, lanes[at]]
-                differ[at] += ended.astype(np.int64) - first
-                coming[at] = np.where(ended, ~now, now)
-                at = at[~(ended & first)]  # the parses have met there
-                over = size[lanes[at]] == i + 1
-                last[at[over]] = coming[at[over]]
-                at = at[~over]
-                if not len(at):
-                    break
-            change[lanes] = differ
-            moved = last != end[lanes]
-            end[lanes] = last
-            sends = lanes[moved & (follows[lanes] >= 0)]
+        # carry on what comes in, side by side while many lanes are left
+        change, end = np.zeros(len(size), dtype=np.int64), state.copy()
+        sends = np.flatnonzero(follows >= 0)
+        lanes, coming, at, unmet = follows[sends], state[sends], np.arange(len(sends)), []
+        for i in range(len(running)):
+            if len(at) <= FEW:
+                break
+            now = automaton.step(coming[at], steps[i, lanes[at]])
+            ended, first = now < 0, begins[i, lanes[at]]
+            change[lanes[at]] += ended.astype(np.int64) - first
+            coming[at] = np.where(ended, ~now, now)
+            met, over = ended & first, size[lanes[at]] == i + 1
+            unmet.append(lanes[at[over & ~met]])
+            at = at[~met & ~over]
+        # lanes at whose end the parses had not met, and those left, are done one by one in the order of the text, since each may change what the next one begins with
+        before = np.full(len(size), -1, dtype=np.int64)
+        before[lanes] = sends
+        left = np.unique(place[np.concatenate([lanes[at], *unmet])]).tolist()  # sorted, so a heap
+        look_up, lane_of = automaton.look_up(), np.argsort(place)
+        done = -1
+        while left:
+            k = heapq.heappop(left)
+            if k == done:
+                continue
+            done, lane = k, int(lane_of[k])
+            now_at, differ, met_at = int(end[before[lane]]), 0, False
+            for c, first in zip(steps[: size[lane], lane].tolist(), begins[: size[lane], lane].tolist(), strict=True):
+                now = look_up(now_at, c)
+                if now < 0:
+                    now_at = ~now
+                    if first:
+                        met_at = True
+                        break
+                    differ += 1
+                else:
+                    now_at = now
+                    differ -= first
+            change[lane] = differ
+            last = int(state[lane]) if met_at else now_at
+            if last != end[lane]:
+                end[lane] = last
+                if follows[lane] >= 0:
+                    heapq.heappush(left, int(place[follows[lane]]))
         return count + change
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:

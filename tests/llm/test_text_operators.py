@@ -42,9 +42,10 @@ def phrases_of(symbols, sample):
     return count
 
 
-@pytest.mark.parametrize("cells", [language_id.CELLS, 0])
-def test_phrases_are_longest_matches(monkeypatch, cells):
+@pytest.mark.parametrize(("cells", "few"), [(language_id.CELLS, language_id.FEW), (language_id.CELLS, 0), (0, 0), (0, 5)])
+def test_phrases_are_longest_matches(monkeypatch, cells, few):
     monkeypatch.setattr(language_id, "CELLS", cells)  # full tables, and hash tables
+    monkeypatch.setattr(language_id, "FEW", few)  # segments joined side by side, and one by one
     r = random.Random(3)
     noise = "".join(r.choice("abcdef ") for _ in range(3000))
     samples = (("a", "the cat sat on the mat " * 3), ("b", "un chat noir et un chien " * 3), ("c", noise), ("d", "ab"))
