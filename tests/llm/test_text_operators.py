@@ -136,6 +136,45 @@ def test_templates(spark):
     assert got[3].labels == "mit" and got[3].base_labels == "" and got[3].score > 0.5
 
 
+def plain_labels(text):
+    """Labels and score by trying every place of every template around its key phrases."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    at = lambda phrase, begin, end: [k for k in range(begin, end) if words[k : k + len(phrase)] == phrase and k + len(phrase) <= end]
+    labels, best = set(), 0.0
+    base = {label for phrase, label in licenses.BASE if at(phrase.split(), 0, len(words))}
+    for t in licenses.TEMPLATES:
+        own, keys = t.words, [p.split() for p in t.key_phrases]
+        tried = set()
+        for p in at(keys[0], 0, len(words)):
+            tried |= set(range(p - len(own) - licenses.SLACK, p + licenses.SLACK + 1))
+        for d in tried:
+            agreeing = sum(0 <= d + j < len(words) and words[d + j] == w for j, w in enumerate(own))
+            begin, end = max(d - licenses.SLACK, 0), min(d + len(own) + licenses.SLACK, len(words))
+            if agreeing >= min(licenses.AGREEING, len(set(own))) and all(at(k, begin, end) for k in keys):
+                labels.add(t.label)
+                best = max(best, agreeing / sum(w in set(words) for w in own))
+    return ",".join(sorted(base | labels)), 1.0 if base else best
+
+
+def test_labels_against_brute_force(spark, documents):
+    """Labels and scores of the query's operator over all documents, and over files of several shifted and broken notices."""
+    r = random.Random(4)
+    texts = [t.text for t in licenses.TEMPLATES]
+    rows = []
+    for k in range(120):
+        words = []
+        for _ in range(r.randint(1, 3)):
+            own = r.choice(texts).split()
+            words += [w for w in own if r.random() > 0.1] if k % 2 else own
+            words += r.choice(["more words here", "", "the license of the software", "Mit License mit"]).split()
+        rows.append((100_000 + k, " ".join(words)))
+    d = documents.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {x.doc_id: plain_labels(x.text) for x in d.collect()}
+    got = {x.doc_id: (x.labels, x.score) for x in licenses.scan(d).collect()}
+    assert len(want) > 1100 and {i: (got[i], want[i]) for i in want if got[i][0] != want[i][0] or abs(got[i][1] - want[i][1]) > 1e-9} == {}
+    assert len({label for x, _ in got.values() for label in x.split(",")}) > 10
+
+
 def test_notices_do_not_push_one_another_out(spark):
     """Every notice is found beside every other one, though together they have far more than a few rare words."""
     texts = {k: t.text for k, t in enumerate(licenses.TEMPLATES)}
