@@ -34,8 +34,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the smallest id is kept. Null text equals empty text. Null ids sort last: they
-    are kept only if the whole group has none. Of rows that repeat both id and text exactly one is kept. An empty
-    table gives an empty result; other columns, whatever their names, are not looked at.
+    are kept only if the whole group has none. Of rows that repeat both id and text exactly one is kept. Texts of any length are read whole, row
+    by row, and only their digests are shuffled. An empty table gives an empty result; other columns, whatever their names, are not looked at.
     """
     keys = staged(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), digest(F.col(text_col)).alias("digest")), "digests")
     marked = keys.join(F.broadcast(staged(heavy_digests(keys, support), "heavy")), "digest", "left")
@@ -54,7 +54,11 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that :func:`annotate` keeps, with all their columns and no others."""
+    """The rows of ``docs`` that :func:`annotate` keeps, with all their columns and no others, whatever their names.
+
+    So null text equals empty text, null ids come last, and of rows that repeat id and text one stays; of texts of one id that differ in white space only, the one
+    of the lesser hash. Surplus copies of heavy digests leave before the shuffle, in which the other rows take their texts along. An empty table gives an empty one.
+    """
     d, keep, size, rank = (fresh(docs, x) for x in ("xd_digest", "xd_keep", "xd_size", "xd_rank"))
     keys = staged(docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest")), "digests")
     heavy = staged(heavy_digests(keys, support), "heavy").select(F.col("digest").alias(d), F.col("w_keep").alias(keep), F.col("w_size").alias(size))
