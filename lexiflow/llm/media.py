@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged
+from .common import bounded_batches, staged, tidy
 from .components import connected_components
 from .shingles import mixed
 
@@ -34,7 +34,7 @@ OFF = 2.5
 #: Rounds of verification, hubs that an image is tested against in a round, and table entries that it must share with one.
 ROUNDS, HUBS, SHARED = 5, 2, 2
 #: Images of :data:`AREA` pixels that are described together.
-BLOCK = 256
+BLOCK = 128
 #: Members of a table entry that are paired at once in the last pass, at most twice as many in a block; and pairs that go on together.
 MEMBERS, PAIRS = 2048, 100_000
 
@@ -210,7 +210,7 @@ def descriptors(media: DataFrame, id_col: str = "media_id", image_col: str = "im
                     names=["media_id", "digest", "n_points", "points", "parts"],
                 )
 
-    return rows.mapInArrow(run, "media_id long, digest string, n_points long, points binary, parts array<long>")
+    return rows.mapInArrow(tidy(run), "media_id long, digest string, n_points long, points binary, parts array<long>")
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
             ok = [agree(_points(a, n), _points(b, m)) >= AGREEING for n, a, m, b in zip(r["src_n"], r["src_points"], r["dst_n"], r["dst_points"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(ok, type=pa.bool_()))
 
-    return both.mapInArrow(run, "src long, dst long").distinct()
+    return both.mapInArrow(tidy(run), "src long, dst long").distinct()
 
 
 def _open(entries: DataFrame, links: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _possible(open_: DataFrame) -> DataFrame:
         both = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["src", "dst"])
 
-    return rows.mapInArrow(run, "src long, dst long").distinct()
+    return rows.mapInArrow(tidy(run), "src long, dst long").distinct()
 
 
 def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
@@ -361,7 +361,7 @@ def render(embeddings: DataFrame, side: int = 64) -> DataFrame:
                     images.append(encode(0.8 * np.clip(grey, 0, 255)[4:-6, 6:-3] + 12))
             yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(images, type=pa.binary())], names=["media_id", "image"])
 
-    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(run, "media_id long, image binary")
+    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(tidy(run), "media_id long, image binary")
 
 
 def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
