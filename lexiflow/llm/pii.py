@@ -463,6 +463,7 @@ _ADDRESS = re.compile(rf"[^\W_]{_GAP}(?:@|(?<![^\W\d_])at(?![^\W\d_])){_GAP}[^\W
 #: Two to four capitalised words, or one behind a title; initials may stand among them.
 _NAME = re.compile(r"[^\W\d_a-z](?:[^\W\d_]|['’-])*\.?(?:\s+[^\W\d_a-z](?:[^\W\d_]|['’-])*\.?){0,3}")
 _BEFORE_NAME = re.compile(r"(?<![^\W\d_])(?:mr|mrs|ms|dr|prof|herr|frau|madame|monsieur|name|named|dear|signed|regards|nom|nombre)(?:[.:,]?\s+|:)(?:is |ist |es )?$", re.IGNORECASE)
+_STREET = re.compile(r"(?:street|avenue|road|lane|drive|stra(?:ß|ss)e|weg|platz|(?<![^\W\d_])(?:st|ave|rd|rue|calle))(?![^\W\d_])", re.IGNORECASE)
 _CAPITAL = re.compile(r"[^\W\d_a-z]")
 
 
@@ -487,7 +488,7 @@ def plausible(kind: str, value: str) -> bool:
     if kind == "name":
         return bool(_NAME.fullmatch(value))
     if kind == "address":
-        return digits > 0 and bool(_CAPITAL.search(value))
+        return 0 < digits <= 6 and bool(_CAPITAL.search(value)) and bool(_STREET.search(value))
     if kind == "ip":
         parts = re.findall(r"[0-9]+", value)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
