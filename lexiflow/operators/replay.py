@@ -1,16 +1,24 @@
 """Review replay: the card's state machine folded over its reviews, undo, previews.
 
 The step from one state to the next is one set of column expressions. It serves single answers and previews as plain columns and
-whole histories inside ``aggregate`` over a card's sorted reviews, so a log is replayed with one shuffle by card.
+whole histories inside ``aggregate`` over a card's sorted reviews, so a log is replayed with one shuffle by card. Cards whose histories are too
+long for that are dealt over ranges of the log, and folded with carried state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import scheduling as S
 from ..functions.scheduling import Parameters
+from ..storage import staged
+from .fold import fold_sorted
 
 CARD = ["learner_id", "deck", "card_id"]
 ORDER = ["ts", "device_id", "seq"]
@@ -18,19 +26,69 @@ STATE = "state int, step int, stability double, difficulty double, reps int, lap
 FIELDS = [part.split()[0] for part in STATE.split(", ")]
 
 
-def live_reviews(events: DataFrame) -> DataFrame:
-    """Reviews that no undo cancels; an undo cancels the nearest earlier live review of its card.
+#: Rows of one card above which its history is no longer taken as one group: it is dealt over ranges, and folded row by row.
+LONG_HISTORY = 50_000
 
-    With D the running count of reviews less undos, a review is cancelled iff D later falls below its own value: brackets that
-    match. Two windows over the same partitioning and opposite orders, one shuffle.
-    """
+
+def _move() -> Column:
+    return F.when(F.col("type") == "review", 1).when(F.col("type") == "undo", -1).otherwise(0)
+
+
+def _depth_by_card(events: DataFrame) -> DataFrame:
+    """``depth`` and ``later`` by two windows over the same partitioning and opposite orders, one shuffle."""
     card = Window.partitionBy(*CARD)
     ahead = card.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     behind = card.orderBy(*[F.desc(c) for c in ORDER]).rowsBetween(Window.unboundedPreceding, -1)
-    moves = events.where(F.col("type").isin("review", "undo"))
-    depth = moves.withColumn("depth", F.sum(F.when(F.col("type") == "review", 1).otherwise(-1)).over(ahead))
-    later = depth.withColumn("later", F.min("depth").over(behind))
-    return later.where("type = 'review' and (later is null or later >= depth)").drop("depth", "later")
+    return events.withColumn("depth", F.sum(_move()).over(ahead)).withColumn("later", F.min("depth").over(behind))
+
+
+def _depth_by_range(events: DataFrame) -> DataFrame:
+    """The same for cards of any length, on two levels.
+
+    The log is dealt into even ranges of (card, time); each range has running sums and minima of its own. A card's pieces, one for each range that it spans, then get
+    the sum of the pieces before and the least depth of those after. Only the first and the last card of a range go on elsewhere, so there are two such
+    pieces for each range at most: a table that small is broadcast.
+    """
+    put = staged(events.repartitionByRange(*CARD, *ORDER).withColumn("_range", F.spark_partition_id()), "ranges")
+    piece = Window.partitionBy("_range", *CARD)
+    ahead = piece.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    behind = piece.orderBy(*[F.desc(c) for c in ORDER]).rowsBetween(Window.unboundedPreceding, -1)
+    local = staged(put.withColumn("_depth", F.sum(_move()).over(ahead)).withColumn("_later", F.min("_depth").over(behind)), "depths")
+    pieces = local.groupBy("_range", *CARD).agg(F.sum(_move()).alias("_sum"), F.min("_depth").alias("_min"))
+    of_card = Window.partitionBy(*CARD)
+    spans = pieces.withColumn("_pieces", F.count(F.lit(1)).over(of_card)).where("_pieces > 1")
+    before = of_card.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    after = of_card.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    spans = spans.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    spans = spans.select("_range", *CARD, "_offset", F.min(F.col("_offset") + F.col("_min")).over(after).alias("_after"))
+    joined = local.join(F.broadcast(spans), ["_range", *CARD], "left")
+    offset = F.coalesce("_offset", F.lit(0))
+    return joined.select(*events.columns, (F.col("_depth") + offset).alias("depth"), F.least(F.col("_later") + offset, "_after").alias("later"))
+
+
+def long_cards(events: DataFrame, long: int = LONG_HISTORY) -> DataFrame | None:
+    """The keys of cards with more than ``long`` rows, counted before the shuffle and written; None if there are none. They are a ``long``-th of the rows at most."""
+    found = staged(events.groupBy(*CARD).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long).select(*CARD), "long-cards")
+    return None if found.isEmpty() else found
+
+
+def with_depth(events: DataFrame, long: int = LONG_HISTORY) -> DataFrame:
+    """``depth``: reviews less undos of the card so far; ``later``: the least depth after the row, null for the last.
+
+    Cards of more than ``long`` rows go by ranges, so that no task has a card as a whole; the others by card.
+    """
+    hot = long_cards(events, long)
+    if hot is None:
+        return _depth_by_card(events)
+    return _depth_by_card(events.join(hot, CARD, "left_anti")).unionByName(_depth_by_range(events.join(hot, CARD, "left_semi")))
+
+
+def live_reviews(events: DataFrame, long: int = LONG_HISTORY) -> DataFrame:
+    """Reviews that no undo cancels; an undo cancels the nearest earlier live review of its card.
+
+    A review is cancelled iff the depth later falls below its own: brackets that match.
+    """
+    return _cancelled(with_depth(events.where(F.col("type").isin("review", "undo")), long))
 
 
 def with_elapsed(events: DataFrame) -> DataFrame:
@@ -39,6 +97,10 @@ def with_elapsed(events: DataFrame) -> DataFrame:
     return events.withColumn("elapsed", F.coalesce(F.greatest(F.lit(0), F.col("ts") - before), F.lit(0)))
 
 
+def _cancelled(found: DataFrame) -> DataFrame:
+    return found.where("type = 'review' and (later is null or later >= depth)").drop("depth", "later")
+
+
 def _let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -108,13 +170,23 @@ def answer(card: Column, rating: Column, ts: Column, p: Parameters, key: Column
     return F.when(state == S.SUSPENDED, held).otherwise(after)
 
 
-def replay(events: DataFrame, p: Parameters = Parameters(), start: DataFrame | None = None) -> DataFrame:
+def replay(events: DataFrame, p: Parameters = Parameters(), start: DataFrame | None = None, long: int = LONG_HISTORY) -> DataFrame:
     """(learner_id, deck, card_id, state fields): each card after all its live reviews.
 
-    ``start`` holds card states to begin from. The reviews of one card are bounded by what one person can answer, so
-    they fit a row; learners and cards spread over the shuffle.
+    ``start`` holds card states to begin from. The reviews of a card with up to ``long`` rows in the log are one row, folded by expressions. A longer one is
+    sorted with its neighbours and folded in order with its state carried along, so that a task holds one state and not a history.
     """
-    history = live_reviews(events).groupBy(*CARD).agg(F.array_sort(F.collect_list(F.struct(*ORDER, "rating"))).alias("history"))
+    moves = events.where(F.col("type").isin("review", "undo"))
+    hot = long_cards(moves, long)
+    if hot is None:
+        return _replay_rows(_cancelled(_depth_by_card(moves)), p, start)
+    some, rest = (None, None) if start is None else (start.join(hot, CARD, "left_semi"), start.join(hot, CARD, "left_anti"))
+    short = _replay_rows(_cancelled(_depth_by_card(moves.join(hot, CARD, "left_anti"))), p, rest)
+    return short.unionByName(_replay_sorted(_cancelled(_depth_by_range(moves.join(hot, CARD, "left_semi"))), p, some))
+
+
+def _replay_rows(live: DataFrame, p: Parameters, start: DataFrame | None) -> DataFrame:
+    history = live.groupBy(*CARD).agg(F.array_sort(F.collect_list(F.struct(*ORDER, "rating"))).alias("history"))
     key = F.xxhash64(*CARD)
     if start is None:
         begun = history.withColumn("begin", new_card())
@@ -123,6 +195,29 @@ def replay(events: DataFrame, p: Parameters = Parameters(), start: DataFrame | N
     return fold(begun.withColumn("card_key", key), p)
 
 
+def _replay_sorted(live: DataFrame, p: Parameters, start: DataFrame | None) -> DataFrame:
+    """Cards dealt by key, sorted in their tasks, which spills where it must, and folded row by row; a state to begin from is the first row of its card."""
+    none = [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in STATE.split(", "))]
+    rows = live.select(*CARD, F.lit(1).alias("_k"), *ORDER, "rating", *none)
+    if start is not None:
+        known = start.join(live.select(*CARD).distinct(), CARD, "left_semi")
+        rows = rows.unionByName(known.select(*CARD, F.lit(0).alias("_k"), *FIELDS), allowMissingColumns=True)
+    ordered = rows.repartition(*CARD).sortWithinPartitions(*CARD, "_k", *ORDER).select(*CARD, F.xxhash64(*CARD).alias("card_key"), F.col("rating").cast("int"), "ts", *FIELDS)
+    schema = T.StructType([live.schema[c] for c in CARD] + list(T.StructType.fromDDL(STATE).fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, kinds = [], to_arrow_schema(schema)
+        for row in fold_sorted(batches, len(CARD), p):
+            found.append(row)
+            if len(found) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), kinds, strict=True)], schema=kinds)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), kinds, strict=True)], schema=kinds)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def fold(begun: DataFrame, p: Parameters) -> DataFrame:
     """(card key, state fields): ``begin`` after each entry (ts, rating) of ``history``; ``card_key`` seeds the fuzz."""
     seed = lambda acc: F.concat_ws(":", F.col("card_key").cast("string"), acc["total_answers"].cast("string"))

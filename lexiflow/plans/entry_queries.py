@@ -299,25 +299,55 @@ def x2(spark, sf):
     return E.read_winners(spark, at, W.review_events(spark, sf).schema).select(*R.CARD, "device_id", "seq")
 
 
-@query("x3_stream_cards", _replay_sql() + f" SELECT {SHOWN} FROM final")
-def x3(spark, sf):
-    """The state of every card after the last batch: batches are numbered and the last row of each card is kept."""
-    at = fresh_path(spark, "cards")
-
-    def put(batch, batch_id):
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(at)
-
+def _card_stream(spark, source, schema, check, put, **options):
+    """Run the card states over a folder of events until all is read; the state store is set for this stream alone."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        _run(spark, sf, lambda s: E.streaming_cards(s).writeStream.outputMode("update").foreachBatch(put))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(source)
+        E.streaming_cards(stream, **options).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(name, before)
-    last = spark.read.parquet(at).groupBy(*R.CARD).agg(F.max_by(F.struct(*R.FIELDS), "batch").alias("c")).select(*R.CARD, "c.*")
+
+
+def _last_states(spark, at):
+    last = spark.read.parquet(at).groupBy(*R.CARD).agg(F.max_by(F.struct(*R.FIELDS, "lost"), "batch").alias("c")).select(*R.CARD, "c.*")
     return _rounded(last.where("total_answers > 0")).drop("prev_state")
 
 
+def _put(at):
+    """Batches are numbered and written once each; the last row of a card holds."""
+
+    def put(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{at}/part={batch_id:06d}")
+
+    return put
+
+
+@query("x3_stream_cards", _replay_sql() + f" SELECT {SHOWN} FROM final")
+def x3(spark, sf):
+    """The state of every card after the last batch, for events that come in no order within their whole time."""
+    at = fresh_path(spark, "cards")
+    source, schema, check = _source(spark, sf)
+    _card_stream(spark, source, schema, check, _put(at), lateness="90 days")
+    return _last_states(spark, at).drop("lost")
+
+
+@query("x3_stream_settled", _replay_sql() + f" SELECT {SHOWN}, FALSE AS lost FROM final")
+def x3_settled(spark, sf):
+    """The same for events that come day by day, each day out of order: what the watermark has passed is settled, and its events leave the state."""
+    at = fresh_path(spark, "settled")
+    source, check = f"{at}/in", f"{at}/check"
+    events = W.review_events(spark, sf)
+    days = events.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(3):
+        third = F.floor((F.col("ts") - days[0]) * 3 / (days[1] - days[0] + 1)) == k
+        events.where(third).repartition(2, "seq").write.mode("append").parquet(source)
+        _card_stream(spark, source, events.schema, check, _put(f"{at}/out"), lateness="12 days")
+    return _last_states(spark, f"{at}/out")
+
+
 @query("x4_daily_activity", W.sql(W.REVIEW_EVENTS) + " SELECT learner_id, deck, type, floor((ts - 14400) / 86400)::BIGINT AS day, count(*) AS n FROM review_events GROUP BY ALL")
 def x4(spark, sf):
     """The streaming aggregate over the table as a bounded stream; the same function serves ``readStream``."""

@@ -109,6 +109,16 @@ def w2(spark, sf):
     return R.live_reviews(W.review_events(spark, sf)).select(*R.CARD, "seq", "ts", "rating")
 
 
+#: Rows of a card above which it counts as long in the queries with a hot card.
+LONG = 200
+
+
+@query("w2_hot_card", W.sql(W.HOT_EVENTS) + ", " + LIVE + f" SELECT {KEY}, seq, ts, rating FROM live")
+def w2_hot(spark, sf):
+    """A third of all events on one card: its brackets are matched over ranges."""
+    return R.live_reviews(W.hot_events(spark, sf), LONG).select(*R.CARD, "seq", "ts", "rating")
+
+
 @query("w3_event_order", EV + f" SELECT {KEY}, seq, row_number() OVER (PARTITION BY {KEY} ORDER BY ts, device_id, seq)::INTEGER AS k FROM review_events")
 def w3(spark, sf):
     from pyspark.sql import Window
@@ -148,8 +158,8 @@ def _after(leech: int = 8) -> str:
       CASE WHEN state = 4 THEN due_ts WHEN leaves THEN ({day}) * 86400 + 14400 ELSE ts + wait END AS due_ts, CASE WHEN state = 4 THEN due_day ELSE {day} END AS due_day, ts AS last_review, total_answers + 1 AS total_answers"""
 
 
-def _replay_sql(leech: int = 8) -> str:
-    return W.sql(W.REVIEW_EVENTS, LIVE, recursive=True) + f""", o AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY ts, device_id, seq) AS rn FROM live),
+def _replay_sql(leech: int = 8, events: str = W.REVIEW_EVENTS) -> str:
+    return W.sql(events, LIVE, recursive=True) + f""", o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY ts, device_id, seq) AS rn FROM live),
     rep AS (
       SELECT DISTINCT learner_id, deck, card_id, 0::BIGINT AS rn, 0 AS state, 0 AS step, 0::DOUBLE AS s, 1::DOUBLE AS d, 0 AS reps, 0 AS lapses, 0 AS flags, 0::BIGINT AS due_ts, 0::BIGINT AS due_day, 0::BIGINT AS last_review, 0::BIGINT AS total_answers FROM o
       UNION ALL
@@ -169,6 +179,12 @@ def r1(spark, sf):
     return _rounded(R.replay(W.review_events(spark, sf))).drop("prev_state")
 
 
+@query("r1_hot_card", _replay_sql(events=W.HOT_EVENTS) + f" SELECT {SHOWN} FROM final")
+def r1_hot(spark, sf):
+    """A third of all events on one card: it is folded in order with its state carried along."""
+    return _rounded(R.replay(W.hot_events(spark, sf), long=LONG)).drop("prev_state")
+
+
 @query("r4_leech_flag", _replay_sql(3) + f" SELECT {KEY}, lapses, flags & 1 = 1 AS leech FROM final")
 def r4(spark, sf):
     done = R.replay(W.review_events(spark, sf), Parameters(leech_threshold=3))

@@ -160,6 +160,18 @@ REVIEW_EVENTS = """review_events AS (
     CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 WHEN 'error' THEN 1 END AS rating FROM events)"""
 
 
+def hot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review log with a third of all events on one card."""
+    hot = F.col("seq") % 3 == 0
+    on = lambda c, v: F.when(hot, F.lit(v)).otherwise(F.col(c)).alias(c)
+    return review_events(spark, sf_dir).select(on("learner_id", 0).cast("long").alias("learner_id"), on("deck", "recog"), on("card_id", 0).cast("long").alias("card_id"), "device_id", "seq", "ts", "type", "rating")
+
+
+#: The same, in place of the review log.
+HOT_EVENTS = REVIEW_EVENTS.replace("review_events AS", "all_events AS") + """,
+review_events AS (SELECT * REPLACE (CASE WHEN seq % 3 = 0 THEN 0 ELSE learner_id END AS learner_id, CASE WHEN seq % 3 = 0 THEN 'recog' ELSE deck END AS deck, CASE WHEN seq % 3 = 0 THEN 0 ELSE card_id END AS card_id) FROM all_events)"""
+
+
 def sql(*views: str, recursive: bool = False) -> str:
     """``WITH`` and the views, to be followed by more common tables or the query."""
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(views)

@@ -11,7 +11,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.scheduling import Parameters
 from ..operators import sync
-from ..operators.replay import CARD, ORDER, fold, new_card
+from ..operators.fold import UNDO_DEPTH, Card, Ledger
+from ..operators.replay import CARD, FIELDS, ORDER, STATE
 
 #: How late an event may come before deduplication and activity no longer count it.
 LATENESS = "7 days"
@@ -101,25 +102,76 @@ def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
     return out
 
 
-class LiveReviews(StatefulProcessor):
-    """Per card, the events so far; every new one gives the card's live reviews again.
+SHOWN = [*CARD, *FIELDS, "lost", "waiting", "held"]
 
-    Events may come in any order: the list is sorted by (ts, device, seq) before undo brackets are matched, so an undo that
-    comes before its review still cancels it. What is emitted is the card's live history.
+
+class CardState(StatefulProcessor):
+    """Per card: its state as of the watermark, a bounded number of states before it for undo, and the events behind the watermark's back.
+
+    An event waits in ``recent`` until the watermark has passed it. Then no earlier one can come any more, and it is folded into ``settled`` in its
+    order by (ts, device, seq); so a late event, or an undo that comes before its review, counts as if it had come in time. A timer at the next event's time settles cards
+    that get no more rows. An undo that reaches deeper than ``depth`` settled answers marks the card ``lost``, for repair from the log.
     """
 
+    def __init__(self, p: Parameters, depth: int = UNDO_DEPTH):
+        self.p, self.depth = p, depth
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getListState("events", "ts long, device_id decimal(20,0), seq long, type string, rating int")
+        self.handle = handle
+        self.settled = handle.getValueState("settled", f"{STATE}, deeper long, lost boolean, card_key long")
+        self.before = handle.getListState("before", STATE)
+        self.recent = handle.getListState("recent", "ts long, device_id decimal(20,0), seq long, type string, rating int")
+
+    def _read(self) -> tuple[Ledger, int, dict]:
+        ledger, seed = Ledger(depth=self.depth), 0
+        if self.settled.exists():
+            *card, deeper, lost, seed = self.settled.get()
+            ledger = Ledger(Card(*card), (Card(*c) for c in self.before.get()), deeper, lost, self.depth)
+        waiting = {(e[0], e[1], e[2]): tuple(e) for e in self.recent.get()} if self.recent.exists() else {}
+        return ledger, seed, waiting
+
+    def _apply(self, ledger: Ledger, events: list[tuple], seed: int) -> None:
+        for ts, _, _, kind, rating in events:
+            if kind == "review":
+                ledger.answer(rating, ts, self.p, seed)
+            elif kind == "undo":
+                ledger.undo()
+
+    def _settle(self, ledger: Ledger, waiting: dict, seed: int, watermark: int) -> list[tuple]:
+        """Fold what the watermark has passed; returns what waits on, in order."""
+        rows = [waiting[k] for k in sorted(waiting)]
+        done = [e for e in rows if e[0] * 1000 <= watermark]
+        left = rows[len(done) :]
+        if done:
+            self._apply(ledger, done, seed)
+            self.settled.update((*ledger.card, ledger.deeper, ledger.lost, seed))
+            if ledger.before:
+                self.before.put([tuple(c) for c in ledger.before])
+            elif self.before.exists():
+                self.before.clear()
+        if left:
+            self.recent.put(left)
+            if left[-1][0] * 1000 > watermark:
+                self.handle.registerTimer(left[-1][0] * 1000)
+        elif self.recent.exists():
+            self.recent.clear()
+        return left
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = {(r[0], r[1], r[2]): tuple(r) for r in self.events.get()} if self.events.exists() else {}
+        ledger, seed, waiting = self._read()
         for part in rows:
-            for r in part.itertuples(index=False):
-                rating = None if pd.isna(r.rating) else int(r.rating)
-                seen[int(r.ts), r.device_id, int(r.seq)] = (int(r.ts), r.device_id, int(r.seq), r.type, rating)
-        self.events.put([seen[k] for k in sorted(seen)])
-        live = live_of([seen[k] for k in sorted(seen)])
-        yield pd.DataFrame({"learner_id": [key[0]], "deck": [key[1]], "card_id": [key[2]], "history": [[{"ts": e[0], "rating": e[4]} for e in live]]})
+            columns = [part[c].tolist() for c in ("ts", "device_id", "seq", "type", "rating", "card_key")]
+            for ts, device, seq, kind, rating, seed in zip(*columns, strict=True):  # noqa: B007
+                waiting[ts, device, seq] = (int(ts), device, int(seq), kind, None if pd.isna(rating) else int(rating))
+        left = self._settle(ledger, waiting, int(seed), timerValues.getCurrentWatermarkInMs())
+        now = ledger.copy()
+        self._apply(now, left, int(seed))
+        yield pd.DataFrame([(*key, *now.card, now.lost, len(left), len(ledger.before))], columns=SHOWN, dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ledger, seed, waiting = self._read()
+        self._settle(ledger, waiting, seed, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame([], columns=SHOWN, dtype=object)  # the state that was shown last is still right
 
     def close(self) -> None:
         pass
@@ -136,16 +188,15 @@ def live_of(events: list[tuple]) -> list[tuple]:
     return live
 
 
-def streaming_cards(events: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """(learner_id, deck, card_id, state fields), updated as events come.
+def streaming_cards(events: DataFrame, p: Parameters = Parameters(), lateness: str = LATENESS, depth: int = UNDO_DEPTH) -> DataFrame:
+    """(learner_id, deck, card_id, state fields, lost, waiting, held), a row for each card that a batch has events of.
 
-    The stateful step keeps each card's events and gives its live history; the fold over it is the one of the batch replay. A
-    late event so changes the state as if it had come in time.
+    Events may come as late as ``lateness``, in any order and more than once; later ones are dropped and counted by the stream's progress, for batch repair. The state of a card
+    is bounded by its events within that time, which ``waiting`` counts, and ``depth`` states for undo, of which ``held`` are there. ``lost`` tells that an undo reached deeper.
     """
-    live = events.select(*CARD, *ORDER, "type", "rating").groupBy(*CARD).transformWithStateInPandas(
-        LiveReviews(), outputStructType="learner_id long, deck string, card_id long, history array<struct<ts:long,rating:int>>", outputMode="Update", timeMode="None"
-    )
-    return fold(live.withColumn("begin", new_card()).withColumn("card_key", F.xxhash64(*CARD)), p)
+    rows = with_time(events).withWatermark("event_time", lateness).select(*CARD, *ORDER, "type", "rating", F.xxhash64(*CARD).alias("card_key"), "event_time")
+    shown = f"learner_id long, deck string, card_id long, {STATE}, lost boolean, waiting int, held int"
+    return rows.groupBy(*CARD).transformWithStateInPandas(CardState(p, depth), outputStructType=shown, outputMode="Update", timeMode="EventTime")
 
 
 def late_events(events: DataFrame, horizon: int) -> DataFrame:

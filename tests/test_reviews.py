@@ -130,3 +130,60 @@ def test_interval_text(spark):
     values = [0, 1, 59, 60, 3600, 7200, 86_400, 7 * 86_400, 30 * 86_400, 400 * 86_400, 800 * 86_400]
     got = spark.createDataFrame([(v,) for v in values], "v long").select(S.interval_text(F.col("v")).alias("t")).collect()
     assert [r.t for r in got] == ["0 segundos", "1 segundo", "59 segundos", "1 minuto", "1 hora", "2 horas", "1 día", "1 semana", "1 mes", "1 año", "2 años"]
+
+
+def _random_log(spark, n=1500, seed=3):
+    from decimal import Decimal
+
+    r = random.Random(seed)
+    rows = [(r.randint(0, 1), "d", 0 if r.random() < 0.4 else r.randint(1, 30), Decimal(r.randint(0, 2)), i, T0 + r.randint(0, 9_000_000), r.choice(["review"] * 3 + ["undo"]), r.randint(1, 4)) for i in range(n)]
+    return spark.createDataFrame(rows, EVENTS)
+
+
+@pytest.mark.parametrize("long", [0, 40])
+def test_brackets_by_range_and_by_card_agree(spark, long):
+    e = _random_log(spark)
+    shown = lambda d: sorted((r.seq, r.depth, r.later) for r in d.select("seq", "depth", F.coalesce("later", F.lit(-99)).alias("later")).collect())
+    assert shown(R.with_depth(e, long)) == shown(R.with_depth(e))
+    assert R.live_reviews(e.where("false"), long).count() == 0
+
+
+def test_pieces_of_a_card_lie_in_several_ranges(spark):
+    """One card in many ranges of a few rows each: sums and minima are carried from piece to piece."""
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        e = _random_log(spark, 600, seed=8).withColumn("card_id", F.when(F.col("card_id") > 3, 0).otherwise(F.col("card_id")).cast("long"))
+        want = {r.seq for r in R.live_reviews(e).collect()}
+        assert {r.seq for r in R.live_reviews(e, 0).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+
+
+@pytest.mark.parametrize("p", [Parameters(), Parameters(fuzz=True, leech_threshold=2), Parameters(learning_steps=(), relearning_steps=()), Parameters(learning_steps=(60, 300, 900), relearning_steps=(60, 600))])
+def test_long_histories_fold_like_short_ones(spark, p):
+    e = _random_log(spark, 800)
+    start = spark.createDataFrame([(0, "d", 0, 2, 1, 30.5, 4.4, 3, 1, 9, 5, 5, T0 - 90_000, 7, 1), (1, "d", 3, 4, 1, 30.5, 4.4, 3, 1, 8, 5, 5, T0 - 90_000, 7, 1), (9, "d", 3, 4, 1, 30.5, 4.4, 3, 1, 8, 5, 5, 0, 7, 1)], "learner_id long, deck string, card_id long, " + R.STATE)
+    shown = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect())
+    for begun in (None, start):
+        assert shown(R.replay(e, p, begun, long=0)) == shown(R.replay(e, p, begun)) == shown(R.replay(e, p, begun, long=40))
+
+
+def test_undo_is_bounded_and_says_so():
+    from lexiflow.operators.fold import Card, Ledger, answered
+
+    p, led, states = Parameters(), Ledger(depth=3), [Card()]
+    for k in range(6):
+        led.answer(3, T0 + k * 90_000, p)
+        states.append(answered(states[-1], 3, T0 + k * 90_000, p))
+    assert led.card == states[-1] and len(led.before) == 3 and led.deeper == 3
+    for k in (5, 4, 3):
+        led.undo()
+        assert led.card == states[k] and not led.lost
+    led.undo()
+    assert led.lost and led.card == states[3]
+    none = Ledger()
+    none.undo()
+    assert none.card == Card() and not none.lost

@@ -1,13 +1,18 @@
 """Sinks fed batch by batch: late and repeated batches, buckets, versions; decks written in parts; rows numbered in ranges."""
 
 import os
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from lexiflow.operators import lexicon, sync
+from lexiflow.operators import replay as R
 from lexiflow.sources import tables
 from lexiflow.streaming import events as E
 
+T0 = 1_700_000_000
+
+
 def rows(spark, found):
     return spark.createDataFrame([(c % 3, "recog", c, 1, s, t, kind, 3) for c, s, t, kind in found], "learner_id long, deck string, card_id long, device_id int, seq long, ts long, type string, rating int").select(
         "learner_id", "deck", "card_id", F.col("device_id").cast("decimal(20,0)").alias("device_id"), "seq", "ts", "type", "rating"
@@ -64,3 +69,49 @@ def test_numbers_follow_the_order(spark):
     got = [(r["key"], r["n"]) for r in lexicon.numbered(d, ["key"], "n").orderBy("key").collect()]
     assert got == [(k, i) for i, k in enumerate(sorted(i * 7919 % 100_003 for i in range(1000)))]
     assert lexicon.numbered(d.where("false"), ["key"], "n").count() == 0
+
+
+def card_rows(spark, found):
+    schema = "learner_id long, deck string, card_id long, device_id decimal(20,0), seq long, ts long, type string, rating int"
+    return spark.createDataFrame([(1, "recog", c, Decimal(1), s, T0 + t, "undo" if r == 0 else "review", r or None) for c, s, t, r in found], schema)
+
+
+def last_rows(spark, path, batches, **options):
+    """Feed batches to the card stream one by one; (card, last row shown) after all of them."""
+    shown = {}
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def put(batch, batch_id):
+        for r in batch.collect():
+            shown[r.card_id] = r
+
+    try:
+        for found in batches:
+            rows = card_rows(spark, found)
+            rows.coalesce(1).write.mode("append").parquet(f"{path}/in")
+            stream = E.streaming_cards(E.event_stream(spark, f"{path}/in", rows.schema), **options)
+            stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(name)
+    return shown
+
+
+def test_card_state_is_bounded_and_late_events_count(spark, tmp_path):
+    hour = 3600
+    first = [(1, 0, 0, 3), (1, 1, 600, 3), (1, 3, 2 * hour, 4), (2, 4, 0, 3)]
+    late = [(1, 2, hour, 1), (1, 2, hour, 1), (1, 6, 3 * hour, 0)]  # one in between, twice, and an undo
+    later = [(1, 10 + k, (k + 2) * 86_400, 3) for k in range(12)]
+    dropped = [(1, 50, 30, 1)]  # far behind the watermark
+    shown = last_rows(spark, str(tmp_path), [first, late, later, dropped, [(3, 60, 40 * 86_400, 3)], [(1, 61, 41 * 86_400, 0)]], lateness="6 hours", depth=4)
+    want = {r.card_id: r for r in R.replay(card_rows(spark, first + late[1:] + later + [(3, 60, 40 * 86_400, 3), (1, 61, 41 * 86_400, 0)])).collect()}
+    for card in want:
+        assert [round(shown[card][f], 9) for f in R.FIELDS] == [round(want[card][f], 9) for f in R.FIELDS]
+    assert shown[1].held <= 4 and shown[1].waiting <= 1 and not shown[1].lost
+
+
+def test_an_undo_too_deep_is_told(spark, tmp_path):
+    answers = [(1, k, k * 86_400, 3) for k in range(6)]
+    undos = [(1, 20 + k, (10 + k) * 86_400, 0) for k in range(4)]
+    shown = last_rows(spark, str(tmp_path), [answers, [(2, 9, 8 * 86_400, 3)], undos], lateness="1 hour", depth=3)
+    assert shown[1].lost and shown[1].held <= 3
