@@ -305,6 +305,23 @@ def r14(spark, sf):
     return _rebuilt(T.read_versioned(spark, at))
 
 
+@query("r14_log_retirement", IM + ", " + LIVE + ", " + WIN + " " + REBUILT)
+def r14_retired(spark, sf):
+    """Half the log is compacted and retired, twice; with the rest it rebuilds what the whole log does."""
+    from ..sources import log as G
+    from ..storage import fresh_path
+
+    at = fresh_path(spark, "log")
+    events = W.image_events(spark, sf)
+    most = events.agg(F.max("seq") + 1).first()[0]
+    for k in range(4):
+        G.append_log(events.where(F.floor(F.col("seq") * 4 / most) == k), at, size=max(1, most // 6))
+        if k in (1, 2):
+            G.compact_log(spark, at)
+            G.retire_log(spark, at)
+    return _rebuilt(Y.rebuild(G.read_log(spark, at)))
+
+
 @query("j12_snapshot_upsert", W.sql(W.REVIEW_EVENTS, W.CARDS) + f" SELECT {KEY}, CASE WHEN lapses >= 10 THEN 2 ELSE state END AS state, CASE WHEN lapses >= 10 THEN 99 ELSE reps END AS reps FROM cards UNION ALL SELECT learner_id + 100, deck, card_id, 2, 99 FROM cards WHERE lapses >= 10")
 def j12(spark, sf):
     cards = W.cards(spark, sf)
@@ -348,6 +365,15 @@ def k13(spark, sf):
     return Y.delta(e, marks).select("device_id", "seq", "type")
 
 
+@query("k13_delta_capped", IM + """, m AS (SELECT device_id, max(seq) // 2 AS mark FROM image_events WHERE device_id > 0 GROUP BY device_id), a AS (SELECT * FROM image_events LEFT JOIN m USING (device_id) WHERE seq > coalesce(mark, -1))
+  SELECT device_id, seq, type FROM a QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY seq) <= 100""")
+def k13_capped(spark, sf):
+    """A hundred events of each device at most, the first ones; every task keeps no more than that before the shuffle."""
+    e = W.image_events(spark, sf)
+    marks = Y.version_vector(e.where("device_id > 0")).withColumn("seq", F.floor(F.col("seq") / 2))
+    return Y.delta(e, marks, 100).select("device_id", "seq", "type")
+
+
 @query("r11_event_recording", CA + f" SELECT {KEY}, row_number() OVER (ORDER BY {KEY}) AS seq, 'suspend' AS type, 4 AS state, flags FROM cards WHERE lapses >= 10 AND state <> 4")
 def r11(spark, sf):
     cards = W.cards(spark, sf)

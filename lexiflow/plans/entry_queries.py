@@ -8,6 +8,7 @@ from ..operators import lexicon as L
 from ..operators import replay as R
 from ..operators import search as Q
 from ..operators import stats as A
+from ..sources import history as H
 from ..sources import tables as T
 from ..sources.xml import read_lexicon
 from ..storage import fresh_path
@@ -195,6 +196,33 @@ def s8(spark, sf):
     return T.sound_events(rows)[1].select("seq", F.col("was").alias("type"), lacks.alias("lacks"))
 
 
+def _torn(rows):
+    """Some events without device, without time, or of an unknown type."""
+    seq = F.col("seq")
+    torn = rows.withColumn("device_id", F.when(seq % 13 != 0, F.col("device_id"))).withColumn("ts", F.when(seq % 17 != 0, F.col("ts")))
+    return torn.withColumn("type", F.when(seq % 19 == 0, "torn").otherwise(F.col("type")))
+
+
+@query("s8_sorting_sink", IM + " SELECT seq, CASE WHEN seq % 13 = 0 THEN 'device' WHEN seq % 17 = 0 THEN 'time' WHEN seq % 19 = 0 THEN 'type' END AS lacks FROM image_events")
+def s8_sink(spark, sf):
+    """A stream into both tables, with its last batches given once more."""
+    at = fresh_path(spark, "sorted")
+    sink, given = E.sorting_sink(at), []
+
+    def put(batch, batch_id):
+        sink(_torn(batch), batch_id)
+        given.append(batch_id)
+        if batch_id:
+            sink(_torn(batch), batch_id)
+
+    source = f"{at}/in"
+    events = W.image_events(spark, sf).repartition(4, "seq")
+    events.write.parquet(source)
+    spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source).writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+    sound = spark.read.schema("seq long").parquet(f"{at}/events").select("seq", F.lit(None).cast("string").alias("lacks"))
+    return sound.unionByName(spark.read.schema("seq long, lacks string").parquet(f"{at}/quarantine").select("seq", "lacks"))
+
+
 CA = W.sql(W.REVIEW_EVENTS, W.CARDS)
 
 
@@ -223,6 +251,42 @@ def s11(spark, sf):
     return T.history_chunks(W.review_events(spark, sf))
 
 
+_CHUNKED = "(seq * 3 // (SELECT max(seq) + 1 FROM review_events))"
+
+
+@query("s11_history_appends", W.sql(W.REVIEW_EVENTS) + f""" SELECT learner_id, chunk::INTEGER AS chunk, count(*) AS n, sum(place)::BIGINT AS places, min(seq) AS first_seq, max(seq) AS last_seq FROM (
+  SELECT learner_id, seq, k // 1000 AS chunk, k % 1000 AS place FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY {_CHUNKED}, ts, device_id, seq) - 1 AS k FROM review_events)) GROUP BY ALL""")
+def s11_appends(spark, sf):
+    """Three appends, the second one twice: each goes on in the chunk that the one before left open."""
+    at = fresh_path(spark, "history")
+    events = W.review_events(spark, sf)
+    most = events.agg(F.max("seq") + 1).first()[0]
+    for k in (0, 1, 1, 2):
+        H.append_chunks(events.where(F.floor(F.col("seq") * 3 / most) == k), at, k)
+    return H.read_chunks(spark, at).groupBy("learner_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("place").alias("places"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+_KINDS = "CASE WHEN type = 'review' AND seq % 13 = 0 THEN 'suspend' WHEN type = 'review' AND seq % 17 = 0 THEN 'add' ELSE type END"
+_OWN = "{'ts': ts, 'device_id': device_id, 'seq': seq, 'type': type, 'state': state, 'stability': stability, 'due_ts': due_ts}"
+
+
+@query(
+    "s12_history_images",
+    IM + f""", e AS (SELECT * REPLACE ({_KINDS} AS type) FROM image_events),
+    d AS (SELECT *, {_OWN} AS own, sum(CASE type WHEN 'review' THEN 1 WHEN 'undo' THEN -1 ELSE 0 END) OVER (PARTITION BY learner_id, deck, card_id ORDER BY ts, device_id, seq) AS depth FROM e),
+    t AS (SELECT *, last_value(CASE WHEN type = 'review' THEN own END IGNORE NULLS) OVER (PARTITION BY learner_id, deck, card_id, depth ORDER BY ts, device_id, seq ROWS UNBOUNDED PRECEDING) AS top,
+      last_value(CASE WHEN type NOT IN ('review', 'undo') THEN own END IGNORE NULLS) OVER (PARTITION BY learner_id, deck, card_id ORDER BY ts, device_id, seq ROWS UNBOUNDED PRECEDING) AS other FROM d),
+    n AS (SELECT *, CASE WHEN other IS NULL THEN top WHEN top IS NULL OR (other.ts, other.device_id, other.seq) > (top.ts, top.device_id, top.seq) THEN other ELSE top END AS now FROM t),
+    w AS (SELECT *, lag(now) OVER (PARTITION BY learner_id, deck, card_id ORDER BY ts, device_id, seq) AS was FROM n),
+    i AS (SELECT *, CASE WHEN type IN ('remove', 'suspend') THEN was WHEN type = 'undo' THEN now ELSE own END AS image FROM w)
+    SELECT seq, CASE type WHEN 'review' THEN 'answer' WHEN 'update' THEN 'unsuspend' ELSE type END AS kind, rating, CASE WHEN image.type <> 'remove' THEN image.state END AS state,
+      CASE WHEN image.type <> 'remove' THEN image.stability END AS stability, CASE WHEN image.type <> 'remove' THEN image.due_ts END AS due_ts FROM i""",
+)
+def s12_images(spark, sf):
+    kind = F.when((F.col("type") == "review") & (F.col("seq") % 13 == 0), "suspend").when((F.col("type") == "review") & (F.col("seq") % 17 == 0), "add").otherwise(F.col("type"))
+    return H.history_images(W.image_events(spark, sf).withColumn("type", kind)).select("seq", "kind", "rating", "state", "stability", "due_ts")
+
+
 @query("s12_history_kinds", W.sql(W.REVIEW_EVENTS) + " SELECT learner_id, deck, card_id, device_id, seq, ts, CASE WHEN type <> 'review' THEN type WHEN row_number() OVER w = 1 THEN 'add' ELSE 'answer' END AS kind, lag(rating) OVER w AS before_rating, rating AS after_rating FROM review_events WINDOW w AS (PARTITION BY learner_id, deck, card_id ORDER BY ts, device_id, seq)")
 def s12(spark, sf):
     return T.history_events(W.review_events(spark, sf))
@@ -395,6 +459,20 @@ def x6_stream(spark, sf):
     return n.join(kept, "learner_id", "left").select("learner_id", "n", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("n_late"))
 
 
+@query("x6_stream_dropped", W.sql(W.REVIEW_EVENTS) + ", mark AS (SELECT max(ts) - 7 * 86400 AS mark FROM review_events WHERE seq % 2 = 0) SELECT count(*) FILTER (seq % 2 = 1 AND ts <= mark) AS n_dropped, count(*) AS n FROM review_events, mark")
+def x6_dropped(spark, sf):
+    """The same count by the stream's own reports, without another look at the events."""
+    at = fresh_path(spark, "dropped")
+    events, dropped = W.review_events(spark, sf), 0
+    for half in (0, 1):
+        events.where(F.col("seq") % 2 == half).write.mode("append").parquet(f"{at}/in")
+        stream = E.deduplicated(E.event_stream(spark, f"{at}/in", events.schema)).select("device_id", "seq")
+        running = stream.writeStream.format("noop").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+        running.awaitTermination()
+        dropped += E.dropped_rows(running.recentProgress)
+    return events.agg(F.lit(dropped).cast("long").alias("n_dropped"), F.count(F.lit(1)).alias("n"))
+
+
 @query("x6_late_events", W.sql(W.REVIEW_EVENTS) + f" SELECT learner_id, count(*) FILTER (ts <= {W.NOW - 7 * 86400}) AS n_late FROM review_events GROUP BY learner_id")
 def x6(spark, sf):
     return E.late_events(W.review_events(spark, sf), W.NOW - 7 * 86400)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.lexicon import numbered
@@ -84,10 +84,20 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return read_versioned(spark, path)
 
 
+#: Kinds of events.
+TYPES = ("add", "review", "remove", "suspend", "update", "undo")
+
+
+def lacking(events: DataFrame) -> Column:
+    """What a torn record lacks first: a device, a sequence number, a time, a card or a known type; null for a sound one."""
+    needed = (("device", "device_id"), ("seq", "seq"), ("time", "ts"), ("card", "card_id"))
+    known = F.coalesce(events["type"].isin(*TYPES), F.lit(False))
+    return F.coalesce(*[F.when(events[c].isNull(), F.lit(name)) for name, c in needed], F.when(~known, F.lit("type")))
+
+
 def sound_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events that can be used, quarantine): a torn record lacks a device, a sequence number, a time, a card or a known type."""
-    ok = F.coalesce(F.col("device_id").isNotNull() & F.col("seq").isNotNull() & F.col("ts").isNotNull() & F.col("card_id").isNotNull() & F.col("type").isin("add", "review", "remove", "suspend", "update", "undo"), F.lit(False))
-    return events.where(ok), events.where(~ok)
+    """(events that can be used, quarantine)."""
+    return events.where(lacking(events).isNull()), events.where(lacking(events).isNotNull())
 
 
 def save_snapshot(cards: DataFrame, path: str, version: int) -> str:
@@ -112,7 +122,7 @@ def counters_of_day(counters: DataFrame, day: int) -> DataFrame:
 
 
 def append_history(history: DataFrame, path: str) -> None:
-    """An audit log in files of at most :data:`CHUNK` events."""
+    """An audit log in files of at most :data:`CHUNK` events; ``history.append_chunks`` also goes on in the newest chunk."""
     versioned(history).write.option("maxRecordsPerFile", CHUNK).mode("append").parquet(path)
 
 

@@ -29,3 +29,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder, of any store that Spark writes to; none if it is not there."""
+    at = _at(spark, path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(str(x.getPath().getName()) for x in fs.listStatus(at) if x.isDirectory()) if fs.exists(at) else []
+
+
+def committed(spark: SparkSession, path: str, key: str) -> list[int]:
+    """The numbers n of the folders ``key=n`` that a writer has finished, in order."""
+    fs = _at(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x for x in folders(spark, path) if x.startswith(f"{key}=")]
+    return sorted(int(x.removeprefix(f"{key}=")) for x in found if fs.exists(_at(spark, f"{path}/{x}/_SUCCESS")))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = _at(spark, path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -13,6 +13,7 @@ from ..functions.scheduling import Parameters
 from ..operators import sync
 from ..operators.fold import UNDO_DEPTH, Card, Ledger
 from ..operators.replay import CARD, FIELDS, ORDER, STATE
+from ..sources.tables import lacking
 
 #: How late an event may come before deduplication and activity no longer count it.
 LATENESS = "7 days"
@@ -204,6 +205,28 @@ def late_events(events: DataFrame, horizon: int) -> DataFrame:
     return events.groupBy("learner_id").agg(F.count_if(F.col("ts") <= horizon).alias("n_late"))
 
 
+def sorting_sink(path: str):
+    """For ``foreachBatch``: sound events go to ``events``, torn ones with what they lack to ``quarantine``, a folder for each batch, which a repeated batch writes again.
+
+    Both come from one read of the batch, which is kept for the two writes.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("lacks", lacking(batch)).persist()
+        try:
+            rows.where("lacks is null").drop("lacks").write.mode("overwrite").parquet(f"{path}/events/batch={batch_id:09d}")
+            rows.where("lacks is not null").write.mode("overwrite").parquet(f"{path}/quarantine/batch={batch_id:09d}")
+        finally:
+            rows.unpersist()
+
+    return run
+
+
+def dropped_rows(progress: list) -> int:
+    """Rows that the watermark kept out of a stream's state, by the reports of its batches."""
+    return sum(state["numRowsDroppedByWatermark"] for report in progress for state in report["stateOperators"])
+
+
 def append_audit(events: DataFrame, path: str, checkpoint: str):
     """An append-only file sink in files of at most a thousand events."""
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", 1000).trigger(availableNow=True).start()
