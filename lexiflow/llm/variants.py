@@ -4,8 +4,9 @@
    frequent, so no list of the index is long unless its gram has the greatest length.
 2. A word is decomposed into variable grams: at each place the longest gram of the dictionary, unless an earlier one covers it.
 3. Affected grams: with grams of at most q letters, an edit at letter i can change only grams that end in i to i + q. Of two grams whose ends lie more than q apart one
-   outlives any single edit, at a known place: the earlier one where it was, or the later one, moved by the change of length. So each word merges just two
-   lists of the index, those of the rarest such pair, and loses no near word.
+   outlives any single edit, at a known place: the earlier one where it was, and all letters up to it with it, or the later one, moved by the change of length,
+   with all letters behind it. So each word merges just the lists of two grams, the rarest such pair, and loses no near word. What an edit spares is cut once more: of the other
+   side of the word, which has the edit, either the first or the last half is as it was. Lists are told apart by length, place, and all letters spared.
 4. Members of these lists are verified by their edit distance.
 
 Words of over 64 letters are few and long: they have two grams only, their halves, of which any edit leaves one.
@@ -16,7 +17,7 @@ is therefore (letters - 1) / 2, within 3 to 6; a word is indexed for its own len
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,21 +91,46 @@ def rarest_pair(word: str, grams: list[tuple[int, int]], frequent: dict[str, int
     return found
 
 
-def index_rows(word: str, frequent: dict[str, int], rare: int) -> Iterator[tuple[bool, int, str, int, int]]:
-    """(probe, q, gram, start, letters of the words looked for) of one word: its places in the index, and the lists that it reads."""
+def spared(letters: int, q: int, left: Iterable[int], right: Iterable[int]) -> set[tuple[int, int]]:
+    """(u, v): the first u and the last v letters, of words of so many, that an edit spares if it spares one of the grams.
+
+    ``left`` has the ends b of grams behind which the edit lies: it spares the letters up to b, since a gram that ends at b is affected in b - q to b. ``right`` has
+    those before which it lies: it spares the letters from b - q on. The rest is cut in halves, of which one is spared too.
+    """
+    out = set()
+    for b in left:
+        half = (letters - b - 1) // 2
+        out |= {(b + 1 + half, 0), (b + 1, letters - b - 1 - half)}
+    for b in right:
+        half = (b - q) // 2
+        out |= {(half, letters - b + q), (0, letters - half)}
+    return out
+
+
+def index_rows(word: str, frequent: dict[str, int], rare: int) -> Iterator[tuple[bool, int, int, int]]:
+    """(probe, other, u, v) of one word: the lists that it reads (probe) and those that it is in, by their first u and last v letters.
+
+    ``other`` is 1 where the two lengths differ: a word asks for words as long and for those a letter longer, and is listed for words as long and a letter shorter.
+    """
     size = len(word)
-    for letters in (size, size - 1):  # as a word of its own length, and for words with one letter less
+    for other in (0, 1):
+        letters = size - other  # of the word that asks
         if letters < LEAST_LETTERS:
             continue
-        q = 0 if letters > LONG else widest(letters)
-        grams = decompose(word, frequent, q) if q else halves(word, letters)
-        if letters == size or q != widest(size) or size > LONG:
-            yield from ((False, q, word[a:b], a, size) for a, b in grams)
-        if letters == size:
-            (a, b), (c, d) = rarest_pair(word, grams, frequent, rare, q) if q else grams
-            for longer in (0, 1):  # one letter replaced, or one more; a word with one less asks from its own side
-                yield True, q, word[a:b], a, size + longer
-                yield True, q, word[c:d], c + longer, size + longer
+        if letters > LONG:
+            cuts = {(letters // 2, 0), (0, letters - letters // 2)}
+            asked = cuts
+        else:
+            q = widest(letters)
+            ends = decompose(word, frequent, q)
+            # of the longer word, a gram ends one letter on if the edit lies before it
+            cuts = spared(letters, q, (b for _, b in ends if b < letters - q), (b - other for _, b in ends if b - other > q + SHORTEST))
+            if not other:
+                (_, b), (_, d) = rarest_pair(word, ends, frequent, rare, q)
+                asked = spared(letters, q, (b,), (d,))
+        yield from ((False, other, u, v) for u, v in cuts)
+        if not other:
+            yield from ((True, longer, u, v) for u, v in asked for longer in (0, 1))
 
 
 def one_edit(x: Column, y: Column) -> Column:
@@ -132,21 +158,18 @@ def near_pairs(words: DataFrame, most: int = DICTIONARY) -> DataFrame:
     held = spark.sparkContext.broadcast(frequent)  # at most ``most`` grams of each length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, names = held.value, ["word", "probe", "q", "gram", "start", "size"]
-        kinds = [pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+        known = held.value
         for batch in batches:
-            rows = []
-            for word in batch.column(0).to_pylist():
-                rows += ((word, *r) for r in index_rows(word, known, rare))
-                if len(rows) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    rows = words.mapInArrow(tidy(run), "word string, probe boolean, q int, gram string, start int, size int")
-    # what shares a key but no gram fails the distance like any other
-    rows = staged(rows.select("word", "probe", (F.col("q") == 0).alias("long"), F.xxhash64("q", "gram", "start", "size").alias("key")), "grams")
+            codes = [[probe << 61 | other << 60 | u << 30 | v for probe, other, u, v in index_rows(word, known, rare)] for word in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, type=pa.list_(pa.int64()))], names=["word", "codes"])
+
+    codes = words.mapInArrow(tidy(run), "word string, codes array<long>").select("word", F.length("word").alias("size"), F.explode("codes").alias("code"))
+    bits = lambda shift, n: F.shiftright("code", shift).bitwiseAND((1 << n) - 1).cast("int")
+    rows = codes.select("word", "size", (bits(61, 1) == 1).alias("probe"), bits(60, 1).alias("other"), bits(30, 30).alias("u"), bits(0, 30).alias("v"))
+    asks = F.when(F.col("probe"), F.col("size")).otherwise(F.col("size") - F.col("other"))
+    # what shares a key by chance fails the distance like any other
+    key = F.xxhash64(asks, asks + F.col("other"), "u", "v", F.substring("word", F.lit(1), F.col("u")), F.substring("word", F.col("size") - F.col("v") + 1, F.col("v")))
+    rows = staged(rows.select("word", "probe", (asks > LONG).alias("long"), key.alias("key")), "grams")
     found = None
     for long, apart in ((False, F.levenshtein("x", "y", 1) == 1), (True, one_edit(F.col("x"), F.col("y")))):
         own = rows.where("long" if long else "not long")

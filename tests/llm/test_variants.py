@@ -67,8 +67,9 @@ def test_an_edit_leaves_one_gram_of_the_pair():
         for g in grams:  # any set that holds the beginnings of its members
             if (len(g) == 2 or g[:-1] in frequent) and rng.random() < 0.7:
                 frequent[g] = rng.randrange(2, 9)
-        asked = {r[1:] for r in V.index_rows(w, frequent, 1) if r[0]}
-        listed = {r[1:] for r in V.index_rows(other, frequent, 1) if not r[0]}
+        key = lambda word, r: (len(word) - (r[1] if not r[0] else 0), len(word) + (r[1] if r[0] else 0), *r[2:], word[: r[2]], word[len(word) - r[3] :])
+        asked = {key(w, r) for r in V.index_rows(w, frequent, 1) if r[0]}
+        listed = {key(other, r) for r in V.index_rows(other, frequent, 1) if not r[0]}
         assert asked & listed, (w, other)
 
 
