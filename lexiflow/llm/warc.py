@@ -32,6 +32,8 @@ LEAST_SHARED = 100
 ARCHIVE = 256 << 20
 #: Bytes between two wanted records that are read along rather than skipped; bytes of one read, unless a record is longer.
 GAP, RUN = 64 << 10, 8 << 20
+#: Packed bytes that one reading task takes, about; the index alone is far too small to tell.
+SHARE = 16 << 20
 #: Unpacked bytes of records that leave a task together.
 BLOCK = 16 << 20
 #: Date of records whose table has none.
@@ -270,14 +272,15 @@ def coalesced(ranges: Iterable[tuple[str, int, int]], gap: int = GAP, run: int =
         yield at, start, end, inside
 
 
-def read_records(wanted: DataFrame, payloads: bool = True, gap: int = GAP, run_bytes: int = RUN) -> DataFrame:
+def read_records(wanted: DataFrame, payloads: bool = True, gap: int = GAP, run_bytes: int = RUN, share: int = SHARE) -> DataFrame:
     """The records (:data:`RECORDS`) of the index rows ``wanted`` (archive, offset, length; other columns are not looked at).
 
     Everything but the place comes from the record itself; ``sound`` tells whether the payload has the digest that its record names. With ``payloads`` false the column is null, and
-    the bytes stay in the task. A row that stands twice is read twice. Rows with a null place are skipped; an empty table gives an empty result.
+    the bytes stay in the task. There is a task for each ``share`` bytes to read. A row that stands twice is read twice. Rows with a null place are skipped; an empty table gives an empty result.
     """
     places = wanted.where("archive is not null and offset is not null and length is not null").select("archive", F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"))
-    ordered = places.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    size = places.agg(F.sum("length")).first()[0] or 0
+    ordered = places.repartitionByRange(-(-size // share) or 1, "archive", "offset").sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -305,10 +308,12 @@ def read_records(wanted: DataFrame, payloads: bool = True, gap: int = GAP, run_b
 
 def resolved(records: DataFrame, columns: tuple[str, ...] = ("payload_bytes", "payload_digest")) -> DataFrame:
     """``records`` whose revisits take ``columns`` from the response that they refer to; a revisit of a response that is not among them keeps its own."""
-    others = [c for c in records.columns if c not in columns]
-    full = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("target")).agg(F.first(F.struct(*columns)).alias("full"))
-    both = records.join(full, records["refers_to"] == full["target"], "left")
-    return both.select(*others, *[F.coalesce(F.col(f"full.{c}"), F.col(c)).alias(c) for c in columns])
+    revisits = records.where("refers_to is not null")
+    targets = revisits.select(F.col("refers_to").alias("record_id")).distinct()
+    # a response that many refer to is one row of a written table, so that the join to it can be split
+    full = staged(records.where("record_type = 'response'").join(targets, "record_id", "left_semi").groupBy(F.col("record_id").alias("refers_to")).agg(F.first(F.struct(*columns)).alias("full")), "warc-full")
+    found = revisits.join(full, "refers_to", "left").select(*[F.coalesce(F.col(f"full.{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in records.columns])
+    return records.where("refers_to is null").unionByName(found)
 
 
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def pages(spark):
 def test_round_trip(spark, pages, tmp_path):
     index = W.write_archives(pages, str(tmp_path / "w"), archive=3000)
     assert index.count() == len(ROWS) and index.select("archive").distinct().count() > 1
-    got = W.read_records(index, run_bytes=4096).collect()
+    got = W.read_records(index, run_bytes=4096, share=500).collect()
     assert all(r.sound for r in got) and len(got) == len(ROWS)
     by = {}
     for r in got:
