@@ -16,6 +16,7 @@ from ..storage import staged
 #: Bounds of result caps and of page sizes.
 MAX_RESULTS, MOST_RESULTS, PAGE = 20_000, 90_000, 16
 KEY = ["ent_seq", "meta1", "meta2"]
+HIT = ["query_id", "ent_seq", "kind", "lang", "meta1", "meta2", "len", "common", "score", "source_rank", "text"]
 
 
 def build_postings(terms: DataFrame) -> DataFrame:
@@ -94,11 +95,11 @@ def asked_of(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "q_norm", F.inline(F.array_compact(ways))).where("q <> ''")
 
 
-def search(terms: DataFrame, queries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-    """(query_id, ent_seq, kind, lang, meta1, meta2, len, common, score, source_rank, text): every verified hit.
+def candidates_of(terms: DataFrame, queries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """(query_id, side, q, source_rank, ent_seq, meta1, meta2, lang, kind, len, common, score): the terms that have the rarest gram of a query and are long enough.
 
-    Only postings of the queries' own grams go on, through a semi-join with that small table. The rarest gram leads to
-    candidates, terms shorter than the query leave before the join with the texts, and only then text is read.
+    Only postings of the queries' own grams go on, through a semi-join with that small table. A hit's score follows from lengths and commonness, which postings have, so
+    it is known before any text is read.
     """
     side = F.when(F.col("kind") == "gloss", "gloss").otherwise("jp")
     postings = (build_postings(terms) if postings is None else postings).withColumn("side", side)
@@ -108,17 +109,54 @@ def search(terms: DataFrame, queries: DataFrame, postings: DataFrame | None = No
     # read twice, for frequencies and for candidates, so written once
     some = staged(postings.join(grams.select("side", "gram").distinct(), ["side", "gram"], "left_semi"), "asked")
     frequencies = some.groupBy("side", "gram").agg(F.count(F.lit(1)).alias("df"))
-    candidates = asked.join(rarest_grams(grams, frequencies, key), [*key, "side"]).join(some, ["side", "gram"]).where(F.col("len") >= F.length("q"))
-    found = candidates.select("query_id", "side", "q", "q_norm", "source_rank", *KEY, "lang", "kind").join(terms, [*KEY, "lang", "kind"])
+    lead = staged(asked.join(rarest_grams(grams, frequencies, key), [*key, "side"]), "lead")  # its size is known, so the postings need not be dealt anew if it is small
+    found = lead.join(some, ["side", "gram"]).where(F.col("len") >= F.length("q"))
     jp = F.col("side") == "jp"
-    found = found.where(F.contains(F.when(jp, X.fold_kana(F.col("text"))).otherwise(F.col("text")), F.col("q")))
-    length, q_length = F.length("text"), F.when(jp, F.length("q_norm")).otherwise(F.length("q"))
+    q_length = F.when(jp, F.length("q_norm")).otherwise(F.length("q"))
     return found.select(
-        "query_id", "ent_seq", "kind", "lang", "meta1", "meta2", length.alias("len"), "common",
-        score(length == q_length, jp, length, q_length, F.col("common")).alias("score"), "source_rank", "text",
+        "query_id", "side", "q", "source_rank", *KEY, "lang", "kind", "len", "common", score(F.col("len") == q_length, jp, F.col("len"), q_length, F.col("common")).alias("score")
     )
 
 
+def _holds() -> Column:
+    return F.contains(F.when(F.col("side") == "jp", X.fold_kana(F.col("text"))).otherwise(F.col("text")), F.col("q"))
+
+
+def verified(candidates: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, ent_seq, kind, lang, meta1, meta2, len, common, score, source_rank, text): the candidates whose text holds the query."""
+    found = candidates.join(terms.select(*KEY, "lang", "kind", "text"), [*KEY, "lang", "kind"])
+    return found.where(_holds()).select(*HIT)
+
+
+def search(terms: DataFrame, queries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """Every verified hit, with the columns of :func:`verified`. Text is read for candidates only."""
+    return verified(candidates_of(terms, queries, postings), terms)
+
+
+def best_entries(terms: DataFrame, queries: DataFrame, k: int, postings: DataFrame | None = None, ahead: int = 4) -> DataFrame:
+    """The best hit of each of the ``k`` best entries of each query, with the columns of :func:`verified`; texts are read for few candidates.
+
+    Candidates are ranked by their scores, which are exact, and their places. The first ``ahead * k`` of each query are verified; a query that then has k entries is done, as all
+    that it has not looked at come behind. The others go on with sixteen times as many, until they are done or have no more. So rounds grow with the logarithm of the
+    longest list, and each task keeps no more rows of a query than are asked for before the shuffle.
+    """
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(*_order()))
+    found = staged(candidates_of(terms, queries, postings), "candidates")
+    left, whole, low, high = found, None, 0, ahead * k
+    while True:
+        some = left.withColumn("rn", ranked).where(F.col("rn") <= high).where(F.col("rn") > low)
+        looked = staged(some.drop("rn").join(terms.select(*KEY, "lang", "kind", "text"), [*KEY, "lang", "kind"], "left").withColumn("holds", F.coalesce(_holds(), F.lit(False))), "looked")
+        whole = looked if whole is None else whole.unionByName(looked)
+        entries = F.count_distinct(F.when(F.col("holds"), F.col("ent_seq")))
+        again = staged(whole.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), entries.alias("entries")).where(F.col("n") == high).where(F.col("entries") < k).select("query_id"), "again")
+        if again.isEmpty():
+            break
+        left, low, high = found.join(again, "query_id", "left_semi"), high, 16 * high
+    hits = whole.where("holds").select(*HIT)
+    best = hits.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "ent_seq").orderBy(*_order()))).where("_k = 1").drop("_k")
+    return best.withColumn("_k", ranked).where(F.col("_k") <= k).drop("_k")
+
+
 _ORDER = (F.desc, "score"), (F.asc, "source_rank"), (F.asc, "ent_seq"), (F.asc, "meta1"), (F.asc, "meta2")
 
 

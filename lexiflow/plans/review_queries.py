@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scheduling as S
 from ..functions.scheduling import Parameters
+from ..functions.sql import register
 from ..operators import replay as R
 from ..operators import stats as A
 from . import views as W
-from .registry import query
+from .registry import SQL, query
 
 P = Parameters()
 NOW = W.NOW
@@ -83,6 +84,20 @@ def f27(spark, sf):
     )
 
 
+@query("f22_f33_sql_functions", SQL["f27_f33_memory_model"].replace(" FROM c", f", {DAY.format('last_review')} AS day, {_interval_sql('last_review')} AS age FROM c"))
+def f22_sql(spark, sf):
+    """The same through SQL alone, by the functions that ``register`` names."""
+    register(spark, P)
+    now = W.NOW
+    return spark.sql(
+        f"""WITH c AS (SELECT *, greatest(stability, 0.01D) AS s, difficulty AS d, CAST(card_id % 4 + 1 AS INT) AS r, retrievability(stability, greatest(0, {now} - last_review)) AS q FROM {{cards}})
+        SELECT learner_id, deck, card_id, round(q, 6) AS recall, round(initial_stability(r), 6) AS s0, round(initial_difficulty(r), 6) AS d0, round(short_stability(s, r), 6) AS short,
+          round(recall_stability(s, d, q, r), 6) AS grown, round(forget_stability(s, d, q), 6) AS forgot, round(next_difficulty(d, r), 6) AS d_next, interval_days(s) AS days,
+          logical_day(last_review) AS day, interval_text(last_review) AS age FROM c""",
+        cards=W.cards(spark, sf),
+    )
+
+
 _DRAWN = "('0x' || substr(md5('0:' || learner_id || ':' || deck || ':' || card_id), 1, 13))::BIGINT"
 
 

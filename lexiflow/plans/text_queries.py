@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
+from ..functions.sql import register
 from ..operators import search as Q
 from ..sources import tables as T
 from ..storage import fresh_path
@@ -106,6 +107,16 @@ def f11(spark, sf):
     return d.select(F.inline(each)).select("n", F.explode("g").alias("gram")).groupBy("n", "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
+@query("f2_f11_sql_functions", W.sql(WALK, recursive=True) + f", long AS (SELECT query_id, q_kana, {_LONG} AS q_long FROM rewritten) SELECT query_id, q_kana, q_long, greatest(length(q_kana) - 1, 0)::INTEGER AS n_grams, substr(q_kana, 1, 2) AS first FROM long")
+def f2_sql(spark, sf):
+    """Kana, long vowels and grams through SQL alone."""
+    register(spark)
+    return spark.sql(
+        "SELECT query_id, q_kana, q_long, size(g) AS n_grams, coalesce(get(g, 0), q_kana) AS first FROM (SELECT *, long_vowels(q_kana) AS q_long, grams(q_kana, 2) AS g FROM (SELECT query_id, to_hiragana(q_norm) AS q_kana FROM {asked}))",
+        asked=_questions(spark, sf).select("query_id", "q_norm"),
+    )
+
+
 @query("f12_gram_modes", f"SELECT p_partkey, len({TRI.format(t='p_name')})::INTEGER AS gloss, (length(p_name) + length(p_name) - 1 + length(p_name) - 2)::INTEGER AS japanese FROM part")
 def f12(spark, sf):
     n = lambda kind: F.size(X.grams_for(F.col("p_name"), F.lit(kind)))
@@ -200,7 +211,8 @@ def u2(spark, sf):
 @query("k4_top_k_page", SEARCH + ", " + BEST + ", " + PAGED + " SELECT query_id, rn::INTEGER AS place, ent_seq, meta1, score, 0 AS page FROM paged WHERE rn <= 10")
 def k4(spark, sf):
     """The flagship: index build, query rewrite, candidates, verification, score and top page for a whole table of queries."""
-    return Q.pages(Q.best_per_entry(_hits(spark, sf)), 10, 0, 0).select("query_id", "place", "ent_seq", "meta1", "score", "page")
+    terms, queries = W.lex_terms(spark, sf), Q.rewrite_queries(W.lex_queries(spark, sf))
+    return Q.pages(Q.best_entries(terms, queries, 10), 10, 0, 0).select("query_id", "place", "ent_seq", "meta1", "score", "page")
 
 
 @query("k4_stored_index", SEARCH + ", " + BEST + ", " + PAGED + " SELECT query_id, rn::INTEGER AS place, ent_seq, meta1, score FROM paged WHERE rn <= 10")
@@ -210,7 +222,7 @@ def k4_stored(spark, sf):
     at = fresh_path(spark, "index")
     T.write_postings(Q.build_postings(terms), at)
     stored = T.read_postings(spark, at, Q.query_grams(queries))
-    return Q.pages(Q.best_per_entry(Q.search(terms, queries, stored)), 10, 0, 0).select("query_id", "place", "ent_seq", "meta1", "score")
+    return Q.pages(Q.best_entries(terms, queries, 10, stored), 10, 0, 0).select("query_id", "place", "ent_seq", "meta1", "score")
 
 
 @query("k4_later_pages", SEARCH + ", " + BEST + ", " + PAGED + " SELECT query_id, rn::INTEGER AS place, ent_seq, ((rn - 1) // 10)::INTEGER AS page FROM paged WHERE rn > 10 AND rn <= 40")
