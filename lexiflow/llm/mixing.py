@@ -52,6 +52,14 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, source_col:
     return staged(rates.select("source", "n", "rate", F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: s["cdf"]).alias("cdf")), "rates")
 
 
+def quantile(cdf: Column, u: Column) -> Column:
+    """How many entries of the rising list ``cdf`` are at most ``u``, by halving steps, so that a list for a great rate is not looked through."""
+    size = F.size(cdf)
+    steps = F.sequence(F.ceil(F.log2(size.cast("double"))).cast("int"), F.lit(0))
+    on = lambda at, b: at + F.pow(F.lit(2), b).cast("int")
+    return F.aggregate(steps, F.lit(0), lambda at, b: F.when((on(at, b) <= size) & (F.get(cdf, on(at, b) - 1) <= u), on(at, b)).otherwise(at))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", copy_col: str = "copy", order_col: str = "order_key") -> DataFrame:
     """The rows of ``docs``, each as often as drawn, with ``copy`` (1, 2, ...) and ``order_key``, in the order of a global shuffle.
 
@@ -63,9 +71,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | No
     The table of rates is written first, so Spark knows its size and broadcasts it only while it is small.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (copy_col.lower(), order_col.lower())])
-    key, cdf, n = (fresh(docs, x) for x in ("mix_source", "mix_cdf", "mix_n"))
+    key, cdf, n, u = (fresh(docs, x) for x in ("mix_source", "mix_cdf", "mix_n", "mix_u"))
     rates = source_rates(docs, weights, source_col, rows).select(F.col("source").alias(key), F.col("cdf").alias(cdf))
-    drawn = docs.join(rates, F.col(source_col).eqNullSafe(F.col(key))).withColumn(n, F.size(F.filter(cdf, lambda c: c <= uniform(F.col(id_col), seed))))
+    # drawn once for each row, below the join
+    seeded = docs.withColumn(u, uniform(F.col(id_col), seed))
+    drawn = seeded.join(rates, F.col(source_col).eqNullSafe(F.col(key))).withColumn(n, quantile(F.col(cdf), F.col(u)))
     copies = drawn.where(F.col(n) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy_col))
     copies = copies.withColumn(order_col, F.substring(_hex(F.lit(seed), F.col(id_col), F.col(copy_col)), 1, 16))
     return copies.repartition(order_col).sortWithinPartitions(order_col)

@@ -1,6 +1,7 @@
 """Exact deduplication, mixing, URL filters and components."""
 
 import random
+import time
 from collections import Counter
 
 import duckdb
@@ -162,3 +163,39 @@ def test_sql(spark, name):
     want = con.execute(registry.ORACLE_SQL[name])
     cols = [c[0] for c in want.description]
     assert sorted(map(str, (tuple(r) for r in df.select(cols).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_very_long_urls_take_linear_time(spark):
+    """A megabyte of slashes, with and without a letter behind, a long path before a relative link, many labels, many parameters."""
+    n = 1_000_000
+    urls = ["http://a.com/" + "/" * n, "http://a.com" + "/" * n + "x", "http://a.com/" + "x" * n, "http://a.com/" + "x/" * (n // 2), "http://" + "a." * (n // 2) + "com/en/1", "http://a.com/?" + "a=1&" * (n // 4), "x" * n]
+    html = '<link rel="canonical" href="next">'
+    pages = spark.createDataFrame([(k, u, html) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    url_filter.filter_urls(pages.limit(1)).collect()
+    began = time.monotonic()
+    got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    took = time.monotonic() - began
+    assert got[4].rule == "com/en/" and got[4].verdict == "block" and got[0].verdict == "allow" and len(got) == len(urls)
+    columns = [url_filter.canonical(F.col("url")), url_filter.canonical(url_filter.resolved(F.lit("next"), F.col("url"))), url_filter.rule_for(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))]
+    for k in range(len(urls)):
+        one = pages.where(F.col("page_id") == k).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+        began = time.monotonic()
+        one.write.format("noop").mode("overwrite").save()
+        assert time.monotonic() - began < 3, k  # a start of a job is in it
+    assert took < 60
+
+
+def test_canonical_and_resolved_paths(spark):
+    cases = [("http://a.com///", "http://a.com"), ("http://a.com/b//", "http://a.com/b"), ("http://a.com", "http://a.com"), ("http://a.com/b/c", "http://a.com/b/c"), ("http://www.a.com/?b=1&a=2", "http://a.com?a=2&b=1")]
+    got = spark.createDataFrame([(u,) for u, _ in cases], "u string").select(url_filter.canonical(F.col("u"))).collect()
+    assert [r[0] for r in got] == [w for _, w in cases]
+    cases = [("http://a.com/b/c", "http://a.com/b/x"), ("http://a.com/b/", "http://a.com/b/x"), ("http://a.com", "http://a.com/x"), ("http://a.com/ü/é?q#f", "http://a.com/ü/x"), ("http://a.com/b", "http://a.com/x")]
+    got = spark.createDataFrame([(u,) for u, _ in cases], "u string").select(url_filter.resolved(F.lit("x"), F.col("u"))).collect()
+    assert [r[0] for r in got] == [w for _, w in cases]
+
+
+def test_quantile_is_a_count(spark):
+    rng = random.Random(1)
+    rows = [(sorted(rng.choice([0.0, 0.25, 0.5, rng.random(), 1.0]) for _ in range(rng.randrange(1, 70))), rng.choice([0.0, 0.25, 0.5, rng.random()])) for _ in range(400)]
+    got = spark.createDataFrame(rows, "cdf array<double>, u double").select(mixing.quantile(F.col("cdf"), F.col("u"))).collect()
+    assert [r[0] for r in got] == [sum(c <= u for c in cdf) for cdf, u in rows]
