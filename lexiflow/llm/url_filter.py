@@ -52,6 +52,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def suffixes_of(host: Column, most: int) -> Column:
+    """The last 1 to ``most`` labels of a host, each as a host; no rule has more labels."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.call_function("substring_index", host, F.lit("."), -i)))
+
+
 def rule_for(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """struct(length, rule, verdict) of the longest rule that fits, or null.
 
@@ -65,8 +70,7 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Col
         return F.lit(None).cast("struct<n:int,verdict:string,rule:string>")
     as_struct = lambda r: F.struct(F.lit(-len(r.text)).alias("n"), F.lit(r.verdict).alias("verdict"), F.lit(r.text).alias("rule"), F.lit(r.path).alias("path"))
     table = F.create_map(*[x for h, rs in sorted(by_host.items()) for x in (F.lit(h), F.array(*map(as_struct, rs)))])
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = suffixes_of(host, max(h.count(".") for h in by_host) + 1)
     found = F.flatten(F.filter(F.transform(suffixes, lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull()))
     best = F.array_min(F.filter(found, lambda r: F.startswith(path, r["path"])))
     return F.when(best.isNotNull(), F.struct(best["n"].alias("n"), best["verdict"].alias("verdict"), best["rule"].alias("rule")))
@@ -79,7 +83,7 @@ def canonical(url: Column) -> Column:
     host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
     return F.when(
         F.contains(url, F.lit("://")),
-        F.concat(F.lit("http://"), host, F.regexp_replace(path_of(url), r"/+$", ""), F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise("")),
+        F.concat(F.lit("http://"), host, F.rtrim(path_of(url), F.lit("/")), F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise("")),
     )
 
 
@@ -87,7 +91,8 @@ def resolved(to: Column, url: Column) -> Column:
     """Where a link in the page at ``url`` leads: absolute, beginning with ``//``, at the host, a query, or beside the page; null for places in the page
     and for schemes without ``://``."""
     root, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
-    beside = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    folder = F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)))
+    beside = F.when(path == "", F.lit("/")).otherwise(folder)
     return (
         F.when(to == "", None).when(F.contains(to, F.lit("://")), to)
         .when(F.startswith(to, F.lit("//")), F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit(":"), to))
@@ -110,9 +115,8 @@ def rules_by_url(urls: DataFrame, rules: DataFrame) -> DataFrame:
     Each url asks for the suffixes of its host, a few rows, in a join that Spark broadcasts only while the rules are small; the longest is kept by a maximum that
     is combined before the shuffle.
     """
-    host = F.col("host")
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    most = rules.agg(F.max(F.size(F.split(F.substring_index("text", "/", 1), r"\.")))).first()[0] or 1
+    suffixes = suffixes_of(F.col("host"), most)
     asked = urls.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     asked = asked.select("url", "path", F.explode(suffixes).alias("rule_host"))
     table = rules.where("text is not null and verdict is not null").select(
