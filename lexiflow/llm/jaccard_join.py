@@ -42,6 +42,8 @@ ROUNDS, WORTH = 6, 0.2
 BLOCK, PAIRS = 2_000_000, 100_000
 #: Shingles whose signatures are made together.
 TOGETHER = 400_000
+#: Bytes of text whose signatures make up one bucket, about: some 12 MB, which a task sorts at once. So there are more buckets for more text.
+SHARE = 8 << 20
 #: Rows of texts that a task works on at once.
 ROWS = 1000
 
@@ -406,11 +408,15 @@ def _labels(groups: DataFrame, links: DataFrame | None) -> DataFrame:
     return marked.join(open_, "sig", "left_semi")
 
 
-def links_between(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n; links: src, dst). Links join every two documents that are similar or lead to one another by links."""
+def links_between(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, n; links: src, dst). Links join every two documents that are similar or lead to one another by links.
+
+    Signatures are dealt into buckets by their leading bits, one for each ``share`` bytes of text; a task holds one bucket at a time.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bounded_batches(docs.sparkSession)
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = min(1 << 30, max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // share)))
     raw = docs.select("doc_id", F.encode("text", "utf-8").alias("raw"))
     scanned = raw.mapInArrow(tidy(_scan(buckets)), _FOUND)
     found = staged(scanned.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_credited), _FOUND).drop("sigs", "bucket"), "shingles")
@@ -460,7 +466,7 @@ def links_between(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return meta.select("doc_id", "n"), equal if links is None else equal.unionByName(links)
 
 
-def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``; ids are integers.
 
     Documents link when 100 * intersection >= 80 * union of their sets of 5-word shingles; component_id is the least id that can be reached by
@@ -468,7 +474,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document with several texts and share its component. A row without id has component null. Texts
     are taken whole; an empty table gives an empty result; other columns are not looked at.
     """
-    meta, links = links_between(docs, id_col, text_col)
+    meta, links = links_between(docs, id_col, text_col, share)
     found = connected_components(links).withColumnRenamed("node", "doc_id")
     out = meta.join(found, "doc_id", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -291,6 +291,10 @@ class CrossParser:
         return langs, scores, rates
 
 
+#: Columns that :func:`identify` adds.
+ADDED = ("lang_pred", "score", "rate")
+
+
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with lang_pred, score (0 to 1) and rate (ends of phrases for each symbol), which replace columns so named.
 
@@ -299,7 +303,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text_col: st
     wins. An empty table gives an empty one. Other columns may have any name.
     """
     bounded_batches(docs.sparkSession)
-    news = ("lang_pred", "score", "rate")
+    news = ADDED
     if text_col in news:
         docs = docs.withColumnRenamed(text_col, text_col := fresh(docs, "text_in"))
     docs = docs.drop(*news)

@@ -57,3 +57,22 @@ def test_run(spark, folder):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_and_unusual_rows_pass_all_stages(spark, tmp_path):
+    """Columns called like those that stages add, a text of a megabyte, ties, repeated rows and nulls."""
+    en = "the house and the dog walk over the green hill and see a bird on the old tree "
+    long = " ".join(f"{w}{k}" for k in range(20_000) for w in ("house", "green", "tree")) + " " + en * 9000
+    rows = [(1, en * 3, "en", "s", 1), (1, en * 3, "en", "s", 1), (2, long, "en", "s", 2), (3, long + "x", None, None, 2), (4, None, "en", "s", None), (None, en * 5, "en", "t", 3), (5, en * 5, "en", "t", 3)]
+    extra = ["score", "Rate", "lang_pred", "a.b", "copy", "order_key", "kept_5", "mix_u", "digest", "component_id", "n_tokens"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(f"mine {c}").alias(c) for c in extra])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path)).cache()
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[c] == f"mine {c}" for r in found for c in extra), name
+        docs = out
+    assert {len(r.text) for r in found} <= {len(t) for _, t, *_ in rows if t}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(found)
