@@ -20,8 +20,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     labelled row to learn from nothing speaks a learned language and nothing stays. Further columns are carried, whatever their names.
     """
     samples = language_id.train(docs)
-    found = language_id.identify(docs, samples)
-    return found.where(language_id.accepted()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # columns called like those of the prediction step aside meanwhile
+    aside = [fresh(docs, f"kept_{k}") if c.lower() in language_id.ADDED else c for k, c in enumerate(docs.columns)]
+    found = language_id.identify(docs.toDF(*aside), samples)
+    return found.where(language_id.accepted()).select(*[F.col(f"`{c}`") for c in aside]).toDF(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
