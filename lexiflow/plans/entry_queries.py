@@ -27,6 +27,15 @@ def p1(spark, sf):
     return L.lookup(W.entries(spark, sf), keys).select("ent_seq", L.headword().alias("headword"))
 
 
+@query("p1_stored_lookup", EN + f", k AS (SELECT DISTINCT user_id::BIGINT * 3 AS ent_seq FROM events WHERE user_id % 50 = 7) SELECT k.ent_seq, CASE WHEN e.ent_seq IS NULL THEN '[unknown]' ELSE {_HEAD} END AS headword FROM k LEFT JOIN entries e ON e.ent_seq = k.ent_seq AND k.ent_seq <> 0")
+def p1_stored(spark, sf):
+    """Some keys against a table that is written first: of its blocks only those of the keys are read."""
+    at = fresh_path(spark, "lookup")
+    T.write_lookup(W.entries(spark, sf), at, rows=100)
+    keys = W.table(spark, sf, "events").where("user_id % 50 = 7").select((F.col("user_id").cast("long") * 3).alias("ent_seq")).distinct()
+    return L.lookup(T.read_lookup(spark, at, keys), keys).select("ent_seq", L.headword().alias("headword"))
+
+
 @query("p2_lookup_by_ordinal", EN + " SELECT ent_seq, row_number() OVER (ORDER BY ent_seq) - 1 AS entry_idx FROM entries")
 def p2(spark, sf):
     return L.with_ordinal(W.entries(spark, sf)).select("ent_seq", "entry_idx")
@@ -174,6 +183,15 @@ def s6(spark, sf):
     return T.read_postings(spark, at).groupBy("lang", F.length("gram").alias("n")).agg(F.count(F.lit(1)).alias("c"))
 
 
+@query("s6_pruned_postings", W.sql(W.LEX_TERMS) + " SELECT gram, count(*) AS n FROM (SELECT DISTINCT lang, ent_seq, meta1, unnest(CASE WHEN length(text) >= 3 THEN list_transform(range(1, (length(text) - 1)::BIGINT), lambda i: substr(text, i, 3)) ELSE [text] END) AS gram FROM lex_terms WHERE text <> '') WHERE gram IN ('the', 'und', 'zzz', 'qu ') GROUP BY gram")
+def s6_pruned(spark, sf):
+    """A few grams, a frequent one among them, from an index of small buckets: it is split over several, and only those asked for are read."""
+    at = fresh_path(spark, "postings")
+    T.write_postings(Q.build_postings(W.lex_terms(spark, sf)), at, rows=20_000)
+    asked = spark.createDataFrame([("the",), ("und",), ("zzz",), ("qu ",)], "gram string")
+    return T.read_postings(spark, at, asked).join(asked, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
 IM = W.sql(W.REVIEW_EVENTS, W.IMAGE_EVENTS)
 
 

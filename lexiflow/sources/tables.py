@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.lexicon import numbered
+from ..storage import staged
 
 #: Version that writers put beside their rows and readers ask for.
 SCHEMA_VERSION = 1
@@ -22,9 +24,9 @@ def versioned(df: DataFrame) -> DataFrame:
     return df.withColumn("schema_version", F.lit(SCHEMA_VERSION))
 
 
-def read_versioned(spark: SparkSession, path: str) -> DataFrame:
+def read_versioned(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A table written by this module; another version stops the read when its rows are seen, without a pass of its own."""
-    df = spark.read.parquet(path)
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     if "schema_version" not in df.columns:
         raise ValueError(f"{path} has no schema_version")
     ok = F.when(F.col("schema_version") == SCHEMA_VERSION, True).otherwise(F.raise_error(F.concat(F.lit(f"{path} has schema version "), F.col("schema_version").cast("string"))).cast("boolean"))
@@ -61,21 +63,86 @@ def parse_term_lines(lines: DataFrame) -> DataFrame:
     return kept.select(seq.alias("ent_seq"), F.get(part, F.lit(1)).alias("text"), number(2).alias("meta1"), number(3).alias("meta2"), number(5).alias("common"))
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Partitioned by language and a hash of the gram, sorted by gram: a query's grams prune to few files."""
-    out = postings.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
-    versioned(out).repartition("lang", "bucket").sortWithinPartitions("lang", "bucket", "gram", "ent_seq", "meta1", "meta2").write.partitionBy("lang", "bucket").mode("overwrite").parquet(path)
+#: Postings of a bucket, about.
+BUCKET = 1_000_000
 
 
-def read_postings(spark: SparkSession, path: str, grams: DataFrame | None = None, buckets: int = 64) -> DataFrame:
-    """The postings; with ``grams`` only the folders that hold these are read: at most as many numbers as there are buckets reach the driver."""
-    found = read_versioned(spark, path)
+def write_postings(postings: DataFrame, path: str, rows: int = BUCKET) -> None:
+    """Partitioned by language and bucket, sorted by gram: a query's grams prune to few files, and no file or task has much more than ``rows`` postings.
+
+    A first pass counts: a language gets a bucket for each ``rows`` postings, and a gram with more than a quarter of that is split into parts by entry, dealt over
+    several buckets. Both are written beside the postings, so readers need no parameter.
+    """
+    grams = postings.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counted = staged(grams.groupBy("lang").agg(F.ceil(F.sum("n") / rows).cast("int").alias("buckets"), F.collect_list(F.when(F.col("n") > rows / 4, F.struct("gram", F.ceil(4 * F.col("n") / rows).cast("int").alias("parts")))).alias("hot")), "counted")
+    layout, hot = counted.select("lang", "buckets"), counted.select("lang", F.inline("hot"))
+    versioned(layout).write.mode("overwrite").parquet(f"{path}/layout")
+    versioned(hot).write.mode("overwrite").parquet(f"{path}/split")
+    placed = postings.join(layout, "lang").join(hot, ["lang", "gram"], "left")
+    part = F.pmod(F.xxhash64("ent_seq"), F.coalesce("parts", F.lit(1))).cast("int")
+    out = placed.withColumn("bucket", _bucket(part)).select(*postings.columns, "bucket")
+    sorted_ = versioned(out).repartition("lang", "bucket").sortWithinPartitions("lang", "bucket", "gram", "ent_seq", "meta1", "meta2")
+    sorted_.limit(0).write.mode("overwrite").parquet(f"{path}/shape")
+    sorted_.write.partitionBy("lang", "bucket").option("maxRecordsPerFile", rows).mode("overwrite").parquet(f"{path}/postings")
+
+
+def _bucket(part: Column) -> Column:
+    return F.pmod(F.xxhash64("gram", part), "buckets").cast("int")
+
+
+def read_postings(spark: SparkSession, path: str, grams: DataFrame | None = None) -> DataFrame:
+    """The postings; with ``grams`` only the folders that hold these are read: at most as many numbers as there are folders reach the driver."""
+    found = _shaped(spark, path, "postings")
     if grams is not None:
-        wanted = grams.select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()
-        found = found.where(F.col("bucket").isin([r["b"] for r in wanted]))
+        layout = read_versioned(spark, f"{path}/layout").collect()  # a row for each language
+        langs = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"), F.lit(r["buckets"]).alias("buckets")) for r in layout]) if layout else F.array().cast("array<struct<lang:string,buckets:int>>")
+        asked = grams.select("gram").distinct().select("gram", F.inline(langs)).join(read_versioned(spark, f"{path}/split"), ["lang", "gram"], "left")
+        parts = asked.select("lang", "gram", "buckets", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        wanted: dict[str, list[int]] = {}
+        for r in parts.select("lang", _bucket(F.col("part")).alias("bucket")).distinct().toLocalIterator():
+            wanted.setdefault(r["lang"], []).append(r["bucket"])
+        here = F.lit(False)
+        for lang, buckets in sorted(wanted.items()):
+            here = here | ((F.col("lang") == lang) & F.col("bucket").isin(buckets))
+        found = found.where(here)
     return found.drop("bucket")
 
 
+#: Rows of a block of a table for lookups, about.
+BLOCK = 100_000
+
+
+def write_lookup(entries: DataFrame, path: str, rows: int = BLOCK) -> None:
+    """A table for lookups by ``ent_seq``: blocks of equal width in the key, each a folder with its rows sorted, and the widths beside them.
+
+    Keys are unique, so a block has no more rows than it is wide, however unevenly they lie.
+    """
+    seen = entries.agg(F.min("ent_seq").alias("low"), F.max("ent_seq").alias("high"), F.count(F.lit(1)).alias("n"))
+    layout = seen.select(F.coalesce("low", F.lit(0)).cast("long").alias("low"), F.coalesce(F.ceil((F.col("high") - F.col("low") + 1) / F.ceil(F.col("n") / rows)), F.lit(1)).cast("long").alias("width"))
+    versioned(layout).write.mode("overwrite").parquet(f"{path}/layout")
+    low, width = _widths(entries.sparkSession, path)
+    placed = versioned(entries).withColumn("block", F.floor((F.col("ent_seq") - low) / width).cast("long"))
+    placed.limit(0).write.mode("overwrite").parquet(f"{path}/shape")
+    placed.repartition("block").sortWithinPartitions("block", "ent_seq").write.partitionBy("block").mode("overwrite").parquet(f"{path}/rows")
+
+
+def _shaped(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table in folders by the schema that stands beside it, so that one without rows can be read as well."""
+    return read_versioned(spark, f"{path}/{name}", spark.read.parquet(f"{path}/shape").schema)
+
+
+def _widths(spark: SparkSession, path: str) -> tuple[int, int]:
+    r = read_versioned(spark, f"{path}/layout").first()
+    return r["low"], r["width"]
+
+
+def read_lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The stored rows of the blocks that ``keys`` (ent_seq) lie in, for a join with them: at most as many numbers as there are blocks reach the driver."""
+    low, width = _widths(spark, path)
+    blocks = [r["b"] for r in keys.where("ent_seq is not null").select(F.floor((F.col("ent_seq") - low) / width).cast("long").alias("b")).distinct().toLocalIterator()]
+    return _shaped(spark, path, "rows").where(F.col("block").isin(blocks)).drop("block")
+
+
 def append_events(events: DataFrame, path: str) -> None:
     versioned(events).write.mode("append").parquet(path)
 

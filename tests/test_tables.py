@@ -48,3 +48,32 @@ def test_empty_filter_does_not_restrict(spark):
     none = spark.createDataFrame([], "ent_seq long")
     assert C.restrict(cards, none).count() == 2
     assert C.restrict(cards, spark.createDataFrame([(2,)], "ent_seq long")).count() == 1
+
+
+def test_posting_buckets_grow_with_the_data(spark, tmp_path):
+    """Ten times the rows: as many more buckets, none much above its size; a gram in a third of all postings is split; reads are pruned."""
+    asked = spark.createDataFrame([("rare7",), ("hot",), ("none",)], "gram string")
+    for n in (400, 4000):
+        at = str(tmp_path / str(n))
+        rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("rare"), F.col("id") % 50)).alias("gram"), F.lit("en").alias("lang"), F.col("id").alias("ent_seq"), F.lit(0).alias("meta1"), F.lit(0).alias("meta2"))
+        T.write_postings(rows, at, rows=40)
+        files = [r["count"] for r in spark.read.parquet(f"{at}/postings").groupBy(F.input_file_name()).count().collect()]
+        assert sum(files) == n and max(files) <= 40 and len(files) > n / 80
+        assert sorted(map(str, T.read_postings(spark, at).select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+        found = T.read_postings(spark, at, asked)
+        want = rows.where("gram in ('rare7', 'hot')").count()
+        assert found.join(asked, "gram", "left_semi").count() == want and found.count() < n
+    assert T.read_postings(spark, at, asked.where("gram = 'rare7'")).count() < n / 10
+
+
+def test_lookups_read_the_blocks_of_their_keys(spark, tmp_path):
+    at = str(tmp_path / "l")
+    ids = [*range(0, 3000, 3), 100_000, 100_001]
+    entries = spark.createDataFrame([(i, f"e{i}") for i in ids], "ent_seq long, head string")
+    T.write_lookup(entries, at, rows=10)
+    keys = spark.createDataFrame([(3,), (4,), (100_001,), (200_000,), (-5,), (None,)], "ent_seq long")
+    found = T.read_lookup(spark, at, keys)
+    assert {r.ent_seq: r.head for r in keys.join(found, "ent_seq", "left").collect()} == {3: "e3", 4: None, 100_001: "e100001", 200_000: None, -5: None, None: None}
+    assert found.count() < 500
+    T.write_lookup(entries.where("false"), at)
+    assert T.read_lookup(spark, at, keys).count() == 0
