@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .cards import passes
+from .lexicon import numbered
 from .replay import FIELDS
 
 
@@ -35,6 +36,11 @@ def filtered(rows: DataFrame, name: str) -> DataFrame:
 
 
 def paged(rows: DataFrame, size: int = 20) -> DataFrame:
-    """``page`` of each row within its learner, by entry."""
-    k = F.row_number().over(Window.partitionBy("learner_id").orderBy("ent_seq"))
-    return rows.withColumn("page", F.floor((k - 1) / size).cast("int"))
+    """``page`` of each row within its learner, by entry.
+
+    Rows are numbered over all learners in even ranges, and a learner's first number is subtracted, so a learner with very many rows is dealt over many tasks.
+    """
+    put = numbered(rows, ["learner_id", "ent_seq"], "_at")
+    first = put.groupBy(F.col("learner_id").alias("_of")).agg(F.min("_at").alias("_first"))
+    found = put.join(first, F.col("learner_id").eqNullSafe(F.col("_of")))
+    return found.select(*rows.columns, F.floor((F.col("_at") - F.col("_first")) / size).cast("int").alias("page"))

@@ -77,3 +77,14 @@ def test_lookups_read_the_blocks_of_their_keys(spark, tmp_path):
     assert found.count() < 500
     T.write_lookup(entries.where("false"), at)
     assert T.read_lookup(spark, at, keys).count() == 0
+
+
+def test_pages_of_a_learner_with_most_rows(spark):
+    from lexiflow.operators import library
+
+    rows = spark.range(500).select(F.when(F.col("id") % 5 != 0, 1).when(F.col("id") % 10 != 0, 2).cast("long").alias("learner_id"), (F.col("id") * 37 % 501).alias("ent_seq"))
+    got: dict = {}
+    for r in library.paged(rows, 7).collect():
+        got.setdefault(r.learner_id, []).append((r.ent_seq, r.page))
+    assert {k: len(v) for k, v in got.items()} == {1: 400, 2: 50, None: 50}
+    assert all([p for _, p in sorted(v)] == [i // 7 for i in range(len(v))] for v in got.values())
