@@ -109,7 +109,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 #: What ``plausible`` asks of every kind: a digit, an @, the word 'at', or a capital after a word that comes before names. A text with none of them is not
 #: decoded; all others are, whole.
-_NEEDED = re.compile(r"[0-9@]|(?<![^\W\d_])(?:at(?![^\W\d_])|(?:mr|mrs|ms|dr|prof|herr|frau|madame|monsieur|name|named|dear|signed|regards|nom|nombre)(?![^\W\d_])[\W\d_]*+(?:is |ist |es )?(?-i:[^\W\d_a-z]))", re.IGNORECASE)
+_NEEDED = re.compile(r"[0-9@]|(?<![^\W\d_])(?:at(?![^\W\d_])|(?:mr|mrs|ms|dr|prof|herr|frau|madame|monsieur|name|named|dear|signed|regards|nom|nombre)(?![^\W\d_])[\W\d_]*+(?:(?:ist?|es)\s++)?(?-i:[^\W\d_a-z]))", re.IGNORECASE)
 #: Tokens of texts that are decoded together; a longer text is decoded by itself.
 TOKENS = 1_000_000
 _WORDS = (
@@ -467,6 +467,21 @@ _STREET = re.compile(r"(?:street|avenue|road|lane|drive|stra(?:ß|ss)e|weg|platz
 _CAPITAL = re.compile(r"[^\W\d_a-z]")
 
 
+def words_before(text: str, start: int, words: int = 2, most: int = 24) -> str:
+    """The last words before a place with one space behind each, however much white space stands between them; one of over ``most`` characters counts as several."""
+    out, at = [], start
+    for _ in range(words):
+        end = at
+        while end and text[end - 1].isspace():
+            end -= 1
+        gap = " " if end < at else ""
+        at = end
+        while at and end - at < most and not text[at - 1].isspace():
+            at -= 1
+        out.append(text[at:end] + gap)
+    return "".join(reversed(out))
+
+
 def iban(value: str) -> bool:
     """Whether a value has the form and the check digits of an international bank account number."""
     if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", value):
@@ -529,7 +544,7 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], field
                 kind, start, end = TAGS[tags[a]], int(s.begins[a]), int(s.ends[b - 1])
                 if not tags[a] or not plausible(kind, texts[k][start:end]) or touches(k, start, end):
                     continue
-                if kind != "name" or _BEFORE_NAME.search(texts[k][max(0, start - 24) : start]):
+                if kind != "name" or _BEFORE_NAME.search(words_before(texts[k], start)):
                     out[k].append((kind, start, end))
     return [sorted(spans, key=lambda x: x[1]) for spans in out]
 

@@ -260,6 +260,21 @@ def test_measured_lines():
     assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
 
 
+@pytest.mark.parametrize("text", ["Dear Mr.\n\n\n" + " " * 30 + "{}, hello", "My name   is" + " " * 50 + "{} now", "Signed,\n\n\n{}", "x" * 50_000 + " Mr." + "\t" * 100_000 + "{}"])
+def test_white_space_between_title_and_name(text):
+    """However much of it there is: the words before count, not their distance."""
+    t = text.format("Thomas Berger")
+    found = pii.added_spans([t], [pii.base_spans(t)], pii.production_field())[0]
+    assert [(k, t[a:b]) for k, a, b in found] == [("name", "Thomas Berger")]
+
+
+def test_words_before():
+    assert pii.words_before("one  two\n three", 9) == "one two "
+    assert pii.words_before("one two", 7) == "one two" and pii.words_before("  x", 2) == " " and pii.words_before("", 0) == ""
+    assert pii.words_before("y" * 100 + " x", 101) == "y" * 48 + " "
+
+
+
 def test_added_spans_in_documents(spark, documents):
     """On the tables the field adds secrets, which no base pattern knows, and nothing to lines without cues."""
     rows = pii.find(documents.select("doc_id", "text")).collect()
