@@ -22,13 +22,14 @@ from .components import connected_components
 from .shingles import mixed
 
 #: Scales, and the strongest corners that are described at each in a picture of :data:`AREA` pixels; larger ones have more, as their sides grow.
-SCALES, CORNERS, AREA = (1.0, 0.75, 0.5), (16, 12, 8), 64 * 64
-#: Neighbours that a corner is paired with, the pixels they are apart at least, and the steps of turn, direction and distance in a key.
-NEIGHBOURS, APART, TURNS, STEP = 3, 3.0, 12, 1.3
+SCALES, CORNERS, AREA = (1.0, 0.866, 0.75, 0.65, 0.5625, 0.487), (24, 16, 14, 12, 10, 8), 64 * 64
+#: Neighbours that a corner is paired with, how far they are apart at least in pixels of the coarser one's scale, and the steps of turn, direction and distance in a key.
+NEIGHBOURS, APART, TURNS, STEP = 2, 7.0, 16, 1.25
 #: Radius of the surroundings of a corner, and the number of binary tests.
 RADIUS, TESTS = 7, 128
-#: Bits by which matching descriptors may differ, and matches that have to agree on the geometry.
-BITS, AGREEING = 12, 6
+#: Bits by which matching descriptors may differ; matches that have to agree on the geometry, one in so many of the points if that is more; and cells of so
+#: many pixels that they have to stand in, since one corner is found at several scales.
+BITS, AGREEING, ONE_IN, CELLS, CELL = 12, 6, 20, 5, 4.0
 #: Pixels by which an agreeing match may be off, per unit of scale.
 OFF = 2.5
 #: Rounds of verification, hubs that an image is tested against in a round, and table entries that it must share with one.
@@ -83,8 +84,26 @@ def _resize(x: np.ndarray, scale: float) -> np.ndarray:
     return (at(0, 0) * (1 - fy) * (1 - fx) + at(0, 1) * (1 - fy) * fx + at(1, 0) * fy * (1 - fx) + at(1, 1) * fy * fx).astype(np.float32)
 
 
+def _between(x: np.ndarray, who: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Values of the pictures ``who`` at places between pixels."""
+    h, w = x.shape[1:]
+    y0, x0 = np.floor(ys).astype(np.int64), np.floor(xs).astype(np.int64)
+    fy, fx = (ys - y0).astype(np.float32), (xs - x0).astype(np.float32)
+    flat, at = x.reshape(-1), (who * h + y0) * w + x0
+    return (flat[at] * (1 - fx) + flat[at + 1] * fx) * (1 - fy) + (flat[at + w] * (1 - fx) + flat[at + w + 1] * fx) * fy
+
+
+def _top(before: np.ndarray, here: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Where a parabola through three values has its top, from the middle one and at most half a step away."""
+    bend = before.astype(np.float64) + after - 2.0 * here
+    return np.clip(np.where(bend < 0, (before.astype(np.float64) - after) / (2 * np.where(bend < 0, bend, 1)), 0), -0.5, 0.5)
+
+
 def describe_stack(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each image of one size: (points: x, y, scale, angle as float32; tests: 16 bytes for each point)."""
+    """For each image of one size: (points: x, y, scale, angle as float32; tests: 16 bytes for each point).
+
+    Corners are placed, and their surroundings read, between pixels: with whole pixels a turn by a few degrees changes too many tests.
+    """
     n = len(stack)
     points: list[list[np.ndarray]] = [[] for _ in range(n)]
     tests: list[list[np.ndarray]] = [[] for _ in range(n)]
@@ -111,12 +130,16 @@ def describe_stack(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         found = np.isfinite(np.take_along_axis(strength, best, axis=1))
         ys, xs = best // w, best % w
         who = np.arange(n)[:, None]
-        patch = x[who[:, :, None, None], ys[:, :, None, None] + _SIDE[:, None], xs[:, :, None, None] + _SIDE[None, :]] * _DISC
+        row, col = np.clip(ys, 1, h - 2), np.clip(xs, 1, w - 2)
+        yf = ys + _top(response[who, row - 1, col], response[who, row, col], response[who, row + 1, col])
+        xf = xs + _top(response[who, row, col - 1], response[who, row, col], response[who, row, col + 1])
+        yf, xf = np.where(found, yf, edge), np.where(found, xf, edge)
+        patch = _between(x, who[:, :, None, None], yf[:, :, None, None] + _SIDE[:, None], xf[:, :, None, None] + _SIDE[None, :]) * _DISC
         angle = np.arctan2((patch * _SIDE[:, None]).sum(axis=(2, 3)), (patch * _SIDE[None, :]).sum(axis=(2, 3)))
         cos, sin = np.cos(angle)[:, :, None], np.sin(angle)[:, :, None]
-        read = lambda a, b: x[who[:, :, None], ys[:, :, None] + np.rint(sin * a + cos * b).astype(int), xs[:, :, None] + np.rint(cos * a - sin * b).astype(int)]  # noqa: E731, B023
+        read = lambda a, b: _between(x, who[:, :, None], yf[:, :, None] + sin * a + cos * b, xf[:, :, None] + cos * a - sin * b)  # noqa: E731, B023
         bits = np.packbits(read(_PATTERN[:, 0], _PATTERN[:, 1]) < read(_PATTERN[:, 2], _PATTERN[:, 3]), axis=2)
-        place = np.stack([(xs + 0.5) / scale, (ys + 0.5) / scale, np.full(xs.shape, 1 / scale), angle], axis=2).astype(np.float32)
+        place = np.stack([(xf + 0.5) / scale, (yf + 0.5) / scale, np.full(xf.shape, 1 / scale), angle], axis=2).astype(np.float32)
         for i in range(n):
             points[i].append(place[i][found[i]])
             tests[i].append(bits[i][found[i]])
@@ -148,14 +171,14 @@ def keys(points: np.ndarray, tests: np.ndarray) -> np.ndarray:
     if len(points) < 2:
         return np.zeros(0, dtype=np.int64)
     place = points[:, 0].astype(np.float64) + 1j * points[:, 1]
-    away = np.abs(place[:, None] - place[None, :])
-    away[away < APART] = np.inf
-    near = np.argsort(away, axis=1, kind="stable")[:, :NEIGHBOURS]
+    away, size = np.abs(place[:, None] - place[None, :]), points[:, 2].astype(np.float64)
+    beside = np.where(away < APART * np.maximum(size[:, None], size[None, :]), np.inf, away)
+    near = np.argsort(beside, axis=1, kind="stable")[:, :NEIGHBOURS]
     i, j = np.repeat(np.arange(len(points)), near.shape[1]), near.ravel()
-    known = np.isfinite(away[i, j])
+    known = np.isfinite(beside[i, j])
     i, j = i[known], j[known]
     words = np.ascontiguousarray(tests).view(np.uint32).astype(np.uint64)
-    angle, size = points[:, 3].astype(np.float64), points[:, 2].astype(np.float64)
+    angle = points[:, 3].astype(np.float64)
     out = []
     with np.errstate(over="ignore"):
         for table in range(words.shape[1]):
@@ -170,7 +193,7 @@ def keys(points: np.ndarray, tests: np.ndarray) -> np.ndarray:
 
 
 def agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """The greatest number of descriptor matches that fit one scale, turn and shift."""
+    """The greatest number of descriptor matches that fit one scale, turn and shift; 0 if they are too few for the points or stand in too few cells."""
     (pa_, ta), (pb, tb) = a, b
     if not len(pa_) or not len(pb):
         return 0
@@ -187,7 +210,10 @@ def agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
     shift = zq - move * zp
     off = np.abs(move[:, None] * zp[None, :] + shift[:, None] - zq[None, :])
     same = (np.abs(np.log(zoom[:, None] / zoom[None, :])) < 0.4) & (np.cos(turn[:, None] - turn[None, :]) > 0.85)
-    return int(((off <= OFF * np.maximum(zoom, 1)[:, None] * 2) & same).sum(axis=1).max())
+    fits = (off <= OFF * np.maximum(zoom, 1)[:, None] * 2) & same
+    best = fits[fits.sum(axis=1).argmax()]
+    cells = np.unique(np.floor(pa_[i[ok]][best, :2] / CELL), axis=0)
+    return int(best.sum()) if len(cells) >= CELLS and ONE_IN * best.sum() >= min(len(pa_), len(pb)) else 0
 
 
 def _points(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
