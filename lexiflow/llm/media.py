@@ -25,8 +25,8 @@ from .shingles import mixed
 SCALES, CORNERS, AREA = (1.0, 0.866, 0.75, 0.65, 0.5625, 0.487), (24, 16, 14, 12, 10, 8), 64 * 64
 #: Neighbours that a corner is paired with, how far they are apart at least in pixels of the coarser one's scale, and the steps of turn, direction and distance in a key.
 NEIGHBOURS, APART, TURNS, STEP = 2, 7.0, 16, 1.25
-#: Radius of the surroundings of a corner, and the number of binary tests.
-RADIUS, TESTS = 7, 128
+#: Radius of the surroundings of a corner, the number of binary tests, and of tables, each of 32 of them.
+RADIUS, TESTS, TABLES = 7, 128, 3
 #: Bits by which matching descriptors may differ; matches that have to agree on the geometry, one in so many of the points if that is more; and cells of so
 #: many pixels that they have to stand in, since one corner is found at several scales.
 BITS, AGREEING, ONE_IN, CELLS, CELL = 12, 6, 20, 5, 4.0
@@ -164,7 +164,7 @@ def describe(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.ndarr
 
 
 def keys(points: np.ndarray, tests: np.ndarray) -> np.ndarray:
-    """The distinct keys of an image in the Hamming tables: for each corner, each of its nearest neighbours and each 32-bit part.
+    """The distinct keys of an image in the Hamming tables: for each corner, each of its nearest neighbours and each table's 32 tests.
 
     Of the two corners the one with the lesser part comes first, so it does not matter which is the other's neighbour.
     """
@@ -181,7 +181,7 @@ def keys(points: np.ndarray, tests: np.ndarray) -> np.ndarray:
     angle = points[:, 3].astype(np.float64)
     out = []
     with np.errstate(over="ignore"):
-        for table in range(words.shape[1]):
+        for table in range(TABLES):
             a, b = np.where(words[i, table] <= words[j, table], (i, j), (j, i))
             turn = np.floor((angle[b] - angle[a]) / (2 * np.pi) % 1 * TURNS)
             way = np.floor((np.angle(place[b] - place[a]) - angle[a]) / (2 * np.pi) % 1 * TURNS)
@@ -323,14 +323,17 @@ def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "im
     """
     found = staged(descriptors(media.select(id_col, image_col), id_col, image_col), "descriptors")
     usable = found.where("media_id is not null and n_points > 0")
-    classes = staged(usable.groupBy("digest").agg(F.min("media_id").alias("rep"), F.max("media_id").alias("last")), "classes")
+    classes = staged(usable.groupBy("digest").agg(F.min("media_id").alias("rep"), F.max("media_id").alias("last"), F.count(F.lit(1)).alias("times")), "classes")
     copies = staged(usable.join(classes.where("rep <> last"), "digest").where("media_id <> rep").select("media_id", "rep").distinct(), "copies")
-    chosen = usable.join(classes, "digest").where("media_id = rep").select("media_id", "digest", "n_points", "points", "parts").dropDuplicates(["media_id", "digest"])
-    chosen = staged(chosen, "representatives")
-    every = chosen.select("media_id", F.explode("parts").alias("part"))
-    # most keys are in one image only; the rest is a written table, so Spark broadcasts it only while it is small
-    size = staged(every.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    entries = staged(every.join(size, "part"), "entries")
+    # most images are the only one of their class and stay where they are; the others are a written table, so Spark broadcasts their digests only while they are few
+    several = staged(classes.where("times > 1"), "several")
+    kept = ["media_id", "digest", "n_points", "points", "parts"]
+    firsts = usable.join(several, "digest").where("media_id = rep").select(*kept).dropDuplicates(["media_id", "digest"])
+    chosen = usable.select(*kept).join(several, "digest", "left_anti").unionByName(staged(firsts, "representatives"))
+    # one shuffle by key for the count and the join; an image has a key once, so no key has more than a small part of the rows. Most keys are in one image only
+    every = chosen.select("media_id", F.explode("parts").alias("part")).repartition("part")
+    size = every.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    entries = staged(every.join(size.hint("merge"), "part"), "entries")
     degree = entries.groupBy("media_id").agg(F.sum("size").alias("degree"))
     entries = staged(entries.join(degree, "media_id").select("part", "media_id", "degree"), "entries")
     links = copies.select(F.col("media_id").alias("src"), F.col("rep").alias("dst"))
