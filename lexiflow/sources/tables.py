@@ -38,13 +38,26 @@ def write_entries(entries: DataFrame, path: str) -> None:
     versioned(entries).repartitionByRange("ent_seq").sortWithinPartitions("ent_seq").write.mode("overwrite").parquet(path)
 
 
+#: Files that a task holds open at once; languages are fewer.
+OPEN_FILES = 64
+
+
 def write_terms(terms: DataFrame, path: str, tsv: bool = False) -> None:
-    """One folder for each language; Parquet, or tab-separated with the bytes of the text as the fifth column."""
+    """One folder for each language; Parquet, or tab-separated with the bytes of the text as the fifth column.
+
+    A task holds a file open for each language and writes rows as they come, so it sorts nothing and its memory does not grow with its rows.
+    """
     out = terms.select("lang", "ent_seq", "text", "meta1", "meta2", F.octet_length("text").alias("n_bytes"), "common")
-    if tsv:
-        out.write.partitionBy("lang").mode("overwrite").option("sep", "\t").csv(path)
-    else:
-        versioned(out).write.partitionBy("lang").mode("overwrite").parquet(path)
+    name, conf = "spark.sql.maxConcurrentOutputFileWriters", terms.sparkSession.conf
+    before = conf.get(name)
+    conf.set(name, OPEN_FILES)
+    try:
+        if tsv:
+            out.write.partitionBy("lang").mode("overwrite").option("sep", "\t").csv(path)
+        else:
+            versioned(out).write.partitionBy("lang").mode("overwrite").parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 def read_terms_tsv(spark: SparkSession, path: str) -> DataFrame:

@@ -88,3 +88,15 @@ def test_pages_of_a_learner_with_most_rows(spark):
         got.setdefault(r.learner_id, []).append((r.ent_seq, r.page))
     assert {k: len(v) for k, v in got.items()} == {1: 400, 2: 50, None: 50}
     assert all([p for _, p in sorted(v)] == [i // 7 for i in range(len(v))] for v in got.values())
+
+
+def test_terms_are_written_without_a_sort(spark, tmp_path):
+    terms = spark.range(300).select(F.concat(F.lit("l"), F.col("id") % 5).alias("lang"), F.col("id").alias("ent_seq"), F.lit("text").alias("text"), F.lit(0).alias("meta1"), F.lit(0).alias("meta2"), F.lit(1).alias("common"))
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    T.write_terms(terms, str(tmp_path / "t"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    plans = store.executionsList()
+    assert "Sort" not in plans.apply(plans.size() - 1).physicalPlanDescription()
+    assert spark.conf.get(name) == before
+    assert sorted(map(tuple, T.read_versioned(spark, str(tmp_path / "t")).select("lang", "ent_seq").collect())) == sorted((f"l{i % 5}", i) for i in range(300))
