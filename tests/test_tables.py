@@ -100,3 +100,15 @@ def test_terms_are_written_without_a_sort(spark, tmp_path):
     assert "Sort" not in plans.apply(plans.size() - 1).physicalPlanDescription()
     assert spark.conf.get(name) == before
     assert sorted(map(tuple, T.read_versioned(spark, str(tmp_path / "t")).select("lang", "ent_seq").collect())) == sorted((f"l{i % 5}", i) for i in range(300))
+
+
+def test_folders_of_an_index_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "MOST_BUCKETS", 8)
+    rows = spark.range(2000).select(F.concat(F.lit("g"), F.col("id") % 200).alias("gram"), F.lit("en").alias("lang"), F.col("id").alias("ent_seq"), F.lit(0).alias("meta1"), F.lit(0).alias("meta2"))
+    at = str(tmp_path / "i")
+    T.write_postings(rows, at, rows=10)
+    assert T._shaped(spark, at, "postings").select("lang", "bucket").distinct().count() <= 8
+    assert sorted(map(tuple, T.read_postings(spark, at).select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    assert T.read_postings(spark, at, rows.where("gram = 'g7'")).where("gram = 'g7'").count() == 10
+    T.write_postings(rows.where("false"), str(tmp_path / "none"))
+    assert T.read_postings(spark, str(tmp_path / "none"), rows).count() == 0
