@@ -115,3 +115,41 @@ def test_an_undo_too_deep_is_told(spark, tmp_path):
     undos = [(1, 20 + k, (10 + k) * 86_400, 0) for k in range(4)]
     shown = last_rows(spark, str(tmp_path), [answers, [(2, 9, 8 * 86_400, 3)], undos], lateness="1 hour", depth=3)
     assert shown[1].lost and shown[1].held <= 3
+
+
+def test_cards_share_a_bucket(spark, tmp_path):
+    """Thirty cards in two buckets: two calls a batch, two values and two timers in the state, and each card as if it were alone."""
+    day = 86_400
+    first = [(c, c, c * 60, 1 + c % 4) for c in range(30)]
+    some = [(c, 100 + c, 2 * day + c, 3) for c in range(0, 30, 3)]
+    undone = [(5, 200, 3 * day, 0), (7, 201, 3 * day, 0), (7, 202, 3 * day + 1, 0)]
+    far = [(6, 300, 30 * day, 4)]  # the others of its bucket are settled with it, those of the other one by a timer
+    after = [(c, 400 + c, 31 * day + c, 2) for c in range(0, 30, 2)] + [(9, 500, 31 * day, 0)]
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    shown, kept, path = {}, 0, str(tmp_path)
+
+    def put(batch, batch_id):
+        found = batch.collect()
+        assert len({r.card_id for r in found}) == len(found)
+        shown.update({r.card_id: r for r in found})
+
+    try:
+        for found in (first, some, undone, far, after):
+            rows = card_rows(spark, found)
+            rows.coalesce(1).write.mode("append").parquet(f"{path}/in")
+            cards = E.streaming_cards(E.event_stream(spark, f"{path}/in", rows.schema), lateness="1 day", buckets=2)
+            run = cards.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+            run.awaitTermination()
+            kept = max(kept, *[s["numRowsTotal"] for p in run.recentProgress for s in p["stateOperators"]])
+    finally:
+        spark.conf.unset(name)
+    want = {r.card_id: r for r in R.replay(card_rows(spark, first + some + undone + far + after)).collect()}
+    assert set(want) == set(range(30)) - {5, 7} and set(shown) == set(range(30)) and shown[5].total_answers == shown[7].total_answers == 0  # all their answers are taken back
+    for card in want:
+        assert [round(shown[card][f], 9) for f in R.FIELDS] == [round(want[card][f], 9) for f in R.FIELDS]
+    assert 0 < kept <= 6 and shown[2].waiting == 1 and shown[2].held == 1
+
+
+def test_buckets_follow_the_cards():
+    assert [E.buckets_for(n) for n in (0, 1, E.CARDS_A_BUCKET, E.CARDS_A_BUCKET + 1, 1_000_000)] == [1, 1, 1, 2, 15_625]
