@@ -5,13 +5,15 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import freed
+
 #: The white space that the contracts name: space and the five control characters U+0009 to U+000D.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -34,10 +36,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged_all([df], name)
+
+
+def staged_all(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """One table of all ``parts``, written one after another. What one of them shuffles is deleted before the next, so disk follows the largest."""
+    path = schema = None
+    for df in parts:
+        spark, schema = df.sparkSession, schema or df.schema
+        path = path or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        with freed(spark):
+            df.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged, tidy
+from .common import bounded_batches, discard, staged, staged_all, tidy
 from .components import connected_components
 from .shingles import mixed
 
@@ -38,6 +38,8 @@ ROUNDS, HUBS, SHARED = 5, 2, 2
 BLOCK = 128
 #: Members of a table entry that are paired at once in the last pass, at most twice as many in a block; and pairs that go on together.
 MEMBERS, PAIRS = 2048, 100_000
+#: Keys that are dealt out at once, and pairs that the points of their pictures are shipped for at once: what is on disk for either is bounded by these, or by the points of all pictures.
+KEYS_AT_ONCE, PAIRS_AT_ONCE = 40_000_000, 250_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _PATTERN = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 4)), -RADIUS * 0.7, RADIUS * 0.7)
@@ -197,7 +199,9 @@ def agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
     (pa_, ta), (pb, tb) = a, b
     if not len(pa_) or not len(pb):
         return 0
-    apart = np.bitwise_count(ta[:, None, :] ^ tb[None, :, :]).sum(axis=2)
+    apart = np.zeros((len(ta), len(tb)), np.uint8)  # at most 128
+    for x, y in zip(np.ascontiguousarray(ta).view(np.uint64).T, np.ascontiguousarray(tb).view(np.uint64).T, strict=True):
+        apart += np.bitwise_count(x[:, None] ^ y[None, :])
     i = np.arange(len(pa_))
     j = apart.argmin(axis=1)
     ok = (apart[i, j] <= BITS) & (apart[:, j].argmin(axis=0) == i)
@@ -260,14 +264,15 @@ def _open(entries: DataFrame, links: DataFrame) -> DataFrame:
     return marked.join(apart, "part")
 
 
-def _possible(open_: DataFrame) -> DataFrame:
-    """(src, dst): all pairs of an entry's members that are in different components.
+def _possible(open_: DataFrame, slices: int = 1, k: int = 0) -> DataFrame:
+    """(src, dst): all pairs of an entry's members that are in different components; of ``slices`` shares of the work, the one numbered ``k``.
 
     Large entries are cut into chunks that meet two by two, so neither memory nor time of a task depends on the size of an entry.
     """
     rows = open_.withColumn("chunks", F.ceil(F.col("size") / MEMBERS).cast("int")).withColumn("c", F.pmod(F.xxhash64("media_id"), "chunks").cast("int"))
     rows = rows.select("part", "media_id", "comp", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("x"))
     rows = rows.select("part", F.least("c", "x").alias("lo"), F.greatest("c", "x").alias("hi"), "c", "media_id", "comp")
+    rows = rows.where(F.pmod(F.xxhash64("part", "lo", "hi"), F.lit(slices)) == k)
     rows = rows.repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi")
 
     def of(ids: np.ndarray, comps: np.ndarray, c: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -310,13 +315,19 @@ def _possible(open_: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "src long, dst long").distinct()
 
 
+def _slices(total: DataFrame, most: int) -> int:
+    """How many shares of at most about ``most`` rows there are in ``total``, a table of one number."""
+    return max(1, -(-int(total.first()[0] or 0) // most))
+
+
 def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
     """(id, n_points, component_id) for every row of ``media``; ids are integers, component_id is the least id among the copies.
 
     Equal images form a class and are represented by their least id. In every round each representative is tested against the best connected
     members of its table entries that are in another component; rounds end when none adds a link. A last pass tests all pairs
     that share an entry, be it one only, and are still in different components, so components are those of all verified pairs
-    with a common entry. Rounds are linear in the entries and leave that pass less to do; it is not linear.
+    with a common entry. Rounds are linear in the entries and leave that pass less to do; it is not linear in time. Its disk is bounded: pairs are made, joined with their points
+    and verified a share at a time, and what a share shuffles is deleted before the next.
     Null, empty and undecodable images have no points and, unless equal, no copies; null and empty ones have none at all. A row without id has
     component null; rows of one id are one picture in several versions, linked where any version is, and share a component. Equal images are
     told by SHA-256. Pictures of any size are read whole, few at a time if they are large. An empty table gives an empty result; other columns are not looked at.
@@ -330,12 +341,18 @@ def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "im
     kept = ["media_id", "digest", "n_points", "points", "parts"]
     firsts = usable.join(several, "digest").where("media_id = rep").select(*kept).dropDuplicates(["media_id", "digest"])
     chosen = usable.select(*kept).join(several, "digest", "left_anti").unionByName(staged(firsts, "representatives"))
-    # one shuffle by key for the count and the join; an image has a key once, so no key has more than a small part of the rows. Most keys are in one image only
-    every = chosen.select("media_id", F.explode("parts").alias("part")).repartition("part")
-    size = every.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    entries = staged(every.join(size.hint("merge"), "part"), "entries")
+    # one shuffle by key for the count and its rows, some keys at a time; an image has a key once, so no key has more than a small part of the rows. Most keys are in one image only
+    slices = _slices(chosen.agg(F.sum(F.size("parts"))), KEYS_AT_ONCE)
+    every = chosen.select("media_id", F.explode("parts").alias("part"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("part"))
+    entries = staged_all((every.where(F.pmod("part", F.lit(slices)) == k).withColumn("size", size).where("size > 1") for k in range(slices)), "entries")
+    # from here on only the points are needed; what has the keys as well is deleted
+    ids, pictures = staged(found.select("media_id", "n_points"), "ids"), staged(chosen.select("media_id", "n_points", "points"), "pictures")
+    discard(found)
+    many, before = max(PAIRS_AT_ONCE, pictures.count()), entries
     degree = entries.groupBy("media_id").agg(F.sum("size").alias("degree"))
     entries = staged(entries.join(degree, "media_id").select("part", "media_id", "degree"), "entries")
+    discard(before)
     links = copies.select(F.col("media_id").alias("src"), F.col("rep").alias("dst"))
     tested: DataFrame | None = None
     for _ in range(ROUNDS):
@@ -347,16 +364,22 @@ def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "im
             met = met.join(tested.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))), ["src", "dst"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("times"), "dst"))
         pairs = staged(met.withColumn("k", rank).where(F.col("k") <= HUBS).select("src", "dst"), "pairs")
-        now = staged(_verified(pairs, chosen), "links")
+        discard(marked)
+        slices = _slices(pairs.agg(F.count(F.lit(1))), many)
+        now = staged_all((_verified(pairs.where(F.pmod(F.xxhash64("src"), F.lit(slices)) == k), pictures) for k in range(slices)), "links")
         if now.isEmpty():
             break
         links, tested = links.unionByName(now), pairs if tested is None else tested.unionByName(pairs)
-    pairs = _possible(_open(entries, links))
-    if tested is not None:
-        pairs = pairs.join(tested.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), ["src", "dst"], "left_anti")
-    links = links.unionByName(staged(_verified(pairs, chosen), "links"))
+    open_ = staged(_open(entries, links), "open")
+    # an entry has half its size in pairs for each of its rows
+    slices = _slices(open_.agg(F.sum((F.col("size") - 1) / 2)), many)
+    known = None if tested is None else staged(tested.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "tested")
+    left = (_possible(open_, slices, k) for k in range(slices))
+    if known is not None:
+        left = (pairs.join(known, ["src", "dst"], "left_anti") for pairs in left)
+    links = links.unionByName(staged_all((_verified(pairs, pictures) for pairs in left), "links"))
     comp = connected_components(links).withColumnRenamed("node", "media_id")
-    out = found.select("media_id", "n_points").join(comp, "media_id", "left")
+    out = ids.join(comp, "media_id", "left")
     return out.select(F.col("media_id").alias(id_col), "n_points", F.coalesce("component", "media_id").alias("component_id"))
 
 

@@ -1,6 +1,7 @@
 """Language ID, licences, personal data, the similarity join and images: brute force, held-out accuracy and edge cases."""
 
 import itertools
+import pathlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -530,6 +531,46 @@ def test_copies_behind_a_hub(spark, monkeypatch, members):
     assert got == want
 
 
+def test_pairs_are_shipped_a_share_at_a_time(spark, monkeypatch):
+    """Thirty pictures that all share a mark's key: never many more pairs at once than the bound, and the same components as in one go."""
+    r = np.random.Generator(np.random.PCG64(6))
+    rows, seen = [], []
+    for i in range(30):
+        place = np.stack([r.uniform(0, 60, 10), r.uniform(0, 60, 10), np.ones(10), np.zeros(10)], axis=1).astype(np.float32)
+        tests = r.integers(0, 256, (10, 16), dtype=np.uint8)
+        for id_, keep in ((i, 0), *([(100 + i, 5)] if i % 3 == 0 else [])):
+            rows.append((id_, id_, 10, place.tobytes() + tests.tobytes(), [7, 8, 1000 + i] if keep else [7, 1000 + i]))
+    crafted = spark.createDataFrame(rows, "media_id long, digest long, n_points long, points binary, parts array<long>")
+    monkeypatch.setattr(media, "descriptors", lambda *_: crafted)
+    monkeypatch.setattr(media, "MEMBERS", 2)
+    plain = media._verified
+    monkeypatch.setattr(media, "_verified", lambda pairs, found: seen.append(pairs.count()) or plain(pairs, found))
+    got = []
+    for at_once in (10**6, 50):
+        monkeypatch.setattr(media, "PAIRS_AT_ONCE", at_once, raising=False)
+        monkeypatch.setattr(media, "KEYS_AT_ONCE", at_once, raising=False)
+        seen.clear()
+        got.append({x.media_id: x.component_id for x in media.find_copies(crafted.select("media_id", F.lit(b"").alias("image"))).collect()})
+    assert got[0] == got[1] == {i % 100: i % 100 for i, *_ in rows} | {i: i - 100 for i, *_ in rows if i >= 100}
+    assert sum(seen) > 400 and max(seen) < 200
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from lexiflow import storage
+    from lexiflow.llm import common
+
+    def left():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for d in dirs for f in pathlib.Path(str(d)).rglob("shuffle_*.data")}
+
+    for staged in (storage.staged, common.staged):
+        before = left()
+        table = staged(spark.range(5000).repartition(3, "id"), "dealt")
+        assert not left() - before
+        assert table.count() == 5000
+        assert spark.conf.get(storage.FREED, "false") == "false"
+
+
 def test_rendered_copies_against_all_pairs(spark):
     """The operator itself on the smallest table, against agree() on all pairs that share a part."""
     small = "/root/testdata/sf0.001"
