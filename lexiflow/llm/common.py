@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import freed
+from ..storage import discard, freed  # noqa: F401
 
 #: The white space that the contracts name: space and the five control characters U+0009 to U+000D.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -50,15 +50,6 @@ def staged_all(parts: Iterable[DataFrame], name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the folder of a :func:`staged` table that nothing reads any more."""
-    files = df.inputFiles()
-    if files:
-        jvm, java = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(java.hadoopConfiguration()).delete(folder, True)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let a batch on its way to Python have at most so many rows, since whole texts are in it; a smaller setting stands.
 

@@ -1,5 +1,7 @@
 """Readers and writers."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,29 @@ def test_folders_of_an_index_are_bounded(spark, tmp_path, monkeypatch):
     assert T.read_postings(spark, at, rows.where("gram = 'g7'")).where("gram = 'g7'").count() == 10
     T.write_postings(rows.where("false"), str(tmp_path / "none"))
     assert T.read_postings(spark, str(tmp_path / "none"), rows).count() == 0
+
+
+def test_an_index_is_dealt_a_share_at_a_time(spark, tmp_path, monkeypatch):
+    """Several shares give the index that one gives; a share is dealt alone, and its shuffle files go before the next."""
+    from lexiflow.operators import search as Q
+
+    monkeypatch.setattr(T, "SHARE", 900)
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    shuffled = lambda: {f for d in dirs for f in Path(str(d)).rglob("shuffle_*.data")}
+    terms = spark.range(400).select(
+        F.col("id").alias("ent_seq"), F.concat_ws(" ", F.lit("the"), F.col("id"), F.lit("words")).alias("text"), F.lit(0).alias("meta1"), F.lit(0).alias("meta2"), F.lit("gloss").alias("kind"),
+        F.when(F.col("id") % 3 == 0, "en").otherwise("de").alias("lang"), F.lit(1).alias("common"),
+    )
+    want = sorted(map(tuple, Q.build_postings(terms).select("lang", "gram", "ent_seq", "kind", "len", "common").collect()))
+    before = shuffled()
+    dealt, share = [], T._share
+    monkeypatch.setattr(T, "_share", lambda df, k, n: dealt.append((k, n)) or share(df, k, n))
+    T.write_index(terms, str(tmp_path / "terms"), rows=500)
+    T.write_postings(Q.build_postings(terms), str(tmp_path / "postings"), rows=500)
+    n = -(-len(want) // 900)
+    assert n > 4 and dealt == 2 * [(k, n) for k in range(n)]
+    assert len(shuffled() - before) <= 8  # of the counts that reach the driver; each share of each index had four files more
+    for name in ("terms", "postings"):
+        assert sorted(map(tuple, T.read_postings(spark, str(tmp_path / name)).select("lang", "gram", "ent_seq", "kind", "len", "common").collect())) == want
+        found = T.read_postings(spark, str(tmp_path / name), spark.createDataFrame([("the",), ("39 ",)], "gram string"))
+        assert found.where("gram = 'the'").count() == 400 and found.count() < len(want)
