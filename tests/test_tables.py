@@ -1,5 +1,6 @@
 """Readers and writers."""
 
+import random
 from pathlib import Path
 
 import pytest
@@ -140,3 +141,28 @@ def test_an_index_is_dealt_a_share_at_a_time(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, T.read_postings(spark, str(tmp_path / name)).select("lang", "gram", "ent_seq", "kind", "len", "common").collect())) == want
         found = T.read_postings(spark, str(tmp_path / name), spark.createDataFrame([("the",), ("39 ",)], "gram string"))
         assert found.where("gram = 'the'").count() == 400 and found.count() < len(want)
+
+
+def test_blocks_hold_the_rows_that_are_put_in(spark, monkeypatch):
+    """Japanese and other forms, texts that are null or empty, numbers of any size or null, grams in several parts; whatever the size of what is packed at once."""
+    from lexiflow.functions import blocks as B
+    from lexiflow.operators import search as Q
+
+    r = random.Random(5)
+    rows = [
+        (r.randint(0, 9) + 10**12 * (i % 2), None if i % 50 == 0 else "".join(r.choice("abかな") for _ in range(r.randint(0, 40))), r.choice([0, 3, -7, 70_000, None]), r.choice([-(2**31), 2**31 - 1]), r.choice(["gloss", "reading", None]),
+         r.choice(["en", "de", None]), i % 2)
+        for i in range(300)
+    ]
+    terms = spark.createDataFrame(rows, "ent_seq long, text string, meta1 int, meta2 int, kind string, lang string, common int").coalesce(2)
+    postings = Q.build_postings(terms)
+    want = sorted(map(str, postings.collect()))
+    numbers = ["ent_seq", "meta1", "meta2", "len", "common"]
+    for size in (50, 1 << 20):
+        monkeypatch.setattr(B, "ROWS", size)
+        for hot in ({}, {("en", "aba"): 3, (None, "ab"): 2}):
+            blocks = B.posting_blocks(terms.withColumn("len", F.length("text")), numbers, hot)
+            assert sorted(map(str, B.unpack(blocks, postings.schema).select(postings.columns).collect())) == want
+            parts = blocks.where("part > 0").select("lang", "gram").distinct().collect()
+            assert {(x.lang, x.gram) for x in parts} == set(hot)
+            assert blocks.agg(F.sum("_n")).first()[0] == len(want)
