@@ -56,3 +56,17 @@ def test_intersections_by_lists_and_by_postings(spark):
     for found in (Q.intersect_lists(Q.gram_lists(terms, only=Q.few(grams)), grams), Q.intersect_all(Q.build_postings(terms), grams)):
         rows = [(r.query_id, r.ent_seq) for r in found.collect()]
         assert len(rows) == len(want) and set(rows) == want
+
+
+def test_texts_are_not_dealt_for_few_candidates(spark):
+    """The first candidates of a query are few, so they go to the texts and not the texts to them; pages are the same in several rounds and in one."""
+    terms = _terms(spark, ["red " * (1 + k % 7) + str(k) for k in range(200)] + ["re ed red"[: k % 9] + " edr" for k in range(300)])
+    queries = Q.rewrite_queries(spark.createDataFrame([(1, "red"), (2, "edred"), (3, "7"), (4, "none of it")], "query_id long, q_raw string"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    begin = store.executionsList().size()
+    rows = lambda df: sorted(map(str, df.select(*Q.HIT).collect()))
+    got = rows(Q.best_entries(terms, queries, 5, Q.build_postings(terms), ahead=1))
+    plans = store.executionsList()
+    looked = [p for p in (plans.apply(k).physicalPlanDescription() for k in range(begin, plans.size())) if "/looked-" in p and "InsertIntoHadoopFs" in p and "/some-" in p]
+    assert len(looked) > 1 and not any("SortMergeJoin" in p.split("Initial Plan")[0] for p in looked)
+    assert got == rows(Q.best_entries(terms, queries, 5)) and len(got) == 5
